@@ -133,6 +133,12 @@ def slicing_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[width - have : width - have + n]) if have < width else cur[:n]
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
+    """Hand Python workers short Arrow batches: texts are long, and a worker holds a few copies of a batch."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder named by spark.checkpoint.dir, which all executors share.
 

@@ -4,19 +4,22 @@ Shared by the substring and the suffix-array operator, which differ in the unit
 (words or bytes) and in how a block of contexts is solved.
 
 1. *Anchors.*  Within every window of W units the k-gram of least hash is its
-   anchor; consecutive windows with the same anchor form a run.  Equal windows
-   have equal anchors at equal offsets, so a window can only repeat if its
-   anchor's k-gram repeats.  About 2 / (W - k) of all positions are anchors.
-2. *Pruning.*  k-grams are counted with map-side combining; runs whose k-gram
-   occurs once are leaves of the suffix tree above depth W and are dropped.
-3. *Blocks.*  The text of each surviving run (its windows with their tails) goes
-   to the partition of its k-gram, is streamed in k-gram order and solved in
-   blocks of bounded size.  What a block reports rests on the texts themselves.
-4. *Hot k-grams* (more than ``HOT`` runs) never form a block: their windows are
-   matched one by one, by 128-bit hashes counted with map-side combining.
+   anchor; consecutive windows with the same anchor form a run, whose windows and
+   their tails are its context.  Equal windows have equal anchors at equal offsets,
+   so a window can only repeat if its anchor's k-gram repeats.  About 2 / (W - k) of
+   all positions are anchors.
+2. *Pruning.*  k-grams are counted with map-side combining, together with the least
+   and largest hash of their contexts.  A run whose k-gram occurs once has only
+   leaves of the suffix tree above depth W and is dropped; where a context occurs
+   twice, all its windows repeat and nothing more is to be done.
+3. *Blocks.*  What is left are k-grams with several different contexts.  The text of
+   one run for each context goes to the partition of its k-gram, is streamed in
+   k-gram order and solved in blocks of bounded size.
+4. *Hot k-grams* (more than ``HOT`` different contexts) never form a block: their
+   windows are matched one by one, by 128-bit hashes counted with map-side combining.
 
 The result has a row per document with a repeated window: ``_k1`` and ``_spans``,
-an array of (k2, s, e): units [s, e) are covered by repeated windows.
+an array of (tag, s, e): units [s, e) are covered by repeated windows.
 """
 
 from __future__ import annotations
@@ -30,28 +33,31 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import common as C
 
-#: Runs of one k-gram above which it is matched window by window.
+#: Different contexts of one k-gram above which it is matched window by window.
 HOT = 20_000
 #: Bytes of context solved at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _U = np.uint64
 _POS_BITS = 28
 _LOW = _U((1 << _POS_BITS) - 1)
 #: Positions handled at once within one text; more are cut into overlapping pieces.
 _PIECE = 1 << 21
+#: Bits of _k2 that go along with _k1.
+TAG = (1 << 24) - 1
+_PLACE = (1 << 31) - 1
 
 #: (symbols, first symbol of each context, one past its last symbol) -> repeated window starts
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
 def runs_of(symbols: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor runs in a chunk of rows: row, first and last window start in the row, k-gram hash.
+    """Anchor runs in a chunk of rows: row, first and last window start in the row, hashes of k-gram and context.
 
     ``first``: index of each row's first symbol, and the total at the end.
     """
     n = len(symbols)
-    empty = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, _U),)
+    empty = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, _U), np.zeros(0, _U))
     if n < window:
         return empty
     sums = C.prefix_sums(symbols)
@@ -70,36 +76,52 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, window: int, gram: int) -> t
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(row)) - 1
     r = row[head]
-    return r, start[head] - first[r], start[tail] - first[r], hashes[anchor[head]]
+    return r, start[head] - first[r], start[tail] - first[r], hashes[anchor[head]], C.range_hash(sums, start[head], start[tail] + window)
+
+
+def _symbols(data: np.ndarray, off: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a chunk of rows and each row's first one."""
+    if unit == "byte":
+        return C.byte_codes(data), off
+    ws, we, first = C.find_words(data, off)
+    return C.word_hashes(data, ws, we), first
 
 
 def _scan(batch: pa.RecordBatch, unit: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(kfp, c, _k1, at) of all runs; at: 24 bits of _k2, 31 of the first window's place, 9 of the count less one."""
     data, off = C.text_buffers(batch.column("text"))
-    k1 = np.asarray(batch.column("_k1"))
+    k1, tag = np.asarray(batch.column("_k1")), np.asarray(batch.column("_k2")) & TAG
     for i, j in C.chunks(off):
-        part, rows = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        if unit == "word":
-            ws, we, first = C.find_words(part, rows)
-            symbols = C.word_hashes(part, ws, we)
-        else:
-            first, symbols = rows, C.byte_codes(part)
+        symbols, first = _symbols(data[off[i] : off[j]], off[i : j + 1] - off[i], unit)
         # windows of a long text are enumerated piece by piece
-        step = _PIECE
-        for p in range(0, max(1, len(symbols)) if j == i + 1 else 1, step):
-            if j == i + 1:
-                q = min(len(symbols), p + step + window - 1)
-                r, a, b, h = runs_of(symbols[p:q], np.array([0, q - p]), window, gram)
-                a, b = a + p, b + p
+        alone = j == i + 1
+        for p in range(0, max(1, len(symbols)) if alone else 1, _PIECE):
+            q = min(len(symbols), p + _PIECE + window - 1)
+            if alone:
+                r, a, b, h, c = runs_of(symbols[p:q], np.array([0, q - p]), window, gram)
             else:
-                r, a, b, h = runs_of(symbols, first, window, gram)
-            if not len(r):
-                continue
-            if unit == "word":
-                g = first[r]
-                lo, hi = ws[g + a] - rows[r], we[g + b + window - 1] - rows[r]
-            else:
-                lo, hi = a, b + window
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(k1[i + r]), pa.array(lo << 32 | (hi - lo)), pa.array(a)], ["kfp", "_k1", "at", "i0"])
+                r, a, b, h, c = runs_of(symbols, first, window, gram)
+            if len(r):
+                at = tag[i + r] << 40 | (a + p * alone) << 9 | (b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(c)), pa.array(k1[i + r]), pa.array(at)], ["kfp", "c", "_k1", "at"])
+
+
+def _cut(batch: pa.RecordBatch, unit: str, window: int) -> Iterator[pa.RecordBatch]:
+    """Contexts (kfp, _k1, tag, i0, n, ctx) of the runs listed with each text."""
+    data, off = C.text_buffers(batch.column("text"))
+    k1, tag = np.asarray(batch.column("_k1")), np.asarray(batch.column("_k2")) & TAG
+    for row in range(batch.num_rows):
+        part = data[off[row] : off[row + 1]]
+        ws, we, _ = C.find_words(part, np.array([0, len(part)])) if unit == "word" else (None, None, None)
+        own = [x for x in batch.column("runs")[row].as_py() if (x["at"] >> 40 & TAG) == tag[row]]
+        ctx = []
+        for x in own:
+            a = x["at"] >> 9 & _PLACE
+            e = a + (x["at"] & 511) + window
+            ctx.append(part[ws[a] : we[e - 1]].tobytes() if unit == "word" else part[a:e].tobytes())
+        if own:
+            m = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([x["kfp"] for x in own], pa.int64()), pa.array([k1[row]] * m, pa.int64()), pa.array([tag[row]] * m, pa.int64()), pa.array([x["at"] >> 9 & _PLACE for x in own], pa.int64()), pa.array([x["n"] for x in own], pa.int64()), pa.array([x["sub"] for x in own], pa.int64()), pa.array(ctx, pa.binary())], ["kfp", "_k1", "tag", "i0", "n", "sub", "ctx"])
 
 
 def _context_symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +132,11 @@ def _context_symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarra
     return C.word_hashes(data, ws, we), first
 
 
-def _spans(rows: pa.Table, symbols: np.ndarray, first: np.ndarray, hit: np.ndarray, window: int) -> pa.RecordBatch:
+def _spans(rows: pa.Table, first: np.ndarray, hit: np.ndarray, window: int) -> pa.RecordBatch:
     """Merge repeated window starts (indices into symbols, ascending) into spans of their rows."""
     row = np.searchsorted(first, hit, "right") - 1
+    once = rows.column("n").to_numpy()[row] == 1  # the others' runs repeat as a whole, which is known
+    row, hit = row[once], hit[once]
     new = np.ones(len(hit), bool)
     new[1:] = (row[1:] != row[:-1]) | (hit[1:] > hit[:-1] + window)
     head = np.flatnonzero(new)
@@ -120,7 +144,7 @@ def _spans(rows: pa.Table, symbols: np.ndarray, first: np.ndarray, hit: np.ndarr
     r = row[head]
     i0 = rows.column("i0").to_numpy()[r]
     s, e = hit[head] - first[r] + i0, hit[tail] - first[r] + i0 + window
-    return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[r]) for c in ("_k1", "_k2")] + [pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], ["_k1", "_k2", "s", "e"])
+    return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[r]) for c in ("_k1", "tag")] + [pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], ["_k1", "tag", "s", "e"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -153,32 +177,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
 
 def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: int, gram: int, solve: Solver, hot: int = HOT) -> DataFrame:
     """See the module's text.  ``docs`` must already carry _k1 and _k2 (common.with_key)."""
-    spark = docs.sparkSession
-    slim = docs.select("_k1", F.col(text).alias("text"))
-    shape = "kfp long, _k1 long, at long, i0 long"
+    if window - gram > 511:
+        raise ValueError("a run may hold 512 windows: raise gram")
+    C.small_batches(docs.sparkSession)
+    slim = docs.select("_k1", "_k2", F.col(text).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from _scan(b, unit, window, gram)
 
-    runs = C.stored(slim.mapInArrow(scan, shape))
-    repeated = C.stored(runs.groupBy("kfp").agg(F.count("*").alias("n")).filter("n > 1"))
-    kept = runs.join(repeated, "kfp")
-    body = docs.withColumn("_bytes", F.encode(F.col(text), "UTF-8"))
-    contexts = kept.join(body, "_k1").select("kfp", "_k1", "_k2", "i0", "n", F.substring(F.col("_bytes"), (F.shiftright("at", 32) + 1).cast("int"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")).alias("ctx"))
+    runs = slim.mapInArrow(scan, "kfp long, c long, _k1 long, at long")
+    seen = runs.groupBy("kfp").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    seen = C.stored(seen.filter("m > 1").select("kfp", (F.col("lo") != F.col("hi")).alias("mixed")))
+    kept = C.stored(runs.join(seen, "kfp"))
+    mixed = kept.filter("mixed")
+    contexts = C.stored(mixed.groupBy("kfp", "c").agg(F.count("*").alias("n"), F.first("_k1").alias("_k1"), F.first("at").alias("at")))
+    place = F.shiftright("at", 9).bitwiseAND(_PLACE)
+    span = ["_k1", F.shiftrightunsigned("at", 40).alias("tag"), place.alias("s"), (place + F.col("at").bitwiseAND(511) + window).alias("e")]
+    whole = mixed.join(contexts.filter("n > 1").select("kfp", "c"), ["kfp", "c"], "left_semi").select(span)
+    whole = kept.filter(~F.col("mixed")).select(span).unionByName(whole)
+
+    # one run stands for each context; the texts are joined once per document
+    sub = contexts.groupBy("kfp").agg(F.count("*").alias("sub"))
+    chosen = contexts.join(sub, "kfp").groupBy("_k1").agg(F.collect_list(F.struct("kfp", "at", "n", "sub")).alias("runs"))
+    shape = "kfp long, _k1 long, tag long, i0 long, n long, sub long, ctx binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _cut(b, unit, window)
+
+    texts = docs.join(chosen, "_k1").select("_k1", "_k2", F.col(text).alias("text"), "runs").mapInArrow(cut, shape)
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK_BYTES):
             symbols, first = _context_symbols(block.column("ctx"), unit)
             hit = solve(symbols, first[:-1], first[1:], window)
             if len(hit):
-                yield _spans(block, symbols, first, hit, window)
+                yield _spans(block, first, hit, window)
 
-    spans = contexts.filter(F.col("n") <= hot).select("kfp", "_k1", "_k2", "i0", "ctx")
-    spans = spans.repartition(F.col("kfp")).sortWithinPartitions("kfp").mapInArrow(light, "_k1 long, _k2 long, s long, e long")
-    if not repeated.filter(F.col("n") > hot).isEmpty():
-        spans = spans.unionByName(_hot_spans(contexts.filter(F.col("n") > hot), unit, window))
-    return spans.groupBy("_k1").agg(F.collect_list(F.struct("_k2", "s", "e")).alias("_spans"))
+    part = texts.filter(F.col("sub") <= hot).repartition(F.col("kfp")).sortWithinPartitions("kfp").mapInArrow(light, "_k1 long, tag long, s long, e long")
+    spans = whole.unionByName(part)
+    if not sub.filter(F.col("sub") > hot).isEmpty():
+        spans = spans.unionByName(_hot_spans(texts.filter(F.col("sub") > hot), unit, window))
+    return spans.groupBy("_k1").agg(F.collect_list(F.struct("tag", "s", "e")).alias("_spans"))
 
 
 def _hot_spans(contexts: DataFrame, unit: str, window: int) -> DataFrame:
@@ -198,17 +239,17 @@ def _hot_spans(contexts: DataFrame, unit: str, window: int) -> DataFrame:
                 one = C.range_hash(C.prefix_sums(symbols), start, start + window)
                 two = C.range_hash(C.prefix_sums(C.mix(symbols)), start, start + window)
                 at = lambda c: np.asarray(part.column(c))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(C.signed(two)), pa.array(at("_k1")), pa.array(at("_k2")), pa.array(at("i0") + start - first[row])], ["h1", "h2", "_k1", "_k2", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(C.signed(two)), pa.array(at("_k1")), pa.array(at("tag")), pa.array(at("i0") + start - first[row])], ["h1", "h2", "_k1", "tag", "s"])
 
-    w = C.stored(contexts.select("_k1", "_k2", "i0", "ctx").mapInArrow(windows, "h1 long, h2 long, _k1 long, _k2 long, s long"))
+    w = C.stored(contexts.mapInArrow(windows, "h1 long, h2 long, _k1 long, tag long, s long"))
     twice = w.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return w.join(twice, ["h1", "h2"], "left_semi").select("_k1", "_k2", "s", (F.col("s") + window).alias("e"))
+    return w.join(twice, ["h1", "h2"], "left_semi").select("_k1", "tag", "s", (F.col("s") + window).alias("e"))
 
 
-def covered(spans: list | None, k2: int, length: int) -> list[tuple[int, int]]:
+def covered(spans: list | None, k2: int) -> list[tuple[int, int]]:
     """The disjoint, ascending ranges that a row's spans cover (touching ones merged)."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or () if x["_k2"] == k2):
+    for s, e in sorted((x["s"], x["e"]) for x in spans or () if x["tag"] == k2 & TAG):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:

@@ -118,7 +118,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", ident: str = "doc_id",
             for t, spans, k2 in zip(b.column(text), b.column("_spans"), b.column("_k2"), strict=True):
                 raw = t.as_py()
                 words = raw.encode().split() if raw is not None else []
-                ranges = R.covered(spans.as_py(), k2.as_py(), len(words))
+                ranges = R.covered(spans.as_py(), k2.as_py())
                 kept, p = [], 0
                 for s, e in ranges:
                     kept += words[p:s]

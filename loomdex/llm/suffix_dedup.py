@@ -129,7 +129,7 @@ def dedup_bytes(docs: DataFrame, text: str = "text", ident: str = "doc_id", wind
             for t, spans, k2 in zip(b.column(text), b.column("_spans"), b.column("_k2"), strict=True):
                 raw = t.as_py()
                 data = raw.encode() if raw is not None else b""
-                ranges = R.covered(spans.as_py(), k2.as_py(), len(data))
+                ranges = R.covered(spans.as_py(), k2.as_py())
                 if ranges:
                     ends = [0] + [e for _, e in ranges]
                     kept = b"".join(data[p:s] for p, s in zip(ends, [s for s, _ in ranges] + [len(data)], strict=True))
