@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op2_minhash_near_dedup": "minhash_dedup",
+    "op3_url_filters": "url_filters",
+    "op4_decontamination": "decontamination",
+    "op5_token_counts": "token_counts",
+    "op6_warc_bundles": "warc_bundles",
+    "op7_source_mixing": "source_mixing",
     "op8_suffix_array_dedup": "suffix_dedup",
+    "op9_lossless_webp": "lossless_webp",
+    "op10_language_id": "language_id",
 }
 
 
