@@ -1,20 +1,63 @@
-"""A corpus pipeline: the stages that documents pass through, in order."""
+"""A corpus pipeline: the stages that documents pass through, in order.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is
+written as Parquet and read again as the next one's docs.  All but the last return
+the columns of documents.  Nulls, empty tables, repeated rows and extra columns are
+handled as the operators' modules say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdex.llm import common, decontamination, language_id, minhash_dedup, source_mixing, substring_dedup
+
+#: Documents whose best language is a cosine below this are no language at all (1 is perfect, 0.5 chance).
+LEAST_SCORE = 0.5
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; null, letterless and unrecognisable texts go.
+
+    Learned from all rows with a language, so that every document is judged by profiles of all.
+    """
+    model = language_id.learn(docs)
+    judged = language_id.identify(docs, model)
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingle sets of similarity 0.8 and more."""
+    return minhash_dedup.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words and more that occur elsewhere are cut; documents left without a word go."""
+    cut = substring_dedup.dedup_substrings(docs)
+    return cut.filter("n_words = 0 or n_removed < n_words").select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+
 
-from loomdex.llm import common, substring_dedup
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item was found go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words and more that repeat are cut out of every text."""
-    return substring_dedup.dedup_substrings(docs).select(docs.columns)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document (copies) and the words that makes; documents not taken go."""
+    mixed = source_mixing.mix(docs)
+    return mixed.filter("copies > 0").select(F.col("id").alias("doc_id"), "source", "size", "target", "copies", "taken")
 
 
-STAGES = [("substring dedup", drop_substrings)]
+STAGES = [
+    ("language ID", keep_languages),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources", mix_sources),
+]
 
-#: Not expressible in SQL (models, repeated passages); tests/llm compares with brute force.
+#: Models and repeated passages are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
