@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: in
         for b in batches:
             yield from _cut(b, unit, window)
 
-    texts = docs.join(chosen, "_k1").select("_k1", "_k2", F.col(text).alias("text"), "runs").mapInArrow(cut, shape)
+    texts = C.stored(docs.join(chosen, "_k1").select("_k1", "_k2", F.col(text).alias("text"), "runs").mapInArrow(cut, shape))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK_BYTES):
@@ -241,7 +241,7 @@ def _hot_spans(contexts: DataFrame, unit: str, window: int) -> DataFrame:
                 at = lambda c: np.asarray(part.column(c))[row]
                 yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(C.signed(two)), pa.array(at("_k1")), pa.array(at("tag")), pa.array(at("i0") + start - first[row])], ["h1", "h2", "_k1", "tag", "s"])
 
-    w = C.stored(contexts.mapInArrow(windows, "h1 long, h2 long, _k1 long, tag long, s long"))
+    w = contexts.mapInArrow(windows, "h1 long, h2 long, _k1 long, tag long, s long")
     twice = w.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     return w.join(twice, ["h1", "h2"], "left_semi").select("_k1", "tag", "s", (F.col("s") + window).alias("e"))
 
