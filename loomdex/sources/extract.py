@@ -67,6 +67,7 @@ LANGUAGES = (
 )
 BY_EXTENSION = {e: lang for lang in LANGUAGES for e in lang.extensions}
 _NOT_CALLS = frozenset("if for while switch catch return function def fn func sizeof typeof match when unless elif else and or not in await new class struct enum interface with assert print super del yield lambda using lock foreach until case do try throw defer go select".split()) - {"print", "super"}
+_NOT_NAMES = frozenset("if for while switch catch return else elif match sizeof foreach".split())
 _CALL = re.compile(r"([A-Za-z_$][\w$]*[?!]?)\s*\(")
 
 
@@ -184,7 +185,7 @@ def _scan(path: str, source: str, lang: Language) -> tuple[list[Symbol], list[tu
     for pattern, kind in lang.declarations:
         for m in re.finditer(r"(?m)" + (pattern if pattern.startswith("^") else r"^[ \t]*" + pattern), text):
             name_at = m.start("n")
-            if name_at in found or m.group("n") in _NOT_CALLS:
+            if name_at in found or m.group("n") in _NOT_NAMES:
                 continue
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
             end = _block_end(text, begin, lang)
@@ -206,7 +207,7 @@ def _scan(path: str, source: str, lang: Language) -> tuple[list[Symbol], list[tu
             while k and not source[before[k - 1][1] : before[k][0]].strip() and source[before[k - 1][1] : before[k][0]].count("\n") <= 1:
                 k -= 1
             s.docstring = _clean_comment(source[before[k][0] : before[-1][1]]) or None
-    named = {k for k in found}
+    named = set(found)
     edges = []
     for p in lang.imports:
         for m in re.finditer("(?m)" + p, source):
@@ -249,7 +250,7 @@ def _python(path: str, source: str) -> tuple[list[Symbol], list[tuple[str, str,
                 symbols.append(Symbol(child.name, kind, first, child.end_lineno or first, first, child.end_lineno or first, fqn, end, ast.get_docstring(child), not child.name.startswith("_"), scopes, body))
                 for d in child.decorator_list:
                     visit(ast.Expr(d), scopes, owner, in_class)
-                visit(child, [*scopes, child.name], fqn if kind != "class" else owner if not in_class else owner, kind == "class")
+                visit(child, [*scopes, child.name], owner if kind == "class" else fqn, kind == "class")
             else:
                 if isinstance(child, ast.Call):
                     f = child.func
