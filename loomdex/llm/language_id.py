@@ -67,7 +67,8 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
         return None
     keep = s > 0
     keep[1:] |= s[:-1] > 0  # one blank after a word stays
-    s = np.concatenate(([0], s[keep], [0])).astype(np.int32)
+    s = s[keep]
+    s = np.concatenate(([0], s[: len(s) - (s[-1] == 0)], [0])).astype(np.int32)
     return np.unique((s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:], return_counts=True)
 
 
