@@ -140,3 +140,19 @@ def dedup_substrings(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed_spans").cast("long").alias("n_spans"))
+
+
+#: The same by plain comparison of all windows, for tables of a size that bears it.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT rid, unnest(range(1, len(ws) - 33)) AS i, ws FROM d WHERE len(ws) >= 35),
+k AS (SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM x),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM k) WHERE c > 1),
+g AS (SELECT DISTINCT rid, i + o AS i FROM r, range(0, 35) AS t(o)),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+s AS (SELECT w.rid, string_agg(word, ' ' ORDER BY w.i) AS kept, count(*) AS n FROM w ANTI JOIN g ON w.rid = g.rid AND w.i = g.i GROUP BY w.rid),
+spans AS (SELECT rid, count(*) AS n FROM (SELECT rid, i - lag(i, 1, -9) OVER (PARTITION BY rid ORDER BY i) AS gap FROM g) WHERE gap > 1 GROUP BY rid)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256, coalesce(spans.n, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN s ON d.rid = s.rid LEFT JOIN spans ON d.rid = spans.rid
+"""

@@ -148,3 +148,18 @@ def dedup_bytes(docs: DataFrame, text: str = "text", ident: str = "doc_id", wind
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same by plain comparison of all windows, for tables of a size that bears it.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT rid, doc_id, h, length(h) // 2 AS n FROM d),
+k AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(0, n - 399)) AS i FROM n WHERE n >= 400)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM k) WHERE c > 1),
+b AS (SELECT rid, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM r)),
+s AS (SELECT rid, min(i) AS s, max(i) + 400 AS e FROM b GROUP BY rid, run),
+p AS (SELECT rid, s, e, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY s) AS before FROM s),
+q AS (SELECT rid, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept, count(*) AS spans FROM p JOIN n USING (rid) GROUP BY rid)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, (n.n - length(coalesce(q.kept, n.h)) // 2)::BIGINT AS n_removed, coalesce(q.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(q.kept, n.h))) AS kept_sha256
+FROM n LEFT JOIN q ON n.rid = q.rid
+"""

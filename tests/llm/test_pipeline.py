@@ -17,7 +17,8 @@ def test_stages(spark):
     leak = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
     clean = [r["doc_id"] for r in rows.filter("doc_id % 9 = 2").collect()]
     shared = " ".join(f"passage{i}" for i in range(60))
-    more = [(9001, None, "en", "s", 0), (9002, "12 34", "en", "s", 5), (9003, f"{shared} and then some words of its own follow here", "en", "s", 1), (9004, f"another start before it comes {shared}", "en", "s", 1), (9005, "Some lead in words. " + leak, "en", "s", 1)]
+    own = lambda x: " ".join(f"own{x}{i}" for i in range(50))
+    more = [(9001, None, "en", "s", 0), (9002, "12 34", "en", "s", 5), (9003, f"{shared} and then some words of its own follow here, {own('a')}", "en", "s", 1), (9004, f"another start before it comes {own('b')} {shared}", "en", "s", 1), (9005, "Some lead in words. " + leak, "en", "s", 1)]
     docs = common.stored(rows.unionByName(spark.createDataFrame(more, rows.schema)))
     columns, seen = docs.columns, []
     for i, (name, stage) in enumerate(P.STAGES):
@@ -39,7 +40,7 @@ def test_stages(spark):
     assert kept > 0
 
 
-@pytest.mark.parametrize("name", ["op6_warc_bundles", "op7_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_minhash_near_dedup", "op6_warc_bundles", "op7_source_mixing", "op8_suffix_array_dedup"])
 def test_sql_twins(spark, name):
     import __spark_entry__ as entry
 
