@@ -28,11 +28,11 @@ def memory_score(bm25: Column, tfidf: Column, recency_: Column, proximity: Colum
     return F.greatest(total - F.when(stale, STALE).otherwise(0.0), F.lit(0.0))
 
 
-def search(observations: DataFrame, links: DataFrame, query: str, now: int, limit: int = 5, kind: str | None = None, include_stale: bool = False, exclude_auto: bool | None = None, pivots: list[str] = (), half_life: float = HALF_LIFE_DAYS) -> DataFrame:
+def search(observations: DataFrame, links: DataFrame, query: str, now: int, limit: int = 5, kind: str | None = None, include_stale: bool = False, exclude_auto: bool | None = None, pivots: list[str] = (), half_life: float = HALF_LIFE_DAYS, stem: bool = True) -> DataFrame:
     """The best observations for a query; automatic ones are left out before the candidate limit unless a kind is asked for."""
     skip_auto = exclude_auto if exclude_auto is not None else kind is None
     pool = observations.filter("kind <> 'auto'") if skip_auto else observations
-    found = R.top_k(R.bm25(pool, "id", R.MEMORY_FIELDS, query), R.MEMORY_CANDIDATES, "bm25", "id")
+    found = R.top_k(R.bm25(pool, "id", R.MEMORY_FIELDS, query, stem=stem), R.MEMORY_CANDIDATES, "bm25", "id")
     found = found.withColumn("bm25", R.min_max(F.col("bm25")))  # stale ones still count here
     own = found.join(pool, "id")
     if not include_stale:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions import intent as I
+from loomdex.functions import stem as porter
 from loomdex.functions import text as X
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -33,7 +34,7 @@ def idf(n_docs: Column | int, df: Column) -> Column:
     return F.log(F.lit(n_docs) / (1 + df)) if isinstance(n_docs, int) else F.log(n_docs / (1 + df))
 
 
-def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | list[str], k1: float = K1, b: float = B) -> DataFrame:
+def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | list[str], k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
     """(id, bm25) of rows with a query term, over weighted fields.
 
     A term's frequency is the weighted sum over fields; a row's length is that of all
@@ -41,9 +42,11 @@ def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | lis
     (by comparing tokens, with no join), and statistics come from one aggregate.
     """
     terms = X.query_terms(query) if isinstance(query, str) else list(query)
+    if stem:
+        terms = list(dict.fromkeys(porter.stem(t) for t in terms))
     if not terms:
         return rows.sparkSession.createDataFrame([], f"{ident} {rows.schema[ident].dataType.simpleString()}, bm25 double")
-    t = rows.select(ident, *[X.fts_terms(F.col(f)).alias(f) for f in fields])
+    t = rows.select(ident, *[(porter.stems if stem else lambda c: c)(X.fts_terms(F.col(f))).alias(f) for f in fields])
     length = sum((F.size(f) for f in fields), F.lit(0))
     count = lambda f, term: F.size(F.filter(F.col(f), lambda w: w == term))
     weighted = [sum((count(f, term) * F.lit(w) for f, w in fields.items()), F.lit(0.0)).alias(f"f{i}") for i, term in enumerate(terms)]
@@ -139,7 +142,7 @@ def search_symbols(symbols: DataFrame, files: DataFrame, edges: DataFrame, centr
     name = intent or I.detect_one(query)
     weights = I.INTENTS[name].weights(encoder or query_vector is not None)
     query_tf = text_tf(query)
-    found = top_k(bm25(symbols, "id", SYMBOL_FIELDS, query), SYMBOL_CANDIDATES, "bm25", "id")
+    found = top_k(bm25(symbols, "id", SYMBOL_FIELDS, query, stem=True), SYMBOL_CANDIDATES, "bm25", "id")
     own = found.join(symbols, "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
     own = own.join(centrality, "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))

@@ -356,7 +356,7 @@ def memory_score(spark, sf):
     c = _t(spark, sf, "conversations")
     obs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("s").alias("session_id"), F.lit("manual").alias("kind"), F.col("text").alias("content"), F.col("role").alias("headline"), (F.col("turn") * 86400).alias("created_at"), (F.col("turn") % 4 == 3).alias("is_stale"))
     links = spark.createDataFrame([], "observation_id long, symbol_fqn string")
-    out = memory.search(obs, links, " ".join(_MQ), 1000000, limit=50, include_stale=True)
+    out = memory.search(obs, links, " ".join(_MQ), 1000000, limit=50, include_stale=True, stem=False)
     return out.select("id", _micro(F.col("memory_score")).alias("score"))
 
 

@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex import schema
@@ -59,14 +58,11 @@ class Engine:
         parsed = store.stored(extract.parse_files(sources.join(parse, "path", "left_semi")))
         left = store.delete_files(t, gone)
         file_base, sym_base = (t[n].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] for n in ("files", "symbols"))
-        number = lambda *order: F.row_number().over(W.orderBy(*order))
-        new_files = store.stored(parsed.select((number("path") + file_base).cast("long").alias("id"), "path", "language", "content_hash", "line_count", "byte_size", F.lit(now).cast("long").alias("indexed_at")))
-        # numbers by file and place: a window over each file and the files' own running total
-        own = extract.symbols_of(parsed).withColumn("_k", F.row_number().over(W.partitionBy("path").orderBy("start_line", "fqn")))
-        own = own.dropDuplicates(["fqn", "start_line"])
-        offset = parsed.select("path", F.size("symbols").alias("n")).withColumn("_o", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        own = own.join(offset, "path").join(new_files.select("path", F.col("id").alias("file_id")), "path")
-        new_symbols = store.stored(own.select((F.col("_k") + F.col("_o") + sym_base).cast("long").alias("id"), *[f.name for f in schema.SYMBOLS if f.name != "id"]))
+        # numbers needn't be dense: they are fixed by writing the rows, with no global order
+        number = lambda base: (F.monotonically_increasing_id() + F.lit(base + 1)).cast("long").alias("id")
+        new_files = store.stored(parsed.select(number(file_base), "path", "language", "content_hash", "line_count", "byte_size", F.lit(now).cast("long").alias("indexed_at")))
+        own = extract.symbols_of(parsed).dropDuplicates(["fqn", "start_line"]).join(new_files.select("path", F.col("id").alias("file_id")), "path")
+        new_symbols = store.stored(own.select(number(sym_base), *[f.name for f in schema.SYMBOLS if f.name != "id"]))
         tokens = X.tokenize_symbol(F.col("name"), F.col("docstring"), F.col("fqn"))
         tf = rank.term_frequencies(new_symbols.withColumnRenamed("id", "symbol_id"), "symbol_id", tokens).select("term", "symbol_id", "tf")
         out = {
@@ -88,7 +84,7 @@ class Engine:
             n_changes = found.count()
             if n_changes:
                 base = t["symbol_changes"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-                rows = found.withColumns({"session_id": F.lit(session_id).cast("string"), "detected_at": F.lit(now).cast("long"), "id": (number("file_path", "symbol_fqn", "change_kind") + base).cast("long")})
+                rows = found.withColumns({"session_id": F.lit(session_id).cast("string"), "detected_at": F.lit(now).cast("long"), "id": number(base)})
                 out["symbol_changes"] = t["symbol_changes"].unionByName(diff.correlate(rows, t["observations"], now).select(t["symbol_changes"].columns))
                 real = found.filter("change_kind <> 'added'")
                 out["observations"] = diff.mark_stale(t["observations"], t["observation_links"], real)
@@ -279,7 +275,7 @@ class Engine:
         n = rows.count()
         if n:
             base = t["observations"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            rows = rows.withColumns({"id": (F.row_number().over(W.orderBy("session_id", "content")) + base).cast("long"), "score": F.lit(None).cast("double")})
+            rows = rows.withColumns({"id": (F.monotonically_increasing_id() + F.lit(base + 1)).cast("long"), "score": F.lit(None).cast("double")})
             self.store.commit(observations=t["observations"].unionByName(rows.select(t["observations"].columns)))
         return n
 

@@ -77,3 +77,10 @@ def test_budget():
     b = pack.Budget.split(8000, 0.85)
     assert (b.memory, b.pivots, b.rest) == (500, 6375, 1125)
     assert pack.resolve_budget(99999999) == 50000 and pack.resolve_budget(None) == 10000 and pack.resolve_budget(None, 7) == 7
+
+
+def test_stems():
+    from loomdex.functions.stem import stem
+
+    words = "caresses ponies feed agreed plastered motoring hopping filing happy sky relational predication operator hopefulness electrical adoption cease controll authentication"
+    assert [stem(w) for w in words.split()] == "caress poni feed agre plaster motor hop file happi sky relat predic oper hope electr adopt ceas control authent".split()
