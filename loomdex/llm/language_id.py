@@ -22,12 +22,12 @@ occur; an empty table gives an empty one; other columns are kept.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,19 +40,16 @@ SLOTS = 64
 LANGUAGES = 2_000
 UNKNOWN = "und"
 
-_LETTER = regex.compile(r"\p{L}")
-
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Slot by UTF-16 unit (0: blank), and the vectors of all trigrams of slots."""
-    slot = np.zeros(1 << 16, np.uint8)
-    letters = [c for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and _LETTER.match(chr(c))]
-    own = [*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)][: SLOTS - 2]
-    for c in letters:
-        low = ord(chr(c).lower()[0]) & 0xFFFF
-        slot[c] = 1 + own.index(low) if low in own else 1 + (low * 2654435761 >> 8) % (SLOTS - 1)
-    slot[0xD800:0xE000] = SLOTS - 1  # letters and signs beyond the basic plane
+    """Slot by code point (0: blank), and the vectors of all trigrams of slots."""
+    slot = np.zeros(0x110000, np.uint8)
+    own = {c: 1 + i for i, c in enumerate([*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)][: SLOTS - 2])}
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == "L":
+            low = ord(chr(c).lower()[0])
+            slot[c] = own.get(low) or 1 + (low * 2654435761 >> 8) % (SLOTS - 1)
     letter = np.random.default_rng(11).choice(np.array([-1, 1], np.int8), (SLOTS, DIMENSIONS))
     a, b, c = np.roll(letter, 2, 1), np.roll(letter, 1, 1), letter
     table = (a[:, None, None, :] * b[None, :, None, :] * c[None, None, :, :]).reshape(SLOTS**3, DIMENSIONS)
@@ -62,7 +59,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Distinct trigrams of a text and how often each occurs; None without a letter."""
     slot, _ = _tables()
-    s = slot[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
+    s = slot[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not s.any():
         return None
     keep = s > 0

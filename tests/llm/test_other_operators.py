@@ -304,4 +304,4 @@ def test_languages(spark):
 
 def test_hypervectors():
     a, b = L.encode("the cat sat on the mat"), L.encode("The CAT  sat, on the mat!")
-    assert a == pytest.approx(b) and a @ a == pytest.approx(1) and abs(a @ L.encode("zzyx qwv kkj")) < 0.35 and L.encode("42") is None
+    assert a == pytest.approx(b) and a @ a == pytest.approx(1) and abs(a @ L.encode("zzyx qwv kkj")) < 0.35 and L.encode("42 😀") is None and L.encode("𐐷") is not None
