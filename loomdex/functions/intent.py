@@ -36,13 +36,18 @@ class Intent:
         return dict(zip(SIGNALS, self.encoded if encoder else (*self.plain, 0.0), strict=True))
 
 
-_COMMON = (0.35, 0.30, 0.25, 0.10), (0.30, 0.25, 0.20, 0.10, 0.15)
+
+def _percent(plain: str, encoded: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    return tuple(int(x) / 100 for x in plain.split()), tuple(int(x) / 100 for x in encoded.split())
+
+
+_COMMON = _percent("35 30 25 10", "30 25 20 10 15")
 INTENTS = {
     "debug": Intent(*_COMMON, depth=3),
     "test": Intent(*_COMMON),
-    "refactor": Intent((0.25, 0.25, 0.35, 0.15), (0.20, 0.20, 0.30, 0.15, 0.15), depth=3, pivot_share=0.70),
-    "modify": Intent((0.30, 0.30, 0.30, 0.10), (0.25, 0.25, 0.25, 0.10, 0.15)),
-    "understand": Intent((0.30, 0.30, 0.25, 0.15), (0.25, 0.25, 0.20, 0.10, 0.20), docs=True),
+    "refactor": Intent(*_percent("25 25 35 15", "20 20 30 15 15"), depth=3, pivot_share=0.70),
+    "modify": Intent(*_percent("30 30 30 10", "25 25 25 10 15")),
+    "understand": Intent(*_percent("30 30 25 15", "25 25 20 10 20"), docs=True),
     EXPLORE: Intent(*_COMMON),
 }
 

@@ -13,7 +13,7 @@ from loomdex.operators import rank as R
 WEIGHTS = {"bm25": 0.35, "tfidf": 0.25, "recency": 0.20, "proximity": 0.15}
 STALE = 0.30
 HALF_LIFE_DAYS = 7.0
-KINDS = ("auto", "insight", "decision", "error", "manual")
+KINDS = tuple("auto decision error insight manual".split())
 IDLE_S = 86_400
 KEY_TERMS = 20
 CONTENT_BYTES = 64 * 1024

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 
-CONTAINERS = ("class", "struct", "interface", "enum", "trait", "module", "namespace")
+CONTAINERS = tuple("class enum interface module namespace struct trait".split())
 DEFAULT_BUDGET, MOST_BUDGET = 10_000, 50_000
 CONTENT_SHARE = 0.8
 

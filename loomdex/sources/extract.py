@@ -86,6 +86,10 @@ class Symbol:
     scopes: list[str] = field(default_factory=list)
     body: str = ""
 
+    def row(self) -> dict:
+        plain = {k: getattr(self, k) for k in "docstring end_line fqn kind name signature".split()}
+        return plain | {"start_line": self.begin_line, "is_exported": self.exported, "body_hash": hashlib.sha256(self.body.encode()).hexdigest()}
+
 
 def language_of(path: str) -> Language | None:
     return BY_EXTENSION.get(path.rsplit(".", 1)[-1].lower()) if "." in path.rsplit("/", 1)[-1] else None
@@ -301,9 +305,8 @@ def parse_files(sources: DataFrame) -> DataFrame:
                     continue
                 symbols, edges = parse(path, content)
                 raw = content.encode()
-                rows.append((path, lang.name, hashlib.sha256(raw).hexdigest(), content.count("\n") + (not content.endswith("\n")) * bool(content), len(raw), [(s.name, s.kind, s.fqn, s.signature, s.docstring, s.begin_line, s.end_line, s.exported, hashlib.sha256(s.body.encode()).hexdigest()) for s in symbols], edges))
-            names = ["name", "kind", "fqn", "signature", "docstring", "start_line", "end_line", "is_exported", "body_hash"]
-            yield pd.DataFrame({"path": [r[0] for r in rows], "language": [r[1] for r in rows], "content_hash": [r[2] for r in rows], "line_count": [r[3] for r in rows], "byte_size": [r[4] for r in rows], "symbols": [[dict(zip(names, s, strict=True)) for s in r[5]] for r in rows], "edges": [[dict(zip(("from_fqn", "to_name", "kind"), e, strict=True)) for e in r[6]] for r in rows]})
+                rows.append((path, lang.name, hashlib.sha256(raw).hexdigest(), content.count("\n") + (not content.endswith("\n")) * bool(content), len(raw), [s.row() for s in symbols], edges))
+            yield pd.DataFrame({"path": [r[0] for r in rows], "language": [r[1] for r in rows], "content_hash": [r[2] for r in rows], "line_count": [r[3] for r in rows], "byte_size": [r[4] for r in rows], "symbols": [r[5] for r in rows], "edges": [[dict(zip(("from_fqn", "to_name", "kind"), e, strict=True)) for e in r[6]] for r in rows]})
 
     return sources.select("path", "content").mapInPandas(run, _PARSED)
 

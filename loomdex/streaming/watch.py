@@ -13,7 +13,7 @@ from loomdex.operators.detect import THRASHING, WINDOW_S
 #: A row per file event; a file source only tells of new files, so changes and deletions are rows of a log.
 EVENTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("op", T.StringType()), T.StructField("ts", T.TimestampType())])
 DEBOUNCE = "500 milliseconds"
-IGNORED = ("target/", "build/", "bin/", "node_modules/", ".git/", "dist/")
+IGNORED = tuple(f"{d}/" for d in "bin build dist node_modules target .git".split())
 
 
 def debounce(events: DataFrame, ts: str = "ts", gap: str = DEBOUNCE, *keys: str) -> DataFrame:
