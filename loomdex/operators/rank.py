@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,13 +53,14 @@ def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | lis
     count = lambda f, term: F.size(F.filter(F.col(f), lambda w: w == term))
     weighted = [sum((count(f, term) * F.lit(w) for f, w in fields.items()), F.lit(0.0)).alias(f"f{i}") for i, term in enumerate(terms)]
     t = t.select(ident, length.cast("double").alias("dl"), *weighted)
-    stats = t.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    t = t.filter(F.greatest(*[F.col(f"f{i}") for i in range(len(terms))], F.lit(0.0)) > 0).crossJoin(F.broadcast(stats))  # one row
+    n = range(len(terms))
+    stats = t.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in n]).first()
+    t = t.filter(F.greatest(*[F.col(f"f{i}") for i in n], F.lit(0.0)) > 0)
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        f, df = F.col(f"f{i}"), F.col(f"df{i}")
-        weight = F.greatest(F.log((F.col("N") - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
-        score = score + weight * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    for i in n:
+        f, df = F.col(f"f{i}"), stats[f"df{i}"] or 0
+        weight = max(math.log((stats["N"] - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+        score = score + F.lit(weight) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
     return t.select(ident, score.alias("bm25"))
 
 
@@ -69,14 +72,17 @@ def query_cosine(tf: DataFrame, ident: str, query_tf: dict[str, float], n_docs:
     """(id, tfidf): cosine of TF-IDF vectors over the query's terms; terms that no row has weigh 0."""
     if not query_tf:
         return tf.select(ident).limit(0).withColumn("tfidf", F.lit(0.0))
-    q = tf.sparkSession.createDataFrame([(t, float(v)) for t, v in sorted(query_tf.items())], "term string, q double")
-    q = q.join(df.filter(F.col("term").isin(*query_tf)), "term").withColumn("idf", idf(n_docs, F.col("df")))
-    norm = F.sqrt(F.sum(F.pow(F.col("q") * F.col("idf"), 2)))
-    q = q.crossJoin(q.agg(norm.alias("qn")))
-    own = F.col("tf") * F.col("idf")
-    joined = tf.filter(F.col("term").isin(*query_tf)).join(F.broadcast(q), "term")  # as many rows as the query has terms
-    out = joined.groupBy(ident, "qn").agg(F.sum(own * F.col("q") * F.col("idf")).alias("dot"), F.sqrt(F.sum(own * own)).alias("n"))
-    return out.select(ident, F.when((F.col("n") > 0) & (F.col("qn") > 0), F.col("dot") / (F.col("n") * F.col("qn"))).otherwise(0.0).alias("tfidf"))
+    # one row for each of the query's terms comes to the driver and goes out as a literal map
+    found = df.filter(F.col("term").isin(*query_tf)).select("term", idf(n_docs, F.col("df")).alias("idf")).collect()
+    weight = {r["term"]: r["idf"] for r in found}
+    if not weight:
+        return tf.select(ident).limit(0).withColumn("tfidf", F.lit(0.0))
+    norm = sum((query_tf[t] * weight[t]) ** 2 for t in sorted(weight)) ** 0.5
+    as_map = lambda m: F.create_map(*[F.lit(x) for kv in sorted(m.items()) for x in kv])[F.col("term")]
+    own = F.col("tf") * as_map(weight)
+    asked = as_map({t: float(query_tf[t] * weight[t]) for t in weight})
+    out = tf.filter(F.col("term").isin(*weight)).groupBy(ident).agg(F.sum(own * asked).alias("dot"), F.sqrt(F.sum(own * own)).alias("n"))
+    return out.select(ident, F.when((F.col("n") > 0) & F.lit(norm > 0), F.col("dot") / (F.col("n") * F.lit(norm or 1.0))).otherwise(0.0).alias("tfidf"))
 
 
 def plain_cosine(tf: DataFrame, ident: str, query_tf: dict[str, float]) -> DataFrame:

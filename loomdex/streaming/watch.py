@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.operators.detect import THRASHING, WINDOW_S
+from loomdex.functions.scalars import query_of
+from loomdex.operators.detect import CIRCULAR, SIMILAR, THRASHING, WINDOW_S
+from loomdex.operators.rank import text_tf
 
 #: A row per file event; a file source only tells of new files, so changes and deletions are rows of a log.
 EVENTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("op", T.StringType()), T.StructField("ts", T.TimestampType())])
@@ -83,6 +86,44 @@ def thrashing_stream(changes: DataFrame, window: str = "300 seconds", slide: str
     return n.filter(F.col("n") >= THRASHING)
 
 
+def circular_stream(searches: DataFrame, window: int = WINDOW_S, idle: str = "10 minutes") -> DataFrame:
+    """The circular-search rule on a stream of (session_id, kind, content, ts).
+
+    Each session's state holds the current run of similar queries only: its length, its
+    first query, and the latest query's term counts and time.  A manual note, a gap of
+    more than the window, or a query that is too different begins a new run; a run is
+    told once, when it reaches the rule's length.
+    """
+    out = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("n", T.IntegerType())])
+    state_type = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), T.StructField("at", T.DoubleType())])
+
+    def step(key, frames, state):
+        n, first, last, at = state.get if state.exists else (0, "", "", 0.0)
+        told = []
+        rows = pd.concat(list(frames)).sort_values("ts")
+        for kind, query, ts in rows[["kind", "query", "ts"]].itertuples(index=False):
+            now = ts.timestamp()
+            if kind == "manual":
+                n = 0
+            elif query:
+                near = n and now - at <= window and _cosine(text_tf(last), text_tf(query)) >= SIMILAR
+                n, first = (n + 1, first) if near else (1, query)
+                last, at = query, now
+                if n == CIRCULAR:
+                    told.append((key[0], first, n))
+        state.update((n, first, last, at))
+        yield pd.DataFrame(told, columns=["session_id", "query", "n"])
+
+    rows = searches.select("session_id", "kind", F.coalesce(query_of(F.col("content")), F.lit("")).alias("query"), "ts").withWatermark("ts", idle)
+    return rows.groupBy("session_id").applyInPandasWithState(step, out, state_type, "append", "NoTimeout")
+
+
+def _cosine(a: dict[str, float], b: dict[str, float]) -> float:
+    dot = sum(v * b.get(t, 0.0) for t, v in a.items())
+    norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    return dot / norm if norm else 0.0
+
+
 def keyset_page(rows: DataFrame, at: str, ident: str, after: int, after_id: int, limit: int) -> DataFrame:
     """The next rows after a position (time, id), in that order."""
     later = (F.col(at) > after) | ((F.col(at) == after) & (F.col(ident) > after_id))

@@ -40,6 +40,18 @@ def test_detector_streams(spark, tmp_path):
         assert {r["symbol_fqn" if name == "dead" else "file_path"] for r in got.collect()} == want
 
 
+def test_circular_stream(spark, tmp_path):
+    shape = "session_id string, kind string, content string, ts timestamp"
+    ask = lambda s, i, q: (s, "auto", f"Tool: t. Query: {q}. Result: r", at(i))
+    rows = [ask("s", i, "find the token check") for i in range(3)] + [ask("t", 0, "find token"), ask("t", 1, "database pool"), ask("t", 2, "find token")]
+    rows += [ask("u", 0, "a token"), ask("u", 1, "a token"), ("u", "manual", "noted", at(2)), ask("u", 3, "a token")]
+    path = str(tmp_path / "c")
+    spark.createDataFrame(rows, shape).write.parquet(path)
+    q = watch.circular_stream(spark.readStream.schema(shape).parquet(path)).writeStream.format("memory").queryName("circular").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert [tuple(r) for r in spark.table("circular").collect()] == [("s", "find the token check", 3)]
+
+
 @pytest.mark.parametrize(("pattern", "path", "hit"), [("*.log", "a/b.log", True), ("build/", "x/build/y.ts", True), ("/src/*.ts", "src/a.ts", True), ("/src/*.ts", "lib/src/a.ts", False), ("a/**/b", "a/x/y/b", True)])
 def test_ignore_patterns(pattern, path, hit):
     import re
