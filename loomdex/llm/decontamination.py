@@ -39,15 +39,18 @@ _PUNCT = ".,;:!?\"')\\]"
 
 def words(text: Column) -> Column:
     """Words as they stand."""
-    return F.split(F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", ""), f"[{_SPACE}]+")
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), f"[{_SPACE}]+")
 
 
 def template(text: Column) -> Column:
-    """The template as a text with as many words as ``text``."""
-    t = F.regexp_replace(text, f"(?<=[0-9][{_SPACE}])(?i:{UNITS})(?=[{_PUNCT}]*(?:[{_SPACE}]|$))", UNIT)
-    t = F.regexp_replace(t, f"(?<=[\\p{{Ll}},;][{_SPACE}])\\p{{Lu}}[\\p{{L}}'-]*", NAME)
+    """The template as a text with as many words as ``text``.
+
+    Every pattern begins with a character to look for and looks back only from there.
+    """
+    t = F.regexp_replace(text, f"([0-9][{_SPACE}])(?i:{UNITS})(?=[{_PUNCT}]*(?:[{_SPACE}]|$))", "$1" + UNIT)
+    t = F.regexp_replace(t, f"\\p{{Lu}}(?<=[\\p{{Ll}},;][{_SPACE}]\\p{{Lu}})[\\p{{L}}'-]*", NAME)
     t = F.regexp_replace(t, "[0-9](?:[0-9.,:/]*[0-9])?", NUM)
-    t = F.regexp_replace(t, f"(?<=[^{_SPACE}])[{_PUNCT}]+(?=[{_SPACE}]|$)", "")
+    t = F.regexp_replace(t, f"[{_PUNCT}](?<=[^{_SPACE}].)[{_PUNCT}]*(?=[{_SPACE}]|$)", "")
     return F.lower(t)
 
 
