@@ -7,8 +7,6 @@ string is made per row.  A word is a maximal run of bytes other than 0x20 and
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.sources.store import shared_folder, stored  # noqa: F401  (the operators take them from here)
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Texts are scanned in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -139,27 +139,6 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> Non
         spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder named by spark.checkpoint.dir, which all executors share.
-
-    Where that is unset, a temporary folder serves a local session (tests); on a
-    cluster it is an error, since a machine's own folder is not shared.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_loomdex_shared", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = spark._loomdex_shared = "file://" + tempfile.mkdtemp(prefix="loomdex-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_key(docs: DataFrame, text: str, ident: str) -> DataFrame:
     """Add _k1 and _k2, two hashes of id and text, by which later stages find the row again.
 
