@@ -61,7 +61,8 @@ def _grams(text: Column, order: int) -> Column:
 
 
 def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+    # md5 rather than a faster hash, so that SQL can say the same; BUCKETS divides 2**32
+    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int")
 
 
 def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
@@ -135,3 +136,35 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, order: int = ORDER) -
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _oracle() -> str:
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    by_length = sorted(RULES, key=lambda r: (len(r[0]), r[0]), reverse=True)
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[0].partition('/')[0], '/' + r[0].partition('/')[2])} THEN '{r[k]}'" for r in by_length) + " END"
+    level = lambda k: f"""l{k} AS MATERIALIZED (SELECT g.g, a + r AS w, (a + {M} * pa0) / (ca + {M}) AS pa, (r + {M} * pr0) / (cr + {M}) AS pr, pa0, pr0
+      FROM (SELECT g.g, a, r, ca, cr, {'y.pa' if k > 1 else f'1.0::DOUBLE / {EVEN}'} AS pa0, {'y.pr' if k > 1 else f'1.0::DOUBLE / {EVEN}'} AS pr0
+        FROM g JOIN c ON c.k = {k} AND c.x = substr(g.g, 1, {k - 1}) {f'JOIN l{k - 1} y ON y.g = substr(g.g, 2)' if k > 1 else ''} WHERE g.k = {k}) g)"""
+    grams = "SELECT *, substr(s, i, k) AS g FROM (SELECT *, unnest(range(1, length(s) - k + 2)) AS i FROM {t}, range(1, %d) AS o(k) WHERE length(s) >= k)" % (ORDER + 1)
+    bucket = f"(('0x' || substr(md5(g), 1, 8))::BIGINT % {BUCKETS})"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+v AS MATERIALIZED (SELECT *, {case(0)} AS rule, {case(1)} AS said, chr(2) || host || path || chr(3) AS s FROM p),
+z AS MATERIALIZED (SELECT s, said = 'allow' AS good, count(*) AS n FROM v GROUP BY ALL),
+lab AS (SELECT * FROM z WHERE good IS NOT NULL),
+g AS MATERIALIZED (SELECT g, k, sum(CASE WHEN good THEN n ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN good THEN 0 ELSE n END)::DOUBLE AS r FROM ({grams.format(t='lab')}) GROUP BY g, k),
+c AS MATERIALIZED (SELECT k, substr(g, 1, k - 1) AS x, sum(a) AS ca, sum(r) AS cr FROM g GROUP BY ALL),
+{", ".join(level(k) for k in range(1, ORDER + 1))},
+m AS MATERIALIZED (SELECT {bucket} AS b, sum((ln(pa / pr) - ln(pa0 / pr0)) * w) / sum(w) AS delta FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, ORDER + 1))}) GROUP BY ALL),
+d AS (SELECT s, round(sum(delta) / length(s), 9) AS score FROM (SELECT s, {bucket} AS b FROM ({grams.format(t='(SELECT DISTINCT s FROM z)')})) JOIN m USING (b) GROUP BY s),
+e AS MATERIALIZED (SELECT z.*, coalesce(score, 0) AS score FROM z LEFT JOIN d USING (s)),
+q AS (SELECT good, sum(n * score) / sum(n) AS mean, sqrt(greatest(1e-9::DOUBLE, sum(n * score * score) / sum(n) - pow(sum(n * score) / sum(n), 2))) AS dev FROM e WHERE good IS NOT NULL GROUP BY good),
+t AS (SELECT CASE WHEN x.mean IS NULL AND y.mean IS NULL THEN '-inf'::DOUBLE WHEN x.mean IS NULL THEN 'inf'::DOUBLE WHEN y.mean IS NULL THEN '-inf'::DOUBLE
+  ELSE round((x.mean * y.dev + y.mean * x.dev) / (x.dev + y.dev), 9) END AS line FROM (SELECT 1) LEFT JOIN q x ON x.good LEFT JOIN q y ON NOT y.good)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= line THEN 'allow' ELSE 'block' END) AS verdict
+FROM v LEFT JOIN (SELECT s, score FROM e WHERE good IS NULL) f USING (s), t
+"""
+
+
+ORACLE_SQL = _oracle()
