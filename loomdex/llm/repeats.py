@@ -188,7 +188,7 @@ def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: in
 
     runs = slim.mapInArrow(scan, "kfp long, c long, _k1 long, at long")
     seen = runs.groupBy("kfp").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    seen = C.stored(seen.filter("m > 1").select("kfp", (F.col("lo") != F.col("hi")).alias("mixed")))
+    seen = seen.filter("m > 1").select("kfp", (F.col("lo") != F.col("hi")).alias("mixed"))
     kept = C.stored(runs.join(seen, "kfp"))
     mixed = kept.filter("mixed")
     contexts = C.stored(mixed.groupBy("kfp", "c").agg(F.count("*").alias("n"), F.first("_k1").alias("_k1"), F.first("at").alias("at")))
