@@ -18,7 +18,7 @@ from loomdex.sources.store import shared_folder, stored  # noqa: F401  (the oper
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Texts are scanned in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _SEP = np.zeros(256, bool)

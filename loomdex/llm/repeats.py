@@ -36,7 +36,7 @@ from loomdex.llm import common as C
 #: Different contexts of one k-gram above which it is matched window by window.
 HOT = 20_000
 #: Bytes of context solved at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _POS_BITS = 28
