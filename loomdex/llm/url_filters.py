@@ -10,9 +10,12 @@ A model of order k gives a character after a context of k - 1 the probability
 distribution.  A longer context therefore only counts as far as it was seen.  What a
 gram of order k changes in the log ratio against order k - 1 is kept as one number;
 a url's score is the sum over all its grams, since whenever a gram was seen its
-suffixes were, too.  The numbers are kept by hash in ``BUCKETS`` buckets (a mean
-weighted by counts), so the table that every task gets has a fixed size whatever was
-counted.  All counts are over all rows; all steps are DataFrame operations.
+suffixes were, too.  The model is a table with a row for every gram that was counted:
+it grows with the urls and is joined by shuffle, never sent to every task.  All counts
+are over all rows; all steps are DataFrame operations.
+
+The SQL twin still shares ``BUCKETS`` buckets among the grams, so it says the same only
+while few of them meet in one.
 
 Cases: for a null url, or one without ``://``, host and path are empty, no rule fits
 and the models judge the empty string; a path that is empty doesn't start with ``/``;
@@ -32,6 +35,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 ORDER = 5
 #: Weight of the shorter context against counts, and the number of characters told apart at order 0.
 M, EVEN = 4.0, 128.0
+#: Of the SQL twin only.
 BUCKETS = 1 << 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,13 +64,13 @@ def _grams(text: Column, order: int) -> Column:
     return F.flatten(F.transform(every, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(order), F.length(text) - i + 1)), lambda k: F.substring(text, i, k))))
 
 
-def _bucket(gram: Column) -> Column:
-    # md5 rather than a faster hash, so that SQL can say the same; BUCKETS divides 2**32
-    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int")
+def _starts(text: Column, order: int) -> Column:
+    """The longest gram at every character: ``order`` characters, fewer at the end."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, order))
 
 
 def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
-    """(bucket, delta) from rows of (s, good, n): a string, whether accepted, and how often it occurs."""
+    """(g, delta), a row for every gram that occurs, from rows of (s, good, n): a string, whether accepted, and how often it occurs."""
     exploded = urls.select("good", "n", F.explode(_grams(F.col("s"), order)).alias("g"))
     counts = C.stored(exploded.groupBy("g").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("good"), 0).otherwise(F.col("n"))).alias("r")))
     size = F.length("g")
@@ -82,21 +86,25 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
             lower = below.select(F.col("g").alias("y"), F.col("pa").alias("pa0"), F.col("pr").alias("pr0"))
             own = own.withColumn("y", F.substring("g", 2, k - 1)).join(lower, "y").drop("y")
         p = lambda n, c, q: (F.col(n) + M * F.col(q)) / (F.col(c) + M)
-        below = C.stored(own.select("g", (F.col("a") + F.col("r")).alias("w"), p("a", "ca", "pa0").alias("pa"), p("r", "cr", "pr0").alias("pr"), "pa0", "pr0"))
+        below = C.stored(own.select("g", p("a", "ca", "pa0").alias("pa"), p("r", "cr", "pr0").alias("pr"), "pa0", "pr0"))
         levels.append(below)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
     delta = F.log(F.col("pa") / F.col("pr")) - F.log(F.col("pa0") / F.col("pr0"))
-    return C.stored(out.groupBy(_bucket(F.col("g")).alias("bucket")).agg((F.sum(delta * F.col("w")) / F.sum("w")).alias("delta")))
+    return out.select("g", delta.alias("delta"))
 
 
 def score(strings: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """(s, score) per distinct s: the log ratio per character, to nine places."""
-    grams = strings.select("s", F.explode(F.transform(_grams(F.col("s"), order), _bucket)).alias("bucket"))
-    # at most BUCKETS rows of 12 bytes
-    found = grams.join(F.broadcast(model), "bucket")
-    return found.groupBy("s").agg(F.round(F.sum("delta") / F.length("s"), 9).alias("score"))
+    own = C.stored(strings.select("s").filter("s <> ''").distinct().withColumn("id", F.monotonically_increasing_id()))
+    # all grams that begin at a character are prefixes of the longest one there: each distinct one is summed up once
+    at = own.select("id", F.explode(_starts(F.col("s"), order)).alias("w"))
+    prefixes = at.select("w").distinct().select("w", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring("w", 1, k))).alias("g"))
+    # merge joins: they spill, and parts with many rows of one gram are split
+    worth = prefixes.join(model.hint("merge"), "g").groupBy("w").agg(F.sum("delta").alias("delta"))
+    sums = at.join(worth.hint("merge"), "w").groupBy("id").agg(F.sum("delta").alias("total"))
+    return own.join(sums, "id").select("s", F.round(F.col("total") / F.length("s"), 9).alias("score"))
 
 
 def threshold(labelled: DataFrame) -> float | None:

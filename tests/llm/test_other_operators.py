@@ -92,6 +92,19 @@ def test_url_models(spark, monkeypatch):
     assert min(got[s] for s in good[:5]) > max(got[s] for s in bad[:5])
 
 
+def test_url_models_keep_every_gram(spark):
+    """More grams than the 65,536 buckets of old, with the settings of the query."""
+    rng = random.Random(3)
+    string = lambda: "\x02" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-/", k=30)) + "\x03"
+    labelled = [(string(), i % 2 == 0) for i in range(2500)]
+    assert len({s[i : i + k] for s, _ in labelled for i in range(len(s)) for k in range(1, U.ORDER + 1)}) > 2 * 65536
+    model = U.fit(spark.createDataFrame([(s, g, 1) for s, g in labelled], "s string, good boolean, n long"))
+    want = url_model(labelled, U.ORDER)
+    asked = [s for s, _ in labelled[:20]] + [string() for _ in range(20)] + ["é", "\x02\x03"]
+    got = {r["s"]: r["score"] for r in U.score(spark.createDataFrame([(s,) for s in asked], "s string"), model).collect()}
+    assert [got.get(s, 0) for s in asked] == pytest.approx([want(s) for s in asked], abs=1e-6)
+
+
 def test_url_verdicts(spark):
     pages = [(i, f"http://shop{i}.net/cheap-pills") for i in range(20)] + [(100 + i, f"http://site{i}.org/fr/article") for i in range(20)]
     pages += [(200, "http://shop7.biz/cheap-pills"), (201, "http://site3.eu/fr/article"), (202, None), (203, ""), (201, "http://site3.eu/fr/article")]
