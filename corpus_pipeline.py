@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import common, decontamination, language_id, minhash_dedup, source_mixing, substring_dedup
 
-#: Documents whose best language is a cosine below this are no language at all (1 is perfect, 0.5 chance).
-LEAST_SCORE = 0.5
-
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; null, letterless and unrecognisable texts go.
 
     Learned from all rows with a language, so that every document is judged by profiles of all.
+    A text is recognised by the trigrams that are common in a language: the best language's
+    score is never low enough to tell junk from text.
     """
     model = language_id.learn(docs)
-    judged = language_id.identify(docs, model)
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    common = language_id.common_grams(docs)
+    known = language_id.recognise(docs, common, language_id.bounds(docs, common))
+    return language_id.identify(known, model).filter(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,12 @@ are told apart up to ``SLOTS`` - 1 of them by code point (a to z and Latin-1 let
 have slots of their own, others share slots by hash), so the table of all trigram
 vectors has a fixed size.
 
+The largest cosine tells languages apart, but is at least 0 for any letters, so it can't
+tell that a text is in none of them.  ``recognise`` judges that by the share of a text's
+trigrams that are common in a language (``COMMON`` of its trigrams or more), against a
+bound for each language calibrated on the labelled rows: ``SPREAD`` standard deviations
+above what texts of the other languages get, but at most midway to what its own get.
+
 Learning sums vectors per language in every task before they are shuffled: one vector
 per language and Arrow batch, so a language that holds most rows is no hot group.
 
@@ -39,6 +45,12 @@ SLOTS = 64
 #: Languages that may be learned; more mean that the column holds something else.
 LANGUAGES = 2_000
 UNKNOWN = "und"
+#: A trigram is common in a language if it is this share of its trigrams: 1 / COMMON of them at most.
+COMMON = 1e-4
+#: Standard deviations between what other languages' texts get and the bound.
+SPREAD = 3.0
+#: Languages whose trigrams a task counts (2 MB each) before it hands them on.
+HELD = 16
 
 
 @lru_cache(maxsize=1)
@@ -141,6 +153,101 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "t
     return docs.mapInArrow(predict, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def _share(bits: np.ndarray, text: str | None) -> np.ndarray | None:
+    """The share of a text's trigrams that are common, by language; None without a letter."""
+    grams = _grams(text) if text else None
+    if grams is None:
+        return None
+    g, n = grams
+    return ((bits[:, g >> 3] >> (g & 7).astype(np.uint8)) & 1) @ n / n.sum()
+
+
+def common_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """A bit per trigram by language, set if it is common there, from every row with a language."""
+    C.small_batches(docs.sparkSession)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for name, n in held.items():
+                g = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(n[g])], ["lang", "g", "n"])
+            held.clear()
+
+        for b in batches:
+            for t, name in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
+                grams = _grams(t.as_py()) if t.is_valid else None
+                if grams is not None:
+                    if name not in held and len(held) == HELD:
+                        yield from rows()
+                    held.setdefault(name, np.zeros(SLOTS**3, np.int64))[grams[0]] += grams[1]
+        yield from rows()
+
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
+    sums = C.stored(rows.mapInArrow(counts, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
+    total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
+    found = sums.join(total, "lang").filter(F.col("n") >= F.col("total") * F.lit(COMMON))
+    # at most 1 / COMMON numbers for each of at most LANGUAGES languages reach the driver
+    made = found.groupBy("lang").agg(F.collect_list("g").alias("g")).limit(LANGUAGES + 1).collect()
+    if len(made) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} distinct languages")
+    out = {}
+    for r in sorted(made, key=lambda r: r["lang"]):
+        own = np.zeros(SLOTS**3, np.uint8)
+        own[r["g"]] = 1
+        out[r["lang"]] = np.packbits(own, bitorder="little")
+    return out
+
+
+def bounds(docs: DataFrame, common: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """By language the least share of common trigrams with which a text counts as one of it."""
+    C.small_batches(docs.sparkSession)
+    langs = sorted(common)
+    bits = np.array([common[x] for x in langs]).reshape(len(langs), SLOTS**3 // 8)
+    at = {x: k for k, x in enumerate(langs)}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # in ten-thousandths, so that the sums don't depend on their order: own rows and sum, others' rows, sum and squares
+        held = np.zeros((5, len(langs)), np.int64)
+        for b in batches:
+            for t, name in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
+                share = _share(bits, t.as_py())
+                if share is not None:
+                    x, k = np.round(share * 1e4).astype(np.int64), at[name]
+                    own = np.arange(len(langs)) == k
+                    held += np.array([own, own * x, ~own, ~own * x, ~own * x * x])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *(pa.array(h) for h in held)], ["lang", "n", "s", "m", "o", "q"])
+
+    if not langs:
+        return {}
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
+    got = rows.mapInArrow(sums, "lang string, n long, s long, m long, o long, q long").groupBy("lang").agg(*[F.sum(c).alias(c) for c in "nsmoq"])
+    out = {}
+    for r in got.collect():
+        own = r["s"] / max(1, r["n"]) / 1e4
+        mean = r["o"] / max(1, r["m"]) / 1e4
+        dev = max(0.0, r["q"] / max(1, r["m"]) / 1e8 - mean**2) ** 0.5
+        half = (own + mean) / 2
+        out[r["lang"]] = min(half, mean + SPREAD * dev) if r["m"] else half  # one language has no others
+    return out
+
+
+def recognise(docs: DataFrame, common: dict[str, np.ndarray], least: dict[str, float], text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is in no language of ``common``."""
+    C.small_batches(docs.sparkSession)
+    langs = sorted(common)
+    bits = np.array([common[x] for x in langs]).reshape(len(langs), SLOTS**3 // 8)
+    line = np.array([least[x] for x in langs])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shares = (_share(bits, t.as_py()) for t in b.column(text))
+            yield b.filter(pa.array([s is not None and bool((s >= line).any()) for s in shares], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)
+
+
 def held_out(ident: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id as text leaves 1 modulo 3 (a null id counts as held out)."""
     return F.coalesce(F.crc32(F.encode(F.col(ident).cast("string"), "UTF-8")) % 3 == 1, F.lit(True))

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -40,6 +41,25 @@ def test_stages(spark):
     assert kept > 0
 
 
+def test_unrecognised_languages_go(spark):
+    """Junk with letters and a language that wasn't learned go; documents in learned ones stay."""
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    junk = ["".join(rng.choices(letters, k=k)) for letters in ("abcdefghijklmnopqrstuvwxyz ", "0123456789abcdef ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for k in (200, 2000)]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są obdarzeni rozumem i sumieniem.", "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = rows.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))  # French is not learned
+    more = spark.createDataFrame([(9000 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], rows.schema)
+    kept = {r["doc_id"] for r in P.keep_languages(spark, rows.unionByName(more), DATA).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 9000]
+    ids = lambda cond: {r["doc_id"] for r in rows.filter(cond).filter("text rlike '[a-z]'").collect()}
+    french = ids("lang is null")  # some of it is words that are Spanish, too
+    assert ids("lang is not null") <= kept and len(french & kept) < len(french) / 5
+
+
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_minhash_near_dedup", "op6_warc_bundles", "op7_source_mixing", "op8_suffix_array_dedup"])
 def test_sql_twins(spark, name):
     import __spark_entry__ as entry
