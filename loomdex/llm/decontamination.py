@@ -5,7 +5,10 @@ Texts and items are brought to templates: numbers, units after numbers and names
 and punctuation at word ends goes.  Every window of ``WINDOW`` template words is
 hashed and joined with the items' windows.  An item is found in a text when enough of
 its windows are; its slots must then be filled consistently: the same value of the
-item stands for one value in the text throughout.  A re-parameterised question passes,
+item stands for one value in the text.  That is judged per occurrence: over the hits
+that lie alike (a window's place in the text less that in the item), over those that lie
+within ``SLACK`` words of each other (a word put in or left out) and over all of them;
+one that passes is enough.  A re-parameterised question passes,
 another question of the same wording whose values don't correspond does not, unless
 enough windows are verbatim.
 
@@ -22,12 +25,15 @@ tables give empty results.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOW = 8
 LITERAL = 4
 #: Share of an item's windows that must be found (at least two windows, if it has as many).
 SHARE = 0.25
+#: Hits of one occurrence lie at most so many words apart from the next ones.
+SLACK = 8
 #: Item windows (some 100 bytes each) that are sent to every task at a time.
 BLOCK = 200_000
 
@@ -97,21 +103,29 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", ident: str
     hits = None
     for k in range(blocks):
         part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(blocks)) == k)
-        found = rows.join(F.broadcast(part), "h").select("doc_id", "item_id", "_row", "n", "at", "slots", _slots(F.col("text"), F.col("form"), F.col("pos"), window).alias("own"))
+        found = rows.join(F.broadcast(part), "h").select("doc_id", "item_id", "_row", "n", "at", (F.col("pos") - F.col("at")).alias("lies"), "slots", _slots(F.col("text"), F.col("form"), F.col("pos"), window).alias("own"))
         hits = found if hits is None else hits.unionByName(found)
     value = lambda s: F.transform(s, lambda x: x["v"])
     hits = stored(hits.withColumn("same", value(F.col("slots")) == value(F.col("own"))))
-    key = ["doc_id", "item_id", "_row"]
-    pairs = hits.groupBy(*key).agg(F.first("n").alias("n"), F.countDistinct("at").alias("windows"), F.countDistinct(F.when(F.col("same"), F.col("at"))).alias("exact"))
+    pair = ["doc_id", "item_id", "_row"]
+    along = W.partitionBy(*pair).orderBy("lies")
+    apart = F.when(F.col("lies") - F.lag("lies").over(along) > SLACK, 1).otherwise(0)
+    runs = hits.withColumn("apart", apart).withColumn("run", F.sum("apart").over(along.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    # each hit counts in its alignment, in its run and in the whole text
+    groups = F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("long").alias("at")) for k, x in enumerate((F.col("lies"), F.col("run"), F.lit(0)))])
+    hits = stored(runs.withColumn("group", F.explode(groups)))
+    key = [*pair, "group"]
+    found = hits.groupBy(*key).agg(F.first("n").alias("n"), F.countDistinct("at").alias("windows"), F.countDistinct(F.when(F.col("same"), F.col("at"))).alias("exact"))
     need = F.least(F.col("n"), F.greatest(F.lit(2), F.ceil(F.col("n") * F.lit(float(share)))))
     # every value of the item must stand for one value of the text
     zipped = F.explode(F.arrays_zip(F.col("slots").alias("s"), F.col("own").alias("o")))
     filled = hits.select(*key, zipped.alias("z")).select(*key, F.col("z.s.t").alias("kind"), F.col("z.s.v").alias("v"), F.col("z.o.v").alias("u"))
     filled = filled.groupBy(*key, "kind", "v").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
     filled = filled.groupBy(*key).agg(F.count("*").alias("slots"), F.max(F.col("lo") != F.col("hi")).alias("torn"))
-    same = (pairs["doc_id"].eqNullSafe(filled["doc_id"])) & (pairs["item_id"].eqNullSafe(filled["item_id"])) & (pairs["_row"] == filled["_row"])
-    out = pairs.join(filled, same, "left").select(pairs["doc_id"], pairs["item_id"], "n", "windows", "exact", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("torn", F.lit(False)).alias("torn"))
+    same = (found["doc_id"].eqNullSafe(filled["doc_id"])) & (found["item_id"].eqNullSafe(filled["item_id"])) & (found["_row"] == filled["_row"]) & (found["group"] == filled["group"])
+    out = found.join(filled, same, "left").select(*[found[k] for k in pair], "n", "windows", "exact", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("torn", F.lit(False)).alias("torn"))
     out = out.filter((F.col("windows") >= need) & (~F.col("torn") | (F.col("exact") >= need)))
+    out = out.groupBy(*pair).agg(F.max(F.struct("windows", "exact", "slots", "n")).alias("best")).select("doc_id", "item_id", "best.*")
     return out.select("doc_id", "item_id", "windows", F.col("n").alias("item_windows"), (F.col("exact") == F.col("windows")).alias("verbatim"), F.col("slots").cast("long").alias("slots"))
 
 

@@ -143,6 +143,20 @@ def test_inconsistent_slots(spark):
     assert [r["doc_id"] for r in D.find_items(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
 
 
+def test_slots_of_each_occurrence(spark):
+    item = "If Ann has 5 apples and buys 5 more then how many apples would Ann have when 5 of them are eaten by noon today"
+    copy = lambda n: item.replace("5", str(n))
+    more = copy(3).replace("apples would", "red apples would")  # a word put in
+    stray = "Once Bob has 7 apples and buys 9 more then how they are carried home is another matter."
+    torn = item.replace("5", "8", 1).replace("5", "3", 1).replace("5", "6", 1)
+    twice = "we know the box of 3 red pens is on the table and we know the box of 4 red pens is on the table so say which is to go"
+    docs = [(1, f"First. {copy(8)}. And then again: {copy(3)}."), (2, f"{copy(8)}. And some other words. {more}."), (3, f"{copy(8)}. {'word ' * 50}{stray}"), (4, f"{torn}. {torn}."), (5, twice.replace("3", "6").replace("4", "7"))]
+    items = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    got = D.find_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 1), (3, 1), (5, 2)]
+    assert not any(r["verbatim"] for r in got)
+
+
 def test_decontamination_blocks_and_empties(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "nothing of the kind is said in this document at all")], "doc_id long, text string")
     items = spark.createDataFrame([(i, ITEM) for i in range(3)], "item_id long, text string")
