@@ -15,9 +15,12 @@ enough windows are verbatim.
 The items' windows are sent to all tasks in blocks of at most ``BLOCK`` rows, whatever
 their number, so no text is ever shuffled.  All steps are DataFrame operations.
 
-Cases: null and empty texts match nothing; items of fewer than ``WINDOW`` words can't
-be told from ordinary wording and match nothing; windows with fewer than ``LITERAL``
-words that aren't placeholders are passed over, and so are items without another;
+Windows with fewer than ``LITERAL`` words that aren't placeholders are passed over.  Items
+without another, and those of fewer than ``WINDOW`` words, are found verbatim only: all
+their words in a row, values kept, whatever the case and the punctuation at word ends.
+
+Cases: null and empty texts match nothing; items without a letter (numbers in a row)
+match nothing;
 repeated rows are found alike, and once per id; repeated items are each reported; empty
 tables give empty results.
 """
@@ -91,8 +94,45 @@ def item_windows(items: DataFrame, text: str = "text", ident: str = "item_id", w
     return rows.join(count, ["item_id", "_row"])
 
 
+def _plain(text: Column) -> Column:
+    """Lower-case words without punctuation at their ends; words of nothing else go."""
+    bare = F.regexp_replace(text, f"[(\\[{_PUNCT}]+(?=[{_SPACE}]|$)|(?<![^{_SPACE}])[(\\[{_PUNCT}]+", "")
+    return F.filter(words(F.lower(bare)), lambda w: w != "")
+
+
+def find_verbatim(docs: DataFrame, items: DataFrame, wanted: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame | None:
+    """The items (item_id, text) without a row in ``wanted`` that stand in ``docs`` (doc_id, text) as a whole; None if all have one."""
+    from loomdex.llm.common import stored
+
+    items = items.filter(F.col("text").rlike("\\p{L}")).withColumn("_row", F.xxhash64("text"))
+    rest = items.join(wanted.select("_row").distinct(), "_row", "left_anti").select("item_id", "_row", _plain(F.col("text")).alias("all"))
+    # found by their first words, at most a window of them; then all are compared
+    hashed = lambda h, k: F.xxhash64(F.lit(k), *[F.get(h, i) for i in range(k)])
+    anchor = F.coalesce(*[F.when(F.size("all") >= k, hashed(F.col("all"), k)) for k in range(window, 0, -1)])
+    rest = stored(rest.filter(F.size("all") > 0).select("item_id", "_row", "all", F.least(F.size("all"), F.lit(window)).alias("k"), anchor.alias("h")))
+    sizes = sorted(r["k"] for r in rest.select("k").distinct().collect())  # at most ``window`` numbers
+    if not sizes:
+        return None
+    blocks = max(1, -(-rest.count() // (block // 2)))
+    own = docs.withColumn("words", _plain(F.col("text"))).select("doc_id", "words")
+    starts = F.sequence(F.lit(0), F.size("words") - 1)
+    at = lambda k: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *[F.get("words", i + j) for j in range(k)]).alias("h"))
+    every = F.flatten(F.array(*[F.transform(starts, at(k)) for k in sizes]))
+    rows = own.filter(F.size("words") > 0).select("doc_id", "words", F.explode(every).alias("x")).select("doc_id", "words", "x.*")
+    out = None
+    for b in range(blocks):
+        part = rest if blocks == 1 else rest.filter(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(blocks)) == b)
+        hit = rows.join(F.broadcast(part), "h").filter(F.slice("words", F.col("pos") + 1, F.size("all")) == F.col("all")).select("doc_id", "item_id", "_row")
+        out = hit if out is None else out.unionByName(hit)
+    one = F.lit(1).cast("long")
+    return out.distinct().select("doc_id", "item_id", one.alias("windows"), one.alias("item_windows"), F.lit(True).alias("verbatim"), F.lit(0).cast("long").alias("slots"))
+
+
 def find_items(docs: DataFrame, items: DataFrame, text: str = "text", ident: str = "doc_id", item_text: str = "text", item_ident: str = "item_id", window: int = WINDOW, share: float = SHARE, literal: int = LITERAL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, verbatim, slots): the items found in each text."""
+    """(doc_id, item_id, windows, item_windows, verbatim, slots): the items found in each text.
+
+    An item that is found verbatim only counts as one window.
+    """
     from loomdex.llm.common import stored
 
     wanted = stored(item_windows(items, item_text, item_ident, window, literal))
@@ -126,7 +166,9 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", ident: str
     out = found.join(filled, same, "left").select(*[found[k] for k in pair], "n", "windows", "exact", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("torn", F.lit(False)).alias("torn"))
     out = out.filter((F.col("windows") >= need) & (~F.col("torn") | (F.col("exact") >= need)))
     out = out.groupBy(*pair).agg(F.max(F.struct("windows", "exact", "slots", "n")).alias("best")).select("doc_id", "item_id", "best.*")
-    return out.select("doc_id", "item_id", "windows", F.col("n").alias("item_windows"), (F.col("exact") == F.col("windows")).alias("verbatim"), F.col("slots").cast("long").alias("slots"))
+    out = out.select("doc_id", "item_id", "windows", F.col("n").alias("item_windows"), (F.col("exact") == F.col("windows")).alias("verbatim"), F.col("slots").cast("long").alias("slots"))
+    short = find_verbatim(base.select("doc_id", "text"), items.select(F.col(item_ident).alias("item_id"), F.col(item_text).alias("text")), wanted, window, block)
+    return out if short is None else out.unionByName(short)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:

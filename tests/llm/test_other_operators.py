@@ -157,6 +157,17 @@ def test_slots_of_each_occurrence(spark):
     assert not any(r["verbatim"] for r in got)
 
 
+def test_short_items_verbatim(spark):
+    numeric = "Add 3 4 5 6 7 8 9 10 11 12 13"
+    items = [(1, "What is the capital of France?"), (2, numeric), (3, "Yes!"), (4, "1 2 3"), (5, ITEM), (None, "Of France"), (1, "What is the capital of France?")]
+    docs = [(1, 'He asked: "what is the capital of France?" And then, yes.'), (2, "What is the capital of Spain? Not of France, it seems."), (3, "So " + numeric + " now"), (4, "So " + numeric.replace("13", "14") + " now 1 2 3"), (5, ""), (6, None), (7, "?"), (8, "yes")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (D.BLOCK, 4):
+        got = D.find_items(*frames, block=block).collect()
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=repr) == [(1, 1), (1, 3), (1, None), (2, None), (3, 2), (8, 3)]
+        assert all(r["verbatim"] for r in got)
+
+
 def test_decontamination_blocks_and_empties(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "nothing of the kind is said in this document at all")], "doc_id long, text string")
     items = spark.createDataFrame([(i, ITEM) for i in range(3)], "item_id long, text string")
