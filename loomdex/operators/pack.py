@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,6 +62,24 @@ def pack_first_fit(rows: DataFrame, budget: int, tokens: str, order: list[Column
     return kept.select(*group, F.explode("kept").alias("k")).select(*group, "k.*")
 
 
+def stream_first_fit(rows: DataFrame, budget: int, tokens: str, order: list[str], group: list[str]) -> DataFrame:
+    """``rows`` that first fit takes from groups of any size: each is read once in order, and only the used sum is held."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, 0
+        for b in batches:
+            keep = []
+            for key, n in zip(zip(*(b.column(g).to_pylist() for g in group), strict=True), b.column(tokens).to_pylist(), strict=True):
+                if key != at:
+                    at, used = key, 0
+                keep.append(used + n <= budget)
+                used += n if keep[-1] else 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    fits = rows.filter(F.col(tokens) <= budget)  # what is larger is passed over and changes nothing
+    return fits.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(take, rows.schema)
+
+
 def pivot_files(results: DataFrame, sources: DataFrame, budget: int, chars_per_token: float = X.CHARS_PER_TOKEN) -> DataFrame:
     """(path, content, tokens, symbols, best): whole files of the results, best first, first fit."""
     by = results.groupBy("path").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "fqn", "kind", "score", "why"))).alias("symbols"))

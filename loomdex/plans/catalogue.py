@@ -384,8 +384,8 @@ def prefix_pack(spark, sf):
   SELECT source, doc_id FROM f WHERE kept""")
 def first_fit_pack(spark, sf):
     rows = _t(spark, sf, "documents").select("source", "doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
-    few = rows.withColumn("_n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("_n <= 50")  # a candidate set, as top-k searches give
-    return pack.pack_first_fit(few, 3000, "tokens", [F.col("doc_id")], "doc_id", group=["source"]).select("source", "doc_id")
+    # the SQL twin looks at a source's first 50 documents only, as its recursion would be too slow otherwise
+    return pack.stream_first_fit(rows, 3000, "tokens", ["doc_id", "tokens"], ["source"]).select("source", "doc_id")
 
 
 @_query("""WITH s AS (SELECT l_orderkey AS f, l_orderkey * 10 + l_linenumber AS id, l_quantity::BIGINT AS a, l_quantity::BIGINT + l_linenumber * 5 AS b, l_linenumber % 2 = 1 AS c FROM lineitem)

@@ -1,5 +1,6 @@
 """Graph, diff, detector, packing and memory operators against hand-made values and small models."""
 
+import math
 import random
 
 import pytest
@@ -145,3 +146,19 @@ def test_extraction(path, source, symbols, calls):
 
 def test_broken_sources():
     assert extract.parse("a.py", "def (:") == ([], []) and extract.parse("a.txt", "x") == ([], []) and extract.parse("a.ts", "")[0] == []
+
+
+def test_first_fit_query_takes_whole_groups(spark, tmp_path):
+    """Sources of more than 50 documents, against a Python model."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.choice([0, 7, 400, 3000, 20_000]), rng.choice(["a", "b", "c", None])) for i in range(400)] + [(400, None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    used, want = {}, []
+    for i, t, s in rows:
+        n = math.ceil(len(t or "") / 3.5)
+        if used.get(s, 0) + n <= 3000:
+            used[s] = used.get(s, 0) + n
+            want.append((s, i))
+    from loomdex.plans.catalogue import QUERIES
+
+    assert sorted(map(tuple, QUERIES["first_fit_pack"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
