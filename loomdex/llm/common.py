@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.sources.store import shared_folder, stored  # noqa: F401  (the operators take them from here)
@@ -139,6 +139,21 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> Non
         spark.conf.set(key, str(most))
 
 
+def set_aside(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` beside the whole row as one struct, so that no name of a caller's column can clash with an operator's."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *columns)
+
+
+def put_back(out: DataFrame, own: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``_row`` (some of them ``changed``), then an operator's own.
+
+    Where names are alike, the operator's column takes the place of the caller's.
+    """
+    taken, changed = {c.lower() for c in own}, changed or {}
+    names = [c for c in out.schema["_row"].dataType.names if c.lower() not in taken]
+    return out.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in names], *own)
+
+
 def with_key(docs: DataFrame, text: str, ident: str) -> DataFrame:
     """Add _k1 and _k2, two hashes of id and text, by which later stages find the row again.
 

@@ -8,15 +8,18 @@ Shared by the substring and the suffix-array operator, which differ in the unit
    their tails are its context.  Equal windows have equal anchors at equal offsets,
    so a window can only repeat if its anchor's k-gram repeats.  About 2 / (W - k) of
    all positions are anchors.
-2. *Pruning.*  k-grams are counted with map-side combining, together with the least
-   and largest hash of their contexts.  A run whose k-gram occurs once has only
-   leaves of the suffix tree above depth W and is dropped; where a context occurs
-   twice, all its windows repeat and nothing more is to be done.
-3. *Blocks.*  What is left are k-grams with several different contexts.  The text of
-   one run for each context goes to the partition of its k-gram, is streamed in
-   k-gram order and solved in blocks of bounded size.
-4. *Hot k-grams* (more than ``HOT`` different contexts) never form a block: their
-   windows are matched one by one, by 128-bit hashes counted with map-side combining.
+2. *Pruning.*  k-grams are counted with map-side combining; a run whose k-gram occurs
+   once has only leaves of the suffix tree above depth W and is dropped.
+3. *Blocks.*  Equal contexts of a k-gram are counted and travel once, with their
+   number.  They go to the partition of their k-gram, are streamed in k-gram order and
+   solved in blocks of bounded size.  The solver alone says which windows repeat: those
+   of different contexts, and, by its leaves' numbers, those of equal ones.
+4. *Hot k-grams* (more than ``HOT`` different contexts) have their prefix lengthened to
+   the whole window at once: every group is then one node at depth W, and its leaves are
+   counted with map-side combining (128-bit keys), so no task holds a k-gram's group.
+
+Joins by k-gram have unique rows on one side, so a hot key's rows on the other side are
+split over tasks (skew joins of adaptive execution); all groupings combine before the shuffle.
 
 The result has a row per document with a repeated window: ``_k1`` and ``_spans``,
 an array of (tag, s, e): units [s, e) are covered by repeated windows.
@@ -46,9 +49,11 @@ _PIECE = 1 << 21
 #: Bits of _k2 that go along with _k1.
 TAG = (1 << 24) - 1
 _PLACE = (1 << 31) - 1
+#: Keys of rows just handled that a task remembers.
+_NEAR = 4_096
 
-#: (symbols, first symbol of each context, one past its last symbol) -> repeated window starts
-Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+#: (symbols, first symbol of each context, one past its last symbol, window, number of each context) -> repeated window starts
+Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]
 
 
 def runs_of(symbols: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -106,8 +111,11 @@ def _scan(batch: pa.RecordBatch, unit: str, window: int, gram: int) -> Iterator[
                 yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(c)), pa.array(k1[i + r]), pa.array(at)], ["kfp", "c", "_k1", "at"])
 
 
+_CONTEXT = "kfp long, c long, _k1 long, tag long, i0 long, n long, sub long, ctx binary"
+
+
 def _cut(batch: pa.RecordBatch, unit: str, window: int) -> Iterator[pa.RecordBatch]:
-    """Contexts (kfp, _k1, tag, i0, n, ctx) of the runs listed with each text."""
+    """Rows of _CONTEXT for the runs listed with each text."""
     data, off = C.text_buffers(batch.column("text"))
     k1, tag = np.asarray(batch.column("_k1")), np.asarray(batch.column("_k2")) & TAG
     for row in range(batch.num_rows):
@@ -121,7 +129,10 @@ def _cut(batch: pa.RecordBatch, unit: str, window: int) -> Iterator[pa.RecordBat
             ctx.append(part[ws[a] : we[e - 1]].tobytes() if unit == "word" else part[a:e].tobytes())
         if own:
             m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([x["kfp"] for x in own], pa.int64()), pa.array([k1[row]] * m, pa.int64()), pa.array([tag[row]] * m, pa.int64()), pa.array([x["at"] >> 9 & _PLACE for x in own], pa.int64()), pa.array([x["n"] for x in own], pa.int64()), pa.array([x["sub"] for x in own], pa.int64()), pa.array(ctx, pa.binary())], ["kfp", "_k1", "tag", "i0", "n", "sub", "ctx"])
+            get = lambda name: pa.array([x[name] for x in own], pa.int64())  # noqa: B023, E731
+            same = lambda value: pa.array([int(value)] * m, pa.int64())  # noqa: B023, E731
+            cols = [get("kfp"), get("c"), same(k1[row]), same(tag[row]), pa.array([x["at"] >> 9 & _PLACE for x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, get("n"), get("sub"), pa.array(ctx, pa.binary())], ["kfp", "c", "_k1", "tag", "i0", "n", "sub", "ctx"])
 
 
 def _context_symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +143,12 @@ def _context_symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarra
     return C.word_hashes(data, ws, we), first
 
 
+_FOUND = "kfp long, c long, n long, _k1 long, tag long, s long, e long"
+
+
 def _spans(rows: pa.Table, first: np.ndarray, hit: np.ndarray, window: int) -> pa.RecordBatch:
-    """Merge repeated window starts (indices into symbols, ascending) into spans of their rows."""
+    """Merge repeated window starts (indices into symbols, ascending) into spans of their contexts: rows of _FOUND."""
     row = np.searchsorted(first, hit, "right") - 1
-    once = rows.column("n").to_numpy()[row] == 1  # the others' runs repeat as a whole, which is known
-    row, hit = row[once], hit[once]
     new = np.ones(len(hit), bool)
     new[1:] = (row[1:] != row[:-1]) | (hit[1:] > hit[:-1] + window)
     head = np.flatnonzero(new)
@@ -144,7 +156,9 @@ def _spans(rows: pa.Table, first: np.ndarray, hit: np.ndarray, window: int) -> p
     r = row[head]
     i0 = rows.column("i0").to_numpy()[r]
     s, e = hit[head] - first[r] + i0, hit[tail] - first[r] + i0 + window
-    return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[r]) for c in ("_k1", "tag")] + [pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], ["_k1", "tag", "s", "e"])
+    names = ["kfp", "c", "n", "_k1", "tag"]
+    own = [pa.array(rows.column(c).to_numpy()[r]) for c in names]
+    return pa.RecordBatch.from_arrays([*own, pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], [*names, "s", "e"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -187,43 +201,53 @@ def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: in
             yield from _scan(b, unit, window, gram)
 
     runs = slim.mapInArrow(scan, "kfp long, c long, _k1 long, at long")
-    seen = runs.groupBy("kfp").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    seen = seen.filter("m > 1").select("kfp", (F.col("lo") != F.col("hi")).alias("mixed"))
+    seen = runs.groupBy("kfp").agg(F.count("*").alias("m")).filter("m > 1").select("kfp")
     kept = C.stored(runs.join(seen, "kfp"))
-    mixed = kept.filter("mixed")
-    contexts = C.stored(mixed.groupBy("kfp", "c").agg(F.count("*").alias("n"), F.first("_k1").alias("_k1"), F.first("at").alias("at")))
-    place = F.shiftright("at", 9).bitwiseAND(_PLACE)
-    span = ["_k1", F.shiftrightunsigned("at", 40).alias("tag"), place.alias("s"), (place + F.col("at").bitwiseAND(511) + window).alias("e")]
-    whole = mixed.join(contexts.filter("n > 1").select("kfp", "c"), ["kfp", "c"], "left_semi").select(span)
-    whole = kept.filter(~F.col("mixed")).select(span).unionByName(whole)
+    contexts = C.stored(kept.groupBy("kfp", "c").agg(F.count("*").alias("n"), F.first("_k1").alias("_k1"), F.first("at").alias("at")))
 
     # one run stands for each context; the texts are joined once per document
     sub = contexts.groupBy("kfp").agg(F.count("*").alias("sub"))
-    chosen = contexts.join(sub, "kfp").groupBy("_k1").agg(F.collect_list(F.struct("kfp", "at", "n", "sub")).alias("runs"))
-    shape = "kfp long, _k1 long, tag long, i0 long, n long, sub long, ctx binary"
+    run = F.struct("kfp", "c", "at", "n", "sub")
+    chosen = contexts.join(sub, "kfp").groupBy("_k1").agg(F.collect_list(run).alias("runs"))  # no more than a text has
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[tuple[int, int]] = set()
         for b in batches:
-            yield from _cut(b, unit, window)
+            # of repeated rows each would give the same contexts: one is enough (and a few more do no harm)
+            keys = list(zip(b.column("_k1").to_pylist(), b.column("_k2").to_pylist(), strict=True))
+            new = [k not in recent and k not in keys[:i][-_NEAR:] for i, k in enumerate(keys)]
+            recent = set() if len(recent) > _NEAR else recent
+            recent.update(keys)
+            yield from _cut(b.filter(pa.array(new)) if not all(new) else b, unit, window)
 
-    texts = C.stored(docs.join(chosen, "_k1").select("_k1", "_k2", F.col(text).alias("text"), "runs").mapInArrow(cut, shape))
+    texts = docs.join(chosen, "_k1").select("_k1", "_k2", F.col(text).alias("text"), "runs")
+    texts = C.stored(texts.mapInArrow(cut, _CONTEXT))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK_BYTES):
             symbols, first = _context_symbols(block.column("ctx"), unit)
-            hit = solve(symbols, first[:-1], first[1:], window)
+            hit = solve(symbols, first[:-1], first[1:], window, block.column("n").to_numpy())
             if len(hit):
                 yield _spans(block, first, hit, window)
 
-    part = texts.filter(F.col("sub") <= hot).repartition(F.col("kfp")).sortWithinPartitions("kfp").mapInArrow(light, "_k1 long, tag long, s long, e long")
-    spans = whole.unionByName(part)
+    cold = texts.filter(F.col("sub") <= hot).repartition(F.col("kfp")).sortWithinPartitions("kfp")
+    found = cold.mapInArrow(light, _FOUND)
     if not sub.filter(F.col("sub") > hot).isEmpty():
-        spans = spans.unionByName(_hot_spans(texts.filter(F.col("sub") > hot), unit, window))
-    return spans.groupBy("_k1").agg(F.collect_list(F.struct("tag", "s", "e")).alias("_spans"))
+        found = found.unionByName(_hot_spans(texts.filter(F.col("sub") > hot), unit, window))
+    found = C.stored(found)
+    # a context that occurs once is the representative's own; one that occurs more often repeats as a whole
+    single = found.filter("n = 1").select("_k1", "tag", "s", "e")
+    place = F.shiftright("at", 9).bitwiseAND(_PLACE)
+    tag, end = F.shiftrightunsigned("at", 40).alias("tag"), (place + F.col("at").bitwiseAND(511) + window).alias("e")
+    equal = kept.join(found.filter("n > 1").select("kfp", "c").distinct(), ["kfp", "c"], "left_semi")
+    spans = single.unionByName(equal.select("_k1", tag, place.alias("s"), end))
+    # distinct first: a row that is repeated a million times has its spans as often
+    return spans.distinct().groupBy("_k1").agg(F.collect_list(F.struct("tag", "s", "e")).alias("_spans"))
 
 
 def _hot_spans(contexts: DataFrame, unit: str, window: int) -> DataFrame:
-    """Windows of hot k-grams, matched by 128-bit hashes: no task holds a k-gram's group."""
+    """Rows of _FOUND for windows of hot k-grams, each a node at full depth: no task holds a k-gram's group."""
+    names = ["kfp", "c", "n", "_k1", "tag"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,12 +262,13 @@ def _hot_spans(contexts: DataFrame, unit: str, window: int) -> DataFrame:
                 start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
                 one = C.range_hash(C.prefix_sums(symbols), start, start + window)
                 two = C.range_hash(C.prefix_sums(C.mix(symbols)), start, start + window)
-                at = lambda c: np.asarray(part.column(c))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(C.signed(two)), pa.array(at("_k1")), pa.array(at("tag")), pa.array(at("i0") + start - first[row])], ["h1", "h2", "_k1", "tag", "s"])
+                own = [pa.array(np.asarray(part.column(c))[row]) for c in names]
+                at = np.asarray(part.column("i0"))[row] + start - first[row]
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(C.signed(two)), *own, pa.array(at)], ["h1", "h2", *names, "s"])
 
-    w = contexts.mapInArrow(windows, "h1 long, h2 long, _k1 long, tag long, s long")
-    twice = w.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return w.join(twice, ["h1", "h2"], "left_semi").select("_k1", "tag", "s", (F.col("s") + window).alias("e"))
+    w = contexts.mapInArrow(windows, "h1 long, h2 long, kfp long, c long, n long, _k1 long, tag long, s long")
+    leaves = w.groupBy("h1", "h2").agg(F.sum("n").alias("leaves")).filter("leaves > 1").drop("leaves")
+    return w.join(leaves, ["h1", "h2"], "left_semi").select(*names, "s", (F.col("s") + window).alias("e"))
 
 
 def covered(spans: list | None, k2: int) -> list[tuple[int, int]]:

@@ -1,11 +1,14 @@
 """Substring dedup over words by prefix-partitioned suffix trees.
 
 Suffixes (at word positions) are split by prefixes of variable length into groups
-that fit in memory, and a tree is built for each group, top down and only as far
-as it matters: a node is opened while at least two suffixes share it, and its
-children are told apart by the next few words of the suffix.  Nodes at a depth of
-``window`` words with two or more leaves are the repeats; every repeat of that
-length or more, maximal ones included, is a chain of such windows.
+that fit in memory, and a tree is built for each group, top down: an open node is a set
+of suffixes that agree to some depth; its children are told apart by the next few words
+(packed into one sort key, so siblings come in order and the depth at which neighbours
+part is exact).  A suffix that is alone is a leaf, and the depth at which it parted from
+its nearest neighbour is its parent's, the deepest internal node above it.  Internal
+nodes of depth ``window`` and more are repeats; an occurrence of one that the occurrence
+a word before doesn't reach past is a maximal repeat.  Equal contexts are one suffix
+with several leaves.
 
 Which suffixes can reach that depth at all is found beforehand (``repeats.py``),
 so only text near a repeat is moved between machines.
@@ -13,7 +16,7 @@ so only text near a repeat is moved between machines.
 Cases: a null text counts as empty; a text of fewer than ``window`` words is left
 as it is; repeated rows are occurrences of each other's windows; windows that
 overlap themselves count; an empty table gives an empty one; columns other than
-text are kept untouched (names starting with ``_k``, ``_spans`` are reserved).
+text are kept untouched, but those that have the name of a result give way to it.
 """
 
 from __future__ import annotations
@@ -33,65 +36,104 @@ from loomdex.llm import repeats as R
 WINDOW = 35
 GRAM = 6
 #: Suffixes whose subtrees are built together; prefixes are lengthened until a group fits.
-GROUP = 1 << 18
-#: Words by which an edge label is read at a time, and so prefixes grow.
+GROUP = 1 << 16
+#: Words by which a prefix that is too common is lengthened.
 STEP = 7
 
-_U = np.uint64
+_OWN = ["n_words", "n_removed", "kept_sha256", "removed_spans"]
 
 
-def _split(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of open nodes: for entries sorted by (node, label), their order and child number."""
-    order = np.lexsort((label, node))
-    a, b = node[order], label[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, np.cumsum(new) - 1
+def subtree(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Depth of the deepest internal node above each of ``starts`` (0 for the root), among these suffixes.
 
-
-def subtree(sums: np.ndarray, starts: np.ndarray, depth: int, window: int) -> np.ndarray:
-    """Suffixes that share a node at ``window`` with another; all of ``starts`` share ``depth`` words' group."""
-    node = np.zeros(len(starts), np.int64)
-    while len(starts) and depth < window:
-        step = min(STEP, window - depth)
-        order, child = _split(node, C.range_hash(sums, starts + depth, starts + depth + step))
-        leaves = np.bincount(child)
-        live = leaves[child] > 1  # a child with one leaf needs no subtree
-        starts, node, depth = starts[order][live], child[live], depth + step
-    return starts
-
-
-def deep_nodes(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
-    """Repeated window starts of a block of contexts, ascending (a ``repeats.Solver``)."""
-    sums = C.prefix_sums(symbols)
+    ``ids``: words as numbers from 1 with zeros after the last one; all ``starts`` agree to ``depth``.
+    """
+    parent = np.zeros(len(starts), np.int64)
+    step = 63 // bits
+    suffix, node = np.arange(len(starts)), np.zeros(len(starts), np.int64)  # open suffixes in order, and their node
+    while len(suffix) > 1:
+        at, left = starts[suffix] + depth, ends[suffix] - starts[suffix] - depth
+        key = np.zeros(len(suffix), np.int64)
+        for k in range(step):  # a suffix is over where its context is
+            key = key << bits | np.where(left > k, ids[at + k], 0)
+        order = np.lexsort((key, node))
+        suffix, node, key, left = suffix[order], node[order], key[order], left[order]
+        # how many words neighbours in one node share beyond its depth
+        differ = key[1:] ^ key[:-1]
+        width = np.frexp(differ.astype(np.float64))[1]  # rounding up to the next power of two needs 2**53, more than a word's bits
+        width = np.where(differ >> np.minimum(np.maximum(width - 1, 0), 62) == 0, width - 1, width)
+        shared = np.where(differ == 0, step, step - -(-width // bits))
+        shared = np.minimum(shared, np.minimum(left[1:], left[:-1]))
+        together = node[1:] == node[:-1]
+        shared = np.where(together, depth + np.maximum(shared, 0), 0)
+        near = np.zeros(len(suffix), np.int64)
+        near[1:] = shared
+        near[:-1] = np.maximum(near[:-1], shared)
+        parent[suffix] = np.maximum(parent[suffix], near)
+        # children with two suffixes or more that go on are opened
+        same = together & (differ == 0)
+        more = np.zeros(len(suffix), bool)
+        more[1:] = same
+        more[:-1] |= same
+        more &= left > step
+        child = np.cumsum(np.concatenate(([True], ~same))) - 1
+        suffix, node, depth = suffix[more], child[more], depth + step
+    return parent
+
+
+def parent_depths(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of at least ``window`` words, ascending, and the depth of the deepest internal node above each."""
     count = np.maximum(last - first - window + 1, 0)
-    starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    found = []
-    todo = [(starts, 0, 0)]
+    row = np.repeat(np.arange(len(count)), count)
+    starts = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+    ends = last[row]
+    depth = np.zeros(len(starts), np.int64)
+    if not len(starts):
+        return starts, depth
+    word, ids = np.unique(symbols, return_inverse=True)
+    ids = np.append(ids.astype(np.int64) + 1, np.zeros(64, np.int64))
+    bits = int(len(word) + 1).bit_length()
+    sums = C.prefix_sums(symbols)
+    todo = [(np.arange(len(starts)), 0)]
     while todo:
-        group, depth, _ = todo.pop()
-        if len(group) <= GROUP or depth >= window:
-            found.append(subtree(sums, group, depth, window) if depth < window else group)
+        group, agreed = todo.pop()
+        if len(group) <= GROUP or agreed >= window:
+            found = subtree(ids, starts[group], ends[group], min(agreed, window), bits)
+            depth[group] = np.maximum(depth[group], found)
             continue
-        # too many suffixes for one tree: lengthen the prefix and pack the parts into groups
-        step = min(STEP, window - depth)
-        order, child = _split(np.zeros(len(group), np.int64), C.range_hash(sums, group, group + depth + step))
-        size = np.bincount(child)
-        group, ends = group[order], np.cumsum(size)
-        i = 0
-        while i < len(size):
-            base = ends[i] - size[i]
-            j = max(i + 1, int(np.searchsorted(ends, base + GROUP, "right")))
-            if j == i + 1:
-                if size[i] > 1:
-                    todo.append((group[base : ends[i]], depth + step, 0))
-            else:
-                keep = np.repeat(size[i:j] > 1, size[i:j])
-                part = group[base : ends[j - 1]][keep]
-                if len(part):
-                    found.append(subtree(sums, part, 0, window))
-            i = j
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        # too many suffixes for one tree: lengthen the prefix and build a tree for every group that it makes
+        to = min(agreed + STEP, window)
+        key = C.range_hash(sums, starts[group], starts[group] + to)
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            if b - a > 1:  # alone with its prefix it is a leaf above the window's depth
+                todo.append((group[order[a:b]], to))
+    return starts, depth
+
+
+def maximal_repeats(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of every occurrence of a maximal repeat of at least ``window`` words, by start.
+
+    ``number``: how many leaves each context's suffixes have (1 if not given).
+    """
+    starts, depth = parent_depths(symbols, first, last, window)
+    if number is not None:  # a suffix with several leaves is itself an internal node
+        row = np.searchsorted(first, starts, "right") - 1
+        depth = np.where(number[row] > 1, last[row] - starts, depth)
+    # the tail of a repeat that starts a word before isn't maximal
+    tail = np.zeros(len(starts), bool)
+    tail[1:] = (starts[1:] == starts[:-1] + 1) & (depth[:-1] == depth[1:] + 1)
+    keep = (depth >= window) & ~tail
+    return starts[keep], depth[keep]
+
+
+def deep_nodes(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, number: np.ndarray | None = None) -> np.ndarray:
+    """Window starts of a block of contexts that lie in maximal repeats, ascending (a ``repeats.Solver``)."""
+    starts, length = maximal_repeats(symbols, first, last, window, number)
+    inside = length - window + 1
+    begin = np.repeat(np.cumsum(inside) - inside, inside)
+    return np.unique(np.arange(len(begin)) - begin + np.repeat(starts, inside))
 
 
 def repeated_word_spans(docs: DataFrame, text: str = "text", ident: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
@@ -106,16 +148,18 @@ def dedup_substrings(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     others are joined by single spaces.  Adds n_words, n_removed, kept_sha256 and
     removed_spans (word ranges).
     """
-    body = C.with_key(docs, text, ident)
-    spans = R.repeated_spans(body, text, ident, "word", window, gram, deep_nodes, hot)
-    joined = body.join(spans, "_k1", "left")
-    names = docs.columns
-    out = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))])
+    body = C.with_key(C.set_aside(docs, F.col(text).alias("text"), F.col(ident).alias("id")), "text", "id")
+    spans = R.repeated_spans(body, "text", "id", "word", window, gram, deep_nodes, hot)
+    joined = body.join(spans, "_k1", "left").select("_row", "text", "_k2", "_spans")
+    span = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
+    kinds = [T.LongType(), T.LongType(), T.StringType(), T.ArrayType(span)]
+    out = T.StructType([body.schema["_row"], body.schema["text"], *(T.StructField(c, k) for c, k in zip(_OWN, kinds, strict=True))])
+    pairs = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, total, gone, sha, where = [], [], [], [], []
-            for t, spans, k2 in zip(b.column(text), b.column("_spans"), b.column("_k2"), strict=True):
+            for t, spans, k2 in zip(b.column("text"), b.column("_spans"), b.column("_k2"), strict=True):
                 raw = t.as_py()
                 words = raw.encode().split() if raw is not None else []
                 ranges = R.covered(spans.as_py(), k2.as_py())
@@ -124,17 +168,16 @@ def dedup_substrings(docs: DataFrame, text: str = "text", ident: str = "doc_id",
                     kept += words[p:s]
                     p = e
                 kept += words[p:]
-                joined = b" ".join(kept)
-                texts.append(joined.decode() if ranges else raw)
+                whole = b" ".join(kept)
+                texts.append(whole.decode() if ranges else raw)
                 total.append(len(words))
                 gone.append(len(words) - len(kept))
-                sha.append(hashlib.sha256(joined).hexdigest())
+                sha.append(hashlib.sha256(whole).hexdigest())
                 where.append([{"s": s, "e": e} for s, e in ranges])
-            cols = [pa.array(texts, b.schema.field(text).type) if c == text else b.column(c) for c in names]
-            cols += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(where, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "kept_sha256", "removed_spans"])
+            cols = [b.column("_row"), pa.array(texts, b.schema.field("text").type), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sha, pa.string()), pa.array(where, pairs)], ["_row", "text", *_OWN])
 
-    return joined.select(*names, "_k2", "_spans").mapInArrow(cut, out)
+    return C.put_back(joined.mapInArrow(cut, out).withColumnRenamed("text", "_text"), _OWN, {text: F.col("_text")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
