@@ -139,9 +139,10 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> Non
         spark.conf.set(key, str(most))
 
 
-def set_aside(docs: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` beside the whole row as one struct, so that no name of a caller's column can clash with an operator's."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *columns)
+def set_aside(docs: DataFrame, *columns: Column, without: str | None = None) -> DataFrame:
+    """``columns`` beside the row (``without`` one column) as a struct, so that no caller's name can clash with an operator's."""
+    names = [c for c in docs.columns if c != without] or docs.columns[:1]
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), *columns)
 
 
 def put_back(out: DataFrame, own: list[str], changed: dict[str, Column] | None = None) -> DataFrame:

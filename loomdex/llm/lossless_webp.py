@@ -1,12 +1,19 @@
 """Media columns: bytes held as lossless WebP images, and pixel arrays read from them.
 
-``store`` packs a payload four bytes to a pixel into an image and adds it as a binary
-column; ``pixels`` decodes any lossless WebP column (see ``vp8l``) to width, height
-and an RGBA array; ``features`` reads the payload back and describes it.
-
-Cases: a null text is an empty payload of 64 zero bytes; payloads go up to the 16384
-pixels a side that the format allows (1 GiB); equal texts give equal files; a null or
-broken image gives null pixels and an error text; empty tables and other columns pass.
+``store`` packs a payload into images and adds them as a binary column; ``pixels``
+decodes any lossless WebP column (see ``vp8l``) to width, height and an RGBA array;
+``features`` reads the payload back and describes it.
+
+A payload is cut into pieces of at most ``PIECE`` bytes, each an image, whose files follow
+one another in the column (a WebP file says how long it is), so payloads of any length
+are held and no worker needs more than a piece's arrays.  Every image has Huffman codes
+and back-references.  Which transforms it has besides turns with the payload's checksum
+(``FORMS``), so that any table puts the whole decoder to use and equal texts stay equal:
+a palette; a colour cache; predictors; or two bytes to a pixel with cross-colour and predictors.
+
+Cases: a null text is an empty payload of 64 zero bytes; equal texts give equal files; a
+null or broken image gives null pixels and an error text; empty tables pass, and so do
+other columns, but those that have the name of a result give way to it.
 """
 
 from __future__ import annotations
@@ -31,78 +38,134 @@ def padded(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b"\0" * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
-def to_image(payload: bytes) -> np.ndarray:
-    """Four bytes to a pixel, at least 16 wide; a last row that isn't full ends in zeros."""
-    n = -(-len(payload) // 4)
-    width = min(vp8l.MAX_SIDE, max(16, -(-n // vp8l.MAX_SIDE)))
+def to_image(payload: bytes, each: int = 4) -> np.ndarray:
+    """``each`` bytes to a pixel, 1 (green), 2 (green, blue) or 4 (red, green, blue, alpha), with zeros at the end.
+
+    Wider than high, at least 16 wide; alpha is 255 if it holds no payload.
+    """
+    n = -(-len(payload) // each)
+    width = min(vp8l.MAX_SIDE, max(16, 1 << ((n.bit_length() + 3) // 2)))
     height = -(-n // width)
     if height > vp8l.MAX_SIDE:
         raise ValueError("the payload is larger than an image can be")
-    flat = np.zeros(width * height * 4, np.uint8)
+    flat = np.zeros(width * height * each, np.uint8)
     flat[: len(payload)] = np.frombuffer(payload, np.uint8)
-    return flat.reshape(height, width, 4)
+    if each == 4:
+        return flat.reshape(height, width, 4)
+    out = np.zeros((height, width, 4), np.uint8)
+    out[:, :, 3] = 255
+    out[:, :, 1 : 1 + each] = flat.reshape(height, width, each)
+    return out
+
+
+#: By the payload's checksum: bytes to a pixel and what ``vp8l.encode`` is asked for.
+FORMS = (
+    (1, {"palette": True}),
+    (1, {"cache_bits": 6}),
+    (1, {"predictor": True}),
+    (2, {"cross": True, "predictor": True}),
+)
+PIECE = 1 << 20
+
+
+def to_media(payload: bytes) -> bytes:
+    each, wanted = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return b"".join(vp8l.encode(to_image(payload[i : i + PIECE], each), **wanted) for i in range(0, len(payload), PIECE))
+
+
+def files_of(media: bytes) -> Iterator[bytes]:
+    """The WebP files that follow one another."""
+    at = 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        yield media[at : at + size]
+        at += size
+
+
+def from_media(media: bytes, size: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The payload of ``size`` bytes, and its images' widths and heights."""
+    parts, shapes = [], []
+    for k, one in enumerate(files_of(media)):
+        img = vp8l.decode(one)
+        own = min(PIECE, size - k * PIECE)
+        each = 1 if img.shape[0] * img.shape[1] >= own else 2  # rows that aren't full are fewer than half
+        parts.append(img[:, :, 1 : 1 + each].reshape(-1)[:own])
+        shapes.append((img.shape[1], img.shape[0]))
+    return np.concatenate(parts), shapes
+
+
+def _binary_batch(b: pa.RecordBatch, columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("_row"), *(pa.array(v, t) for _, t, v in columns)], ["_row", *(n for n, _, _ in columns)])
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` less its text, with n_bytes, payload_bytes and media (a lossless WebP file)."""
+    """``docs`` less its text, with n_bytes, payload_bytes and media (lossless WebP files)."""
     C.small_batches(docs.sparkSession, 256)
-    names = [c for c in docs.columns if c != text]
+    own = ["n_bytes", "payload_bytes", "media"]
+    body = C.set_aside(docs, F.col(text).alias("text"), without=text)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, whole, media = [], [], []
-            for t in b.column(text):
+            for t in b.column("text"):
                 raw = (t.as_py() or "").encode()
                 payload = padded(raw)
                 size.append(len(raw))
                 whole.append(len(payload))
-                media.append(vp8l.encode(to_image(payload)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(media, pa.binary())], [*names, "n_bytes", "payload_bytes", "media"])
+                media.append(to_media(payload))
+            yield _binary_batch(b, list(zip(own, (pa.int64(), pa.int64(), pa.binary()), (size, whole, media), strict=True)))
 
-    return docs.mapInArrow(write, T.StructType([*(docs.schema[c] for c in names), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    kinds = (T.LongType(), T.LongType(), T.BinaryType())
+    out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
+    return C.put_back(body.mapInArrow(write, out), own)
 
 
 def pixels(media: DataFrame, column: str = "media") -> DataFrame:
-    """``media`` with width, height, pixels (RGBA bytes, row by row) and error."""
+    """``media`` with width, height, pixels (RGBA bytes, row by row) and error, of the first file in ``column``."""
     C.small_batches(media.sparkSession, 256)
-    names = media.columns
+    own = ["width", "height", "pixels", "error"]
+    body = C.set_aside(media, F.col(column).alias("media"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for m in b.column(column):
+            for m in b.column("media"):
                 try:
                     img = vp8l.decode(m.as_py())
                     rows.append((img.shape[1], img.shape[0], img.tobytes(), None))
                 except (ValueError, TypeError, IndexError) as e:
                     rows.append((None, None, None, str(e) or "broken image"))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*names, "width", "height", "pixels", "error"])
+            yield _binary_batch(b, [(c, t, [r[k] for r in rows]) for k, (c, t) in enumerate(zip(own, kinds, strict=True))])
 
-    return media.mapInArrow(read, T.StructType([*media.schema, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType()), T.StructField("error", T.StringType())]))
+    kinds = (T.IntegerType(), T.IntegerType(), T.BinaryType(), T.StringType())
+    out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
+    return C.put_back(body.mapInArrow(read, out), own)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Rows of ``store`` less the file, with what its decoded payload and the file itself amount to."""
+    """Rows of ``store`` less the files, with what their decoded payload and the files themselves amount to."""
     C.small_batches(media.sparkSession, 256)
-    names = [c for c in media.columns if c != "media"]
+    own = ["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    body = C.set_aside(media, F.col("media"), F.col("payload_bytes"), without="media")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for m, n in zip(b.column("media"), b.column("payload_bytes").to_pylist(), strict=True):
                 raw = m.as_py()
-                img = vp8l.decode(raw)
-                flat = img.reshape(-1)[:n]
+                flat, shapes = from_media(raw, n)
                 step = np.abs(np.diff(flat.astype(np.int16))).sum(dtype=np.int64)
-                text = f"{img.shape[1]}x{img.shape[0]} sum={flat.sum(dtype=np.int64)} kinds={np.count_nonzero(np.bincount(flat, minlength=256))} steps={step}"
+                shape = "+".join(f"{w}x{h}" for w, h in shapes)
+                text = f"{shape} sum={flat.sum(dtype=np.int64)} kinds={np.count_nonzero(np.bincount(flat, minlength=256))} steps={step}"
                 payload = flat.tobytes()
                 rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), text))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*names, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield _binary_batch(b, [(c, t, [r[k] for r in rows]) for k, (c, t) in enumerate(zip(own, kinds, strict=True))])
 
-    out = [T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-    return media.mapInArrow(read, T.StructType([*(media.schema[c] for c in names), *out]))
+    kinds = (T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+    out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
+    return C.put_back(body.mapInArrow(read, out), own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """The lossless WebP (VP8L) bitstream: a decoder for all of it, and two encoders.
 
 ``decode`` reads prefix codes, back-references, the colour cache, meta prefix images
-and inverts the predictor, cross-colour, subtract-green and palette transforms.  A
-stream whose codes have one length per channel and neither references nor cache is
-read by numpy at once; any other pixel by pixel.
+and inverts the predictor, cross-colour, subtract-green and palette transforms.
 
-``encode`` writes such uniform codes (fast, for bulk storage); ``encode_full`` writes
-Huffman codes with references, cache, transforms and entropy images.
+An image with one group of codes is read by whole arrays: what a pixel would take if it
+began at a bit is looked up for every bit at once, the true beginnings are found by walking
+along these lengths, references and cache entries become pointers to earlier pixels, and
+the pointers are followed by doubling.  Predictors that don't mix the left neighbour with
+others are inverted row by row.  Other images and predictors are read pixel by pixel.
+
+``encode`` writes Huffman codes with references and, if asked to, palette, predictor,
+cross-colour and cache, by arrays (for bulk storage); ``encode_full`` writes also meta
+prefix images and all predictors.
 Pixels are arrays (height, width, 4) of uint8 in the order R, G, B, A.
 """
 
@@ -14,6 +19,8 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,7 +40,7 @@ class Bits:
     """Little-endian bit reader over a whole stream."""
 
     def __init__(self, data: bytes) -> None:
-        self.data, self.all, self.at = data, np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"), 0
+        self.data, self.at, self.size = data, 0, 8 * len(data)
 
     def read(self, n: int) -> int:
         at = self.at
@@ -41,77 +48,91 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
 
+@lru_cache(maxsize=16)
+def _reversed_bits(n: int) -> np.ndarray:
+    """The numbers below 2**n with their n bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate((out * 2, out * 2 + 1))
+    return out
+
+
 class Code:
-    """A canonical prefix code: by length for single symbols, by a table for speed."""
+    """A canonical prefix code: symbols and lengths by the bits that come next."""
 
-    def __init__(self, lengths: np.ndarray) -> None:
+    def __init__(self, lengths: np.ndarray | None, only: int = 0) -> None:
+        self.size, self.only, self.symbols, self.lengths = 0, only, None, None
+        if lengths is None:
+            return
         used = np.flatnonzero(lengths)
-        self.size = 0 if len(used) <= 1 else int(lengths[used].max())
-        self.only = int(used[0]) if len(used) == 1 else 0
-        order = used[np.argsort(lengths[used], kind="stable")]
-        #: symbols by code, when all codes have one length
-        self.uniform = order if len(used) <= 1 or (lengths[used].min() == self.size and len(used) == 1 << self.size) else None
-        self.table: list[tuple[int, int]] | None = None
-        self.order, self.lengths = order, lengths
-
-    def _build(self) -> None:
-        total = sum(2.0 ** -int(self.lengths[s]) for s in self.order)
-        if total != 1:
+        if len(used) <= 1:
+            self.only = int(used[0]) if len(used) else 0
+            return
+        size = lengths[used]
+        self.size = int(size.max())
+        order = np.argsort(size, kind="stable")
+        spread = np.left_shift(1, self.size - size[order])
+        if spread.sum() != 1 << self.size:
             raise ValueError("incomplete prefix code")
-        table: list[tuple[int, int]] = [(0, 0)] * (1 << self.size)
-        code, before = 0, 0
-        for s in self.order:
-            n = int(self.lengths[s])
-            code <<= n - before
-            flipped = int(f"{code:0{n}b}"[::-1], 2)
-            for k in range(flipped, 1 << self.size, 1 << n):
-                table[k] = (int(s), n)
-            code, before = code + 1, n
-        self.table = table
+        flip = _reversed_bits(self.size)
+        #: symbol * 16 + length by the next ``size`` bits
+        self.table = np.repeat((used[order] << 4 | size[order]).astype(np.int32), spread)[flip]
 
     def next(self, bits: Bits) -> int:
         if not self.size:
             return self.only
-        if self.table is None:
-            self._build()
+        if self.symbols is None:
+            self.symbols, self.lengths = (self.table >> 4).tolist(), (self.table & 15).tolist()
         at = bits.at
-        s, n = self.table[int.from_bytes(bits.data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7) & ((1 << self.size) - 1)]
-        bits.at = at + n
-        return s
+        k = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7) & ((1 << self.size) - 1)
+        bits.at = at + self.lengths[k]
+        return self.symbols[k]
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        one = bits.read(8 if wide else 1)
+        if not two:
+            return Code(None, one)
+        lengths = np.zeros(alphabet, np.int64)
+        lengths[[one, bits.read(8)]] = 1
         return Code(lengths)
     first = np.zeros(19, np.int64)
     for k in range(4 + bits.read(4)):
         first[_ORDER[k]] = bits.read(3)
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    used = np.flatnonzero(first)
-    if len(used) == 2 and used[1] < 16 and left >= alphabet:  # one bit for each length
-        lengths[:] = used[bits.all[bits.at : bits.at + alphabet]]
-        bits.at += alphabet
-        return Code(lengths)
-    k, before = 0, 8
-    while k < alphabet and left:
+    found, before = [], 8
+    # code lengths have at most 7 + 7 bits: the stream is held as one number while they are read
+    at, n = bits.at, min(left, alphabet) * 14 + 8
+    held = int.from_bytes(bits.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)
+    if code.size:
+        symbols, sizes, mask = (code.table >> 4).tolist(), (code.table & 15).tolist(), (1 << code.size) - 1
+    used = 0
+    while len(found) < alphabet and left:
         left -= 1
-        s = code.next(bits)
+        if code.size:
+            k = held & mask
+            s, n = symbols[k], sizes[k]
+            held >>= n
+            used += n
+        else:
+            s = code.only
         if s < 16:
-            lengths[k] = s
-            k += 1
+            found.append(s)
             before = s or before
         else:
-            n = (3 + bits.read(2)) if s == 16 else (3 + bits.read(3)) if s == 17 else (11 + bits.read(7))
-            if k + n > alphabet:
-                raise ValueError("too many code lengths")
-            lengths[k : k + n] = before if s == 16 else 0
-            k += n
+            n = 2 if s == 16 else 3 if s == 17 else 7
+            again = (11 if s == 18 else 3) + (held & ((1 << n) - 1))
+            held >>= n
+            used += n
+            found += [before if s == 16 else 0] * again
+    bits.at = at + used
+    if len(found) > alphabet:
+        raise ValueError("too many code lengths")
+    lengths = np.zeros(alphabet, np.int64)
+    lengths[: len(found)] = found
     return Code(lengths)
 
 
@@ -142,24 +163,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
     sets = [[_read_code(bits, n) for n in (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
-    g, r, b, a, _ = sets[0]
-    if groups == 1 and not cache_bits and all(c.uniform is not None for c in (g, r, b, a)) and g.uniform.max() < 256:
-        out = np.zeros(total, np.uint32)
-        each = g.size + r.size + b.size + a.size
-        raw = bits.all[bits.at : bits.at + total * each].reshape(total, each) if each else None
-        if each and len(raw) < total:
-            raise ValueError("stream is cut short")
-        at = 0
-        for c, shift in ((g, 8), (r, 16), (b, 0), (a, 24)):
-            if c.size:
-                rank = raw[:, at] if c.size == 1 else raw[:, at].astype(np.uint16)
-                for k in range(1, c.size):
-                    rank = rank * np.uint16(2) + raw[:, at + k]
-                out |= c.uniform.astype(np.uint32)[rank] << np.uint32(shift)
-                at += c.size
-            else:
-                out |= np.uint32(c.only << shift)
-        bits.at += total * each
+    if groups == 1 and (out := _all_pixels(bits, sets[0], width, total, cache_bits)) is not None:
         return out
     cache, out, i = [0] * (1 << cache_bits), [0] * total, 0
     shift = 32 - cache_bits
@@ -194,6 +198,148 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+#: What was decoded by whole arrays, for tests: feature to count.
+taken: Counter = Counter()
+
+_NEAR_XY = np.array(_NEAR).T
+_PREFIX_BITS = np.array([0] * 4 + [(p - 2) >> 1 for p in range(4, 40)])
+_PREFIX_BASE = np.array([p + 1 for p in range(4)] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(4, 40)])
+
+
+def _ahead(data: bytes, begin: int, end: int) -> np.ndarray:
+    """The next 24 bits at every bit from ``begin`` to ``end``, zeros after the data."""
+    first = begin >> 3
+    n = ((end - 1) >> 3) - first + 1
+    raw = np.frombuffer(data[first : first + n + 4].ljust(n + 4, b"\0"), np.uint8).astype(np.uint32)
+    four = raw[:n] | raw[1 : n + 1] << 8 | raw[2 : n + 2] << 16 | raw[3 : n + 3] << 24
+    return ((four[:, None] >> np.arange(8, dtype=np.uint32)) & 0xFFFFFF).reshape(-1)[begin & 7 : (begin & 7) + end - begin]
+
+
+def _follow(pointer: np.ndarray) -> np.ndarray:
+    """The roots to which pointers to earlier pixels lead."""
+    while True:
+        beyond = pointer[pointer]
+        if (beyond == pointer).all():
+            return pointer
+        pointer = beyond
+
+
+def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray | None:
+    """The pixels of an image with one group of codes, by whole arrays; None if that can't be done."""
+    g, r, b, a, d = codes
+    if not g.size and g.only < 256 and not (r.size or b.size or a.size):
+        return np.full(total, a.only << 24 | r.only << 16 | g.only << 8 | b.only, np.uint32)
+    n = min(bits.size - bits.at, total * 96)
+    if n <= 0:
+        raise ValueError("stream is cut short")
+    ahead = _ahead(bits.data, bits.at, bits.at + n + 256)  # so that a pixel's later parts can be looked up
+
+    def look(code: Code, at: np.ndarray) -> np.ndarray:
+        """Symbol * 16 + length of the code at some bits."""
+        return code.table[ahead[at] & ((1 << code.size) - 1)] if code.size else np.full(len(at), code.only << 4, np.int32)
+
+    # what each bit's pixel would be, and how many bits it would take
+    green = g.table[ahead & ((1 << g.size) - 1)] if g.size else np.full(len(ahead), g.only << 4, np.int32)
+    green[n:] = 1  # beyond the end
+    step = (green & 15).astype(np.uint8)
+    mixed = bool(r.size or b.size or a.size)
+    if mixed:
+        own = np.flatnonzero(green[:n] < 256 << 4)
+        at = own + step[own]
+        for code in (r, b, a):
+            if code.size:
+                at = at + (look(code, at) & 15)
+        step[own] = at - own
+    copies = np.flatnonzero((green[:n] >= 256 << 4) & (green[:n] < 280 << 4))
+    if len(copies):
+        at = copies + step[copies] + _PREFIX_BITS[(green[copies] >> 4) - 256]
+        far = look(d, at)
+        step[copies] = at + (far & 15) + _PREFIX_BITS[far >> 4] - copies
+    if not step.all():
+        return None
+    # walk from pixel to pixel, four at a time
+    every = np.arange(n, dtype=np.int32)
+    two = step.copy()
+    two[:n] += step[every + step[:n]]
+    four = two[:n] + two[every + two[:n]]
+    walk, at, places = four.tobytes(), 0, []
+    for _ in range(-(-total // 4)):
+        if at >= n:
+            break
+        places.append(at)
+        at += walk[at]
+    head = np.array(places)
+    third = head + two[head]
+    places = np.stack([head, head + step[head], third, third + step[third]], 1).reshape(-1)
+    places = places[places < n]
+    kind = green[places] >> 4
+    copied = np.flatnonzero((kind >= 256) & (kind < 280))
+    run = np.ones(len(places), np.int64)
+    if len(copied):
+        at = places[copied]
+        prefix = kind[copied] - 256
+        at = at + (green[at] & 15)
+        run[copied] = _PREFIX_BASE[prefix] + (ahead[at] & ((1 << _PREFIX_BITS[prefix]) - 1))
+        at = at + _PREFIX_BITS[prefix]
+        far = look(d, at)
+        at, far = at + (far & 15), far >> 4
+        code = _PREFIX_BASE[far] + (ahead[at] & ((1 << _PREFIX_BITS[far]) - 1))
+        near = np.maximum(1, _NEAR_XY[0] + _NEAR_XY[1] * width)
+        back = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+    end = np.cumsum(run)
+    count = int(np.searchsorted(end, total)) + 1
+    if count > len(places) or end[count - 1] != total:
+        raise ValueError("stream is cut short" if count > len(places) else "reference outside the image")
+    places, kind, run, begin = places[:count], kind[:count], run[:count], end[:count] - run[:count]
+    begun = bits.at
+    bits.at += int(places[-1]) + int(step[places[-1]])
+    if bits.at > bits.size:
+        raise ValueError("stream is cut short")
+    # literals
+    value = np.zeros(total, np.uint32)
+    own = np.flatnonzero(kind < 256)
+    px, at = kind[own].astype(np.uint32) << 8, places[own]
+    if mixed:
+        at = at + (green[at] & 15)
+    for code, shift in ((r, 16), (b, 0), (a, 24)):
+        if code.size:
+            found = look(code, at)
+            at = at + (found & 15)
+            px |= (found >> 4).astype(np.uint32) << shift
+        else:
+            px |= np.uint32(code.only << shift)
+    value[begin[own]] = px
+    taken["prefix codes"] += 1
+    copied = copied[copied < count]
+    cached = np.flatnonzero(kind >= 280)
+    if not len(copied) and not len(cached):
+        return value
+    pointer = np.arange(total)
+    if len(copied):
+        size = run[copied]
+        if (back[: len(copied)] > begin[copied]).any():
+            raise ValueError("reference outside the image")
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[copied], size)
+        pointer[at] = at - np.repeat(back[: len(copied)], size)
+        taken["references"] += 1
+    if len(cached):
+        root = _follow(pointer)
+        slot = (value * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)
+        slot[begin[cached]] = kind[cached] - 280
+        slot = slot[root]
+        # a slot holds the last pixel before that has its hash
+        order = np.argsort(slot, kind="stable")
+        before = np.full(total, -1)
+        same = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        if (before[begin[cached]] < 0).any():
+            bits.at = begun
+            return None  # a slot that was never filled
+        pointer[begin[cached]] = before[begin[cached]]
+        taken["cache"] += 1
+    return value[_follow(pointer)]
+
+
 def _channels(argb: np.ndarray) -> np.ndarray:
     """Flat argb numbers as rows of A, R, G, B."""
     return argb.astype(">u4").view(np.uint8).reshape(-1, 4).astype(np.int64)
@@ -232,12 +378,96 @@ def _neighbours(px, i: int, x: int, y: int, width: int):
     return px[i - 1], px[i - width], px[i - width + 1], px[i - width - 1]
 
 
+#: Predictors that take the left neighbour alone or not at all.
+_BY_ROWS = (0, 1, 2, 3, 4, 8, 9)
+
+
+def _by_rows(residual: np.ndarray, modes: np.ndarray, bits_: int) -> np.ndarray:
+    """Invert predictors of _BY_ROWS; residual (height, width, A R G B), modes by block."""
+    height, width, _ = residual.shape
+    out = np.zeros(residual.shape, np.int64)
+    out[:, :, 0] = 255
+    # a channel without a residual stays as the first pixel's prediction, opaque black, has it
+    used = np.flatnonzero(residual.any((0, 1)))
+    if len(used):
+        start = (255 if used[0] == 0 else 0, used.tolist().index(0) if 0 in used else 0)
+        out[:, :, used] = _rows(np.ascontiguousarray(residual[:, :, used]).astype(np.int32), modes, bits_, *start)
+    taken["predictor"] += 1
+    return out
+
+
+def _rows(residual: np.ndarray, modes: np.ndarray, bits_: int, opaque: int, alpha: int) -> np.ndarray:
+    height, width, n = residual.shape
+    out = np.empty_like(residual)
+    out[0] = residual[0]
+    out[0, 0, alpha] += opaque
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    place = np.arange(width)
+    for y in range(height)[1:]:
+        block = modes[y >> bits_]
+        top = out[y - 1]
+        first = (residual[y, 0] + top[0]) & 255
+        kinds = set(block.tolist())
+        row = np.repeat(block, 1 << bits_)[:width] if len(kinds) > 1 else None
+        guess = np.zeros_like(top)
+        for kind in kinds - {1}:
+            if kind == 0:
+                part = np.zeros_like(top)
+                part[:, alpha] = opaque
+            else:
+                right = np.concatenate((top[1:], first[None])) if kind in (3, 9) else None
+                corner = np.concatenate((top[:1], top[:-1])) if kind in (4, 8) else None
+                part = top if kind == 2 else right if kind == 3 else corner if kind == 4 else (top + corner) >> 1 if kind == 8 else (top + right) >> 1
+            guess = part if row is None else np.where((row == kind)[:, None], part, guess)
+        now = residual[y] + guess
+        now[0] = first
+        if row is None and 1 in kinds:
+            now = np.cumsum(now, axis=0)
+        elif 1 in kinds:  # sums along each stretch that takes its left neighbour
+            since = np.maximum.accumulate(np.where((row != 1) | (place == 0), place, 0))
+            total = np.cumsum(now, axis=0)
+            now = total - total[since] + now[since]
+        out[y] = now & 255
+    return out
+
+
+#: Predictors among which ``encode`` chooses.
+_TRIED = (1, 2, 3, 9)
+
+
+def _guess(kind: int, px: np.ndarray) -> np.ndarray:
+    """What a predictor of _BY_ROWS says of every pixel (height, width, channels), but for the first row and column."""
+    height, width, n = px.shape
+    flat = px.reshape(-1, n)
+    moved = lambda k: np.concatenate((np.zeros((k, n), px.dtype), flat))[: len(flat)].reshape(px.shape)
+    if kind == 0:
+        return np.broadcast_to(np.array([255, 0, 0, 0]), px.shape)
+    if kind <= 4:
+        return moved((1, width, width - 1, width + 1)[kind - 1])
+    return (moved(width) + moved(width + 1 if kind == 8 else width - 1)) >> 1
+
+
+def _residual(px: np.ndarray, modes: np.ndarray, bits_: int) -> np.ndarray:
+    """The opposite of ``_by_rows``."""
+    height, width, _ = px.shape
+    each = np.repeat(np.repeat(modes, 1 << bits_, 0)[:height], 1 << bits_, 1)[:, :width]
+    guess = np.zeros_like(px)
+    for kind in np.unique(modes).tolist():
+        guess = np.where((each == kind)[:, :, None], _guess(kind, px), guess)
+    guess[:, 0] = np.concatenate(([[255, 0, 0, 0]], px[:-1, 0]))
+    guess[0, 1:] = px[0, :-1]
+    return (px - guess) & 255
+
+
 def _apply_predictor(argb: np.ndarray, modes: np.ndarray, bits_: int, width: int, height: int, forward: bool) -> np.ndarray:
+    mode = (modes >> 8) & 15
+    across = -(-width >> bits_)
+    if np.isin(mode, _BY_ROWS).all():
+        change = _residual if forward else _by_rows
+        return _number(change(_channels(argb).reshape(height, width, 4), mode.astype(np.int64).reshape(-1, across), bits_).reshape(-1, 4))
     px = _channels(argb).tolist()
     out = [list(p) for p in px]
     known = px if forward else out  # predictions come from true pixels
-    mode = (modes >> 8) & 15
-    across = -(-width >> bits_)
     for y in range(height):
         for x in range(width):
             i = y * width + x
@@ -326,17 +556,19 @@ def decode(webp: bytes) -> np.ndarray:
             undo.append((kind, w, 0, table))
             w = -(-w >> _pack_bits(n))
     argb = _pixels(bits, w, height, True)
-    if bits.at > len(bits.all):
+    if bits.at > bits.size:
         raise ValueError("stream is cut short")
     for kind, w, k, extra in reversed(undo):
         if kind == 0:
             argb = _apply_predictor(argb, extra, k, w, height, False)
         elif kind == 1:
             argb = _apply_cross(argb, extra, k, w, height, False)
+            taken["cross-colour"] += 1
         elif kind == 2:
             argb = _apply_green(argb, 1)
         else:
             argb = _unpack_palette(argb, extra, w, height)
+            taken["palette"] += 1
     # argb in memory is B, G, R, A
     return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
 
@@ -344,108 +576,106 @@ def decode(webp: bytes) -> np.ndarray:
 # ---- writing
 
 
-def _field(value: int, n: int) -> np.ndarray:
-    return (value >> np.arange(n) & 1).astype(np.uint8)
+#: A part of a stream: a number and how many bits of it, lowest first, or an array of bits.
+Part = tuple[int, int] | np.ndarray
 
 
-def _file(parts: list[np.ndarray]) -> bytes:
-    body = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
-    pad = b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
+def _joined(parts: list[tuple[int, int]]) -> tuple[int, int]:
+    """Parts one after the other as one."""
+    value = size = 0
+    for v, n in parts:
+        value |= v << size
+        size += n
+    return value, size
 
 
-def _head(width: int, height: int) -> list[np.ndarray]:
-    return [_field(0x2F, 8), _field(width - 1, 14), _field(height - 1, 14), _field(1, 1), _field(0, 3)]
-
-
-def _uniform_code(values: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-    """The description of a code of one length for the values that occur, and every value's bits."""
-    seen = np.bincount(values, minlength=256) > 0
-    used = np.flatnonzero(seen)
-    if len(used) <= 2:
-        wide = [_field(1, 1), _field(len(used) - 1, 1), _field(1, 1), _field(int(used[0]), 8)]
-        if len(used) == 2:
-            wide.append(_field(int(used[1]), 8))
-        table = np.zeros((256, len(used) - 1), np.uint8)
-        if len(used) == 2:
-            table[used[1]] = 1
-        return np.concatenate(wide), table
-    n = int(len(used) - 1).bit_length()
-    spare = np.flatnonzero(~seen)[: (1 << n) - len(used)]
-    seen[spare] = True
-    # lengths of the lengths' code: one bit each for 0 and n
-    first = np.zeros(19, np.int64)
-    first[[0, n]] = 1
-    rows = [_field(0, 1), _field(15, 4), *(_field(int(first[k]), 3) for k in _ORDER), _field(0, 1)]
-    lengths = np.zeros(alphabet, np.uint8)
-    lengths[:256] = seen
-    rank = np.cumsum(seen) - 1
-    table = (rank[:, None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8)
-    return np.concatenate([*rows, lengths]), table
+def _file(parts: list[Part]) -> bytes:
+    bits, held = [], []
 
+    def flush() -> None:
+        if held:
+            value, size = _joined(held)
+            bits.append(np.unpackbits(np.frombuffer(value.to_bytes((size + 7) >> 3, "little"), np.uint8), bitorder="little")[:size])
+            held.clear()
 
-_NO_DISTANCE = np.concatenate([_field(1, 1), _field(0, 1), _field(0, 1), _field(0, 1)])
+    for x in parts:
+        if isinstance(x, tuple):
+            held.append(x)
+        else:
+            flush()
+            bits.append(x)
+    flush()
+    body = np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+    pad = b"\0" * (len(body) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
 
 
-def encode(rgba: np.ndarray) -> bytes:
-    """A lossless WebP file with literals of one code length per channel."""
-    height, width, _ = rgba.shape
-    px = rgba.reshape(-1, 4)
-    parts, tables = [*_head(width, height), _field(0, 3)], []  # no transform, cache or meta image
-    for channel, alphabet in ((1, 280), (0, 256), (2, 256), (3, 256)):
-        code, table = _uniform_code(px[:, channel], alphabet)
-        parts.append(code)
-        tables.append((channel, table))
-    parts.append(_NO_DISTANCE)
-    parts.append(np.concatenate([t[px[:, c]] for c, t in tables], axis=1).reshape(-1))
-    return _file(parts)
+def _head(width: int, height: int) -> list[Part]:
+    return [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
 
 
 def _huffman(counts: list[int], limit: int = 15) -> np.ndarray:
     """Code lengths of at most ``limit`` bits (counts are flattened until they fit)."""
-    lengths = np.zeros(len(counts), np.int64)
     counts = list(counts)
     while True:
-        heap = [(c, s, (s,)) for s, c in enumerate(counts) if c]
-        lengths[:] = 0
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
+        used = [s for s, c in enumerate(counts) if c]
+        lengths = np.zeros(len(counts), np.int64)
+        if len(used) <= 1:
+            lengths[used] = 1
+            return lengths
+        heap = [(counts[s], k) for k, s in enumerate(used)]
         heapq.heapify(heap)
+        parent, new = [0] * (2 * len(used) - 1), len(used)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+            x, i = heapq.heappop(heap)
+            y, j = heap[0]
+            heapq.heapreplace(heap, (x + y, new))
+            parent[i] = parent[j] = new
+            new += 1
+        depth = [0] * new
+        for k in range(new - 2, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        lengths[used] = depth[: len(used)]
         if lengths.max() <= limit:
             return lengths
         counts = [c and c // 2 + 1 for c in counts]
 
 
-def _codes(lengths: np.ndarray) -> dict[int, np.ndarray]:
+def _code_values(lengths: np.ndarray) -> np.ndarray:
+    """Every symbol's code, its first bit lowest."""
+    out = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
     if len(used) <= 1:
-        return {int(s): np.zeros(0, np.uint8) for s in used}
-    out, code, before = {}, 0, 0
-    for s in used[np.argsort(lengths[used], kind="stable")]:
-        n = int(lengths[s])
-        code <<= n - before
-        out[int(s)] = _field(code, n)[::-1]
-        code, before = code + 1, n
+        return out
+    size = lengths[used]
+    order = np.argsort(size, kind="stable")
+    most = int(size.max())
+    spread = np.left_shift(1, most - size[order])
+    code = (np.cumsum(spread) - spread)  # left-aligned in ``most`` bits
+    out[used[order]] = _reversed_bits(most)[code]
     return out
 
 
-def _write_code(lengths: np.ndarray) -> list[np.ndarray]:
+def _codes(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
     used = np.flatnonzero(lengths)
-    if len(used) == 0 or (len(used) <= 2 and used.max() < 256):
-        used = used if len(used) else np.array([0])
-        out = [_field(1, 1), _field(len(used) - 1, 1), _field(1, 1), _field(int(used[0]), 8)]
-        return out + [_field(int(s), 8) for s in used[1:]]
-    steps, k = [], 0  # (symbol, extra value, extra bits): runs of zeros and of equal lengths
-    while k < len(lengths):
-        v, n = int(lengths[k]), 1
-        while k + n < len(lengths) and lengths[k + n] == v:
-            n += 1
-        k += n
+    if len(used) <= 1:
+        return {int(s): (0, 0) for s in used}
+    value = _code_values(lengths)
+    return {s: (v, n) for s, v, n in zip(used.tolist(), value[used].tolist(), lengths[used].tolist(), strict=True)}
+
+
+_ONE_SYMBOL = [_joined([(1, 1), (0, 1), (1, 1), (s, 8)]) for s in range(256)]
+
+
+def _write_code(lengths: np.ndarray) -> list[Part]:
+    used = np.flatnonzero(lengths)
+    if len(used) <= 1 and (not len(used) or used[0] < 256):
+        return [_ONE_SYMBOL[int(used[0]) if len(used) else 0]]
+    if len(used) == 2 and used[1] < 256:
+        return [(1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8)]
+    steps = []  # (symbol, extra value, extra bits): runs of zeros and of equal lengths
+    head = np.flatnonzero(np.concatenate(([True], lengths[1:] != lengths[:-1])))
+    for v, n in zip(lengths[head].tolist(), np.diff(np.append(head, len(lengths))).tolist(), strict=True):
         if v:
             steps.append((v, 0, 0))
             n -= 1
@@ -463,18 +693,24 @@ def _write_code(lengths: np.ndarray) -> list[np.ndarray]:
                 m = 1
                 steps.append((v, 0, 0))
             n -= m
-    first = _huffman(np.bincount([s for s, _, _ in steps], minlength=19).tolist(), 7)
+    counts = [0] * 19
+    for s, _, _ in steps:
+        counts[s] += 1
+    first = _huffman(counts, 7)
     table = _codes(first)
-    out = [_field(0, 1), _field(15, 4), *(_field(int(first[k]), 3) for k in _ORDER)]
+    sizes = first.tolist()
+    out = [(0, 1), (15, 4), *((sizes[k], 3) for k in _ORDER)]
     size = len(steps)  # the count of steps is written, as a decoder must also bear that
     if size >= 2:
         n = max(1, -(-max(1, (size - 2).bit_length()) // 2))
-        out += [_field(1, 1), _field(n - 1, 3), _field(size - 2, 2 * n)]
+        out += [(1, 1), (n - 1, 3), (size - 2, 2 * n)]
     else:
-        out.append(_field(0, 1))
+        out.append((0, 1))
     for s, extra, n in steps:
-        out += [table[s], _field(extra, n)]
-    return out
+        out.append(table[s])
+        if n:
+            out.append((extra, n))
+    return [_joined(out)]
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -486,17 +722,176 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * n + 2 + (v >> n & 1), v & ((1 << n) - 1), n
 
 
-def _write_pixels(argb: np.ndarray, width: int, height: int, main: bool, cache_bits: int = 0, meta_bits: int = 0) -> list[np.ndarray]:
-    out = [_field(1, 1), _field(cache_bits, 4)] if cache_bits else [_field(0, 1)]
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` for arrays."""
+    v = value - 1
+    n = np.maximum(np.frexp(v.astype(np.float64))[1] - 2, 0)
+    return np.where(v < 4, v, 2 * n + 2 + (v >> n & 1)), np.where(v < 4, 0, v & (np.left_shift(1, n) - 1)), np.where(v < 4, 0, n)
+
+
+#: Pixels by which a reference is found, and the fewest that it copies.
+GRAM = 8
+_FAR = (1 << 20) - 121
+
+
+def _references(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, length, distance) of stretches that are copied from where their pixels stood before, in order and apart."""
+    n = len(argb)
+    none = np.zeros(0, np.int64)
+    if n < 2 * GRAM:
+        return none, none, none
+    wide = np.zeros(n + GRAM, np.uint64)
+    wide[:n] = argb
+    key = wide[:n] + np.uint64(1)
+    for k in range(1, GRAM):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + wide[k : n + k]
+    order = np.argsort(key[: n - GRAM + 1], kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    at, source = order[1:][same], order[:-1][same]
+    alike = (wide[at] == wide[source]) & (at - source <= _FAR)
+    for k in range(1, GRAM):  # hashes only find candidates
+        alike &= wide[at + k] == wide[source + k]
+    far = np.zeros(n, np.int64)
+    far[at[alike]] = at[alike] - source[alike]
+    found = np.flatnonzero(far)
+    if not len(found):
+        return none, none, none
+    # a stretch goes on while its distance stays
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1] + 1) | (far[found[1:]] != far[found[:-1]])
+    head = np.flatnonzero(new)
+    end = found[np.append(head[1:], len(found)) - 1] + GRAM
+    begin = np.maximum(found[head], np.concatenate(([0], end[:-1])))
+    size, back = end - begin, far[found[head]]
+    good = size >= GRAM
+    begin, size, back = begin[good], size[good], back[good]
+    parts = -(-size // 4096)  # the most that one reference copies
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(begin, parts) + 4096 * k, np.minimum(4096, np.repeat(size, parts) - 4096 * k), np.repeat(back, parts)
+
+
+def _bulk(argb: np.ndarray, cache_bits: int = 0, main: bool = False) -> list[Part]:
+    """An entropy-coded image with one group of codes and references, by arrays."""
+    n = len(argb)
+    out = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
+    if main:
+        out.append((0, 1))
+    begin, size, back = _references(argb)
+    at = np.arange(n)  # pixels and references, by their first pixel
+    if len(begin):
+        inside = np.zeros(n + 1, np.int8)  # stretches lie apart, but may touch
+        inside[begin] = 1
+        inside[begin + size] -= 1
+        covered = np.cumsum(inside[:n], dtype=np.int8).view(bool)
+        covered[begin] = False
+        at = np.flatnonzero(~covered)
+    px = argb[at].astype(np.int64)
+    green = px >> 8 & 255
+    if cache_bits:
+        slot = ((argb.astype(np.uint32) * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        hit = np.zeros(n, bool)
+        hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+        green = np.where(hit[at], 280 + slot[at], green)
+    if len(begin):
+        copy, length, far = np.searchsorted(at, begin), _prefixes(size), _prefixes(back + 120)
+        green[copy] = 256 + length[0]
+    coded = [(green, 280 + (1 << cache_bits if cache_bits else 0))]
+    literal = green < 256
+    for shift in (16, 0, 24):
+        v = px >> shift & 255
+        coded.append((v if literal.all() else v[literal], 256))
+    coded.append((far[0] if len(begin) else v[:0], 40))
+    # each token's bits as one number: a pixel's four codes, or a reference's with their extra bits
+    codes = []
+    for v, m in coded:
+        if not len(v) or (v[0] < 256 and v[0] == v[-1] and (v == v[0]).all()):
+            codes.append(None)
+            out.append(_ONE_SYMBOL[int(v[0]) if len(v) else 0])
+            continue
+        lengths = _huffman(np.bincount(v, minlength=m).tolist())
+        out += _write_code(lengths)
+        if np.count_nonzero(lengths) == 1:
+            codes.append(None)
+        else:
+            codes.append((_code_values(lengths)[v], lengths[v]))
+    word, used = codes[0] or (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+    for own in codes[1:4]:
+        if own:
+            more = np.flatnonzero(literal)
+            word[more] |= own[0] << used[more]
+            used[more] += own[1]
+    if len(begin):
+        for v, w in (length[1:], codes[4] or (0, 0), far[1:]):
+            word[copy] |= v << used[copy]
+            used[copy] += w
+    total = np.cumsum(used)
+    if total[-1]:
+        bit = np.arange(total[-1]) - np.repeat(total - used, used)
+        out.append((np.repeat(word, used) >> bit & 1).astype(np.uint8))
+    return out
+
+
+def encode(rgba: np.ndarray, *, palette: bool = False, predictor: bool = False, cross: bool = False, cache_bits: int = 0) -> bytes:
+    """A lossless WebP file with Huffman codes and references, and the transforms asked for.
+
+    Predictors are chosen by block among _TRIED, cross-colour's multiplier of blue by
+    green for the whole image; a palette needs at most 256 colours.
+    """
+    height, width, _ = rgba.shape
+    argb = np.ascontiguousarray(rgba[:, :, [3, 0, 1, 2]]).view(">u4").reshape(-1).astype(np.uint32)
+    out, w = _head(width, height), width
+    if palette:
+        table, index = np.unique(argb, return_inverse=True)
+        pack = _pack_bits(len(table))
+        delta = _channels(table)
+        delta[1:] -= delta[:-1].copy()
+        out += [(1, 1), (3, 2), (len(table) - 1, 8), *_bulk(_number(delta))]
+        w = -(-width >> pack)
+        if pack:
+            wide = np.zeros((height, w << pack), np.int64)
+            wide[:, :width] = index.reshape(height, width)
+            index = (wide.reshape(height, w, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))).sum(2).reshape(-1)
+        argb = (0xFF000000 | index << 8).astype(np.uint32)
+    if cross:
+        ch = _channels(argb)
+        signed = lambda v: (v & 255) - ((v & 128) << 1)
+        x, y = signed(ch[:, 2]), signed(ch[:, 3])
+        slope = int(np.clip(np.round(32 * (x * y).sum() / max(1, (x * x).sum())), -128, 127)) & 255
+        k = 9
+        elements = np.full(-(-w >> k) * -(-height >> k), 0xFF000000 | slope << 8, np.uint32)
+        argb = _apply_cross(argb, elements, k, w, height, True)
+        out += [(1, 1), (1, 2), (k - 2, 3), *_bulk(elements)]
+    if predictor:
+        k = 7
+        px = _channels(argb).reshape(height, w, 4)
+        varied = px.any((0, 1)) & (px < 255).any((0, 1))
+        varied[2] |= not varied.any()
+        some = np.ascontiguousarray(px[:, :, varied]).astype(np.int16)  # channels that aren't all 0 or all 255
+        rows, cols = -(-height >> k), -(-w >> k)
+        edge = lambda m, axis: np.add.reduceat(m, np.arange(0, m.shape[axis], 1 << k), axis)
+        cost = []
+        for kind in _TRIED:
+            rest = ((some - _guess(kind, some)) & 255).sum(2)
+            cost.append(edge(edge(np.minimum(rest, 256 - rest), 0), 1))
+        modes = np.array(_TRIED)[np.argmin(cost, 0)].reshape(rows, cols)
+        argb = _number(_residual(px, modes, k).reshape(-1, 4))
+        out += [(1, 1), (0, 2), (k - 2, 3), *_bulk((0xFF000000 | modes.reshape(-1) << 8).astype(np.uint32))]
+    out += [(0, 1), *_bulk(argb, cache_bits, True)]
+    return _file(out)
+
+
+def _write_pixels(argb: np.ndarray, width: int, height: int, main: bool, cache_bits: int = 0, meta_bits: int = 0) -> list[Part]:
+    out = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
     groups, group = 1, lambda i: 0
     if main and meta_bits:
         mw, mh = -(-width >> meta_bits), -(-height >> meta_bits)
         pick = np.arange(mw * mh) % 2  # two code groups, in turns
         groups = int(pick.max()) + 1
-        out += [_field(1, 1), _field(meta_bits - 2, 3), *_write_pixels((pick << 8).astype(np.uint32), mw, mh, False)]
+        out += [(1, 1), (meta_bits - 2, 3), *_write_pixels((pick << 8).astype(np.uint32), mw, mh, False)]
         group = lambda i: int(pick[(i // width >> meta_bits) * mw + (i % width >> meta_bits)])
     elif main:
-        out.append(_field(0, 1))
+        out.append((0, 1))
     px = argb.tolist()
     near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(_NEAR)))}
     cache, seen, steps, i = [0] * (1 << cache_bits), {}, [], 0
@@ -544,7 +939,7 @@ def _write_pixels(argb: np.ndarray, width: int, height: int, main: bool, cache_b
         elif kind == "cache":
             out.append(t[0][280 + v])
         else:
-            out += [t[0][256 + v[0]], _field(v[1], v[2]), t[4][d[0]], _field(d[1], d[2])]
+            out += [t[0][256 + v[0]], (v[1], v[2]), t[4][d[0]], (d[1], d[2])]
     return out
 
 
@@ -561,7 +956,7 @@ def encode_full(rgba: np.ndarray, *, predictor: bool = False, cross: bool = Fals
         pack = _pack_bits(len(table))
         delta = _channels(table)
         delta[1:] -= delta[:-1].copy()
-        out += [_field(1, 1), _field(3, 2), _field(len(table) - 1, 8), *_write_pixels(_number(delta), len(table), 1, False)]
+        out += [(1, 1), (3, 2), (len(table) - 1, 8), *_write_pixels(_number(delta), len(table), 1, False)]
         index = np.searchsorted(table, argb).reshape(height, width)
         w = -(-width >> pack)
         wide = np.zeros((height, w << pack), np.int64)
@@ -570,16 +965,16 @@ def encode_full(rgba: np.ndarray, *, predictor: bool = False, cross: bool = Fals
         argb = (0xFF000000 | packed.reshape(-1) << 8).astype(np.uint32)
     if green:
         argb = _apply_green(argb, -1)
-        out += [_field(1, 1), _field(2, 2)]
+        out += [(1, 1), (2, 2)]
     if cross:
         k = 2
         elements = _number(np.append(np.full((-(-w >> k) * -(-height >> k), 1), 255), rng.integers(0, 256, (-(-w >> k) * -(-height >> k), 3)), 1))
         argb = _apply_cross(argb, elements, k, w, height, True)
-        out += [_field(1, 1), _field(1, 2), _field(k - 2, 3), *_write_pixels(elements, -(-w >> k), -(-height >> k), False)]
+        out += [(1, 1), (1, 2), (k - 2, 3), *_write_pixels(elements, -(-w >> k), -(-height >> k), False)]
     if predictor:
         k = 2
         modes = (rng.permutation(-(-w >> k) * -(-height >> k)) % 14 << 8).astype(np.uint32)
         argb = _apply_predictor(argb, modes, k, w, height, True)
-        out += [_field(1, 1), _field(0, 2), _field(k - 2, 3), *_write_pixels(modes, -(-w >> k), -(-height >> k), False)]
-    out += [_field(0, 1), *_write_pixels(argb, w, height, True, cache_bits, meta_bits)]
+        out += [(1, 1), (0, 2), (k - 2, 3), *_write_pixels(modes, -(-w >> k), -(-height >> k), False)]
+    out += [(0, 1), *_write_pixels(argb, w, height, True, cache_bits, meta_bits)]
     return _file(out)

@@ -1,5 +1,6 @@
 """URL filters, decontamination, tokens, WARC, mixing, media and language ID."""
 
+import base64
 import hashlib
 import io
 import itertools
@@ -289,6 +290,49 @@ def test_webp_round_trips():
                 assert (V.decode(data) == img).all(), (p, c, g, pal, cache, meta)
 
 
+def test_webp_bulk_forms():
+    """The bulk encoder's transforms, read by whole arrays, and references longer than one may be."""
+    V.taken.clear()
+    for img in [*images(), np.zeros((1, 1, 4), np.uint8), np.tile(np.arange(200, dtype=np.uint8).reshape(1, 50, 4), (300, 1, 1))]:
+        few = len(np.unique(img.reshape(-1, 4), axis=0)) <= 256
+        for pal, p, c, cache in itertools.product((False, True), (False, True), (False, True), (0, 1, 6, 11)):
+            if few or not pal:
+                assert (V.decode(V.encode(img, palette=pal, predictor=p, cross=c, cache_bits=cache)) == img).all(), (img.shape, pal, p, c, cache)
+    assert {"prefix codes", "references", "cache", "predictor", "cross-colour", "palette"} <= set(V.taken)
+
+
+def test_webp_of_others():
+    """A file that another encoder made: one transparent pixel, as browsers are asked for to see whether they read the format."""
+    img = V.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert img.shape == (1, 1, 4) and img[0, 0, 3] == 0
+
+
+def test_webp_arrays_and_pixels_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(60)]
+    payload = b" ".join(words[k] for k in rng.integers(0, 60, 900))
+    files = [V.encode(P.to_image(payload, each), **form) for each, form in P.FORMS] + [V.encode_full(P.to_image(payload[:900]), cache_bits=5, green=True)]
+    fast = [V.decode(f) for f in files]
+    monkeypatch.setattr(V, "_all_pixels", lambda *_: None)
+    assert all((V.decode(f) == img).all() for f, img in zip(files, fast, strict=True))
+
+
+def test_media_forms_and_pieces(monkeypatch):
+    """Every part of the decoder is put to use by what is stored, and long payloads come back from several files."""
+    V.taken.clear()
+    rng = random.Random(8)
+    for k in range(40):
+        payload = P.padded(" ".join(rng.choice("alpha beta gamma delta of the".split()) for _ in range(rng.randrange(1, 300))).encode() + bytes([k]))
+        media = P.to_media(payload)
+        assert P.from_media(media, len(payload))[0].tobytes() == payload and media == P.to_media(payload)
+    assert {"prefix codes", "references", "cache", "predictor", "cross-colour", "palette"} <= set(V.taken)
+    monkeypatch.setattr(P, "PIECE", 1000)
+    for n in (999, 1000, 1001, 5003):
+        payload = P.padded(bytes(rng.randrange(256) for _ in range(n)))
+        back, shapes = P.from_media(P.to_media(payload), len(payload))
+        assert back.tobytes() == payload and len(shapes) == -(-len(payload) // 1000)
+
+
 def test_webp_predictors_by_hand():
     left, top, right, corner = [10, 20, 30, 255], [50, 60, 70, 255], [90, 100, 110, 255], [5, 15, 200, 255]
     got = [V._predict(m, left, top, right, corner) for m in range(14)]
