@@ -19,6 +19,8 @@ from loomdex.sources.store import shared_folder, stored  # noqa: F401  (the oper
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Texts are scanned in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
+#: A key is hot if more rows than this have it, and more than a HOT_SHARE-th of all.
+HOT_ROWS, HOT_SHARE = 10_000, 1_000
 
 _U = np.uint64
 _SEP = np.zeros(256, bool)
@@ -162,3 +164,24 @@ def with_key(docs: DataFrame, text: str, ident: str) -> DataFrame:
     Repeated rows share both and are treated alike.
     """
     return docs.withColumns({"_k1": F.xxhash64(F.col(ident), F.col(text)), "_k2": F.xxhash64(F.lit(7), F.col(text), F.col(ident))})
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (null where it has none), ``right`` having a key once and in ``size`` its rows in ``left``.
+
+    Keys with more than a ``HOT_SHARE``-th of all these rows (so there are at most as many of
+    them) are sent to every task, and their rows, like those of a null key, are spread over all.
+    """
+    values = [c for c in right.columns if c not in (key, size)]
+    total = right.agg(F.sum(size)).first()[0] or 0
+    line = max(HOT_ROWS, total // HOT_SHARE)
+    hot = right.filter(F.col(size) > line)
+    pack = F.struct(*values)
+    out = left.withColumn("_hot", F.lit(None).cast(right.select(pack.alias("v")).schema["v"].dataType))
+    if not hot.isEmpty():
+        out = left.join(F.broadcast(hot.select(key, pack.alias("_hot"))), key, "left")
+    apart = F.col(key).isNull() | F.col("_hot").isNotNull()
+    out = out.withColumns({"_key": F.when(~apart, F.col(key)), "_salt": F.when(apart, F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(F.lit(0))})
+    cold = right.filter(F.col(size) <= line).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_salt"), pack.alias("_cold"))
+    out = out.join(cold, ["_key", "_salt"], "left")
+    return out.select(*left.columns, *[F.coalesce(F.col("_hot").getField(v), F.col("_cold").getField(v)).alias(v) for v in values])

@@ -6,10 +6,9 @@ those of its letters, permuted (rotated) by their place in it; a document bundle
 its documents, each scaled to length one, less the mean of all prototypes.
 A document gets the language whose prototype has the largest cosine with it.
 
-Text is lower-cased; a run of anything that is no letter counts as one blank; letters
-are told apart up to ``SLOTS`` - 1 of them by code point (a to z and Latin-1 letters
-have slots of their own, others share slots by hash), so the table of all trigram
-vectors has a fixed size.
+Text is lower-cased; a run of anything that is no letter counts as one blank.  Every
+letter of any script has a vector of its own, whose signs are the bits of a hash of its
+code point, so there is no table of letters to fill up and every machine has the same.
 
 The largest cosine tells languages apart, but is at least 0 for any letters, so it can't
 tell that a text is in none of them.  ``recognise`` judges that by the share of a text's
@@ -23,7 +22,8 @@ per language and Arrow batch, so a language that holds most rows is no hot group
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows without a
 language are not learned from; with nothing learned every row is ``und``; equal
 cosines go to the language that sorts first; repeated rows count as often as they
-occur; an empty table gives an empty one; other columns are kept.
+occur; an empty table gives an empty one; other columns are kept, but those that have the
+name of a result give way to it.
 """
 
 from __future__ import annotations
@@ -41,44 +41,48 @@ from pyspark.sql import types as T
 from loomdex.llm import common as C
 
 DIMENSIONS = 512
-SLOTS = 64
-#: Languages that may be learned; more mean that the column holds something else.
-LANGUAGES = 2_000
+#: Languages that may be learned (4 KB each on the driver and in every task); there are some 7,000, so more mean that the column holds something else.
+LANGUAGES = 20_000
 UNKNOWN = "und"
 #: A trigram is common in a language if it is this share of its trigrams: 1 / COMMON of them at most.
 COMMON = 1e-4
 #: Standard deviations between what other languages' texts get and the bound.
 SPREAD = 3.0
-#: Languages whose trigrams a task counts (2 MB each) before it hands them on.
-HELD = 16
+#: Trigrams and languages (8 and 4096 bytes each) that a task counts before it hands them on.
+HELD, HELD_LANGUAGES = 1 << 20, 4_096
+
+
+_U = np.uint64
+_CODE = 21  # bits of a code point
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Slot by code point (0: blank), and the vectors of all trigrams of slots."""
-    slot = np.zeros(0x110000, np.uint8)
-    own = {c: 1 + i for i, c in enumerate([*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)][: SLOTS - 2])}
+def _lowered() -> np.ndarray:
+    """A letter's code point in lower case, by code point; 0 (a blank) for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         if unicodedata.category(chr(c))[0] == "L":
-            low = ord(chr(c).lower()[0])
-            slot[c] = own.get(low) or 1 + (low * 2654435761 >> 8) % (SLOTS - 1)
-    letter = np.random.default_rng(11).choice(np.array([-1, 1], np.int8), (SLOTS, DIMENSIONS))
-    a, b, c = np.roll(letter, 2, 1), np.roll(letter, 1, 1), letter
-    table = (a[:, None, None, :] * b[None, :, None, :] * c[None, None, :, :]).reshape(SLOTS**3, DIMENSIONS)
-    return slot, table
+            out[c] = ord(chr(c).lower()[0])
+    return out
+
+
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Vectors of +1 and -1 of code points."""
+    part = np.arange(DIMENSIONS // 64, dtype=_U) + _U(1)
+    bits = C.mix(C.mix(codes.astype(_U) + _U(11))[:, None] + part * _U(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Distinct trigrams of a text and how often each occurs; None without a letter."""
-    slot, _ = _tables()
-    s = slot[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """Distinct trigrams of a text, as three code points in a number, and how often each occurs; None without a letter."""
+    s = _lowered()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not s.any():
         return None
     keep = s > 0
     keep[1:] |= s[:-1] > 0  # one blank after a word stays
     s = s[keep]
-    s = np.concatenate(([0], s[: len(s) - (s[-1] == 0)], [0])).astype(np.int32)
-    return np.unique((s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:], return_counts=True)
+    s = np.concatenate(([0], s[: len(s) - (s[-1] == 0)], [0])).astype(np.int64)
+    return np.unique(s[:-2] << 2 * _CODE | s[1:-1] << _CODE | s[2:], return_counts=True)
 
 
 def encode(text: str | None) -> np.ndarray | None:
@@ -86,10 +90,16 @@ def encode(text: str | None) -> np.ndarray | None:
     grams = _grams(text) if text else None
     if grams is None:
         return None
-    _, table = _tables()
+    g, n = grams
+    mask = (1 << _CODE) - 1
+    codes, at = np.unique(np.concatenate((g >> 2 * _CODE, g >> _CODE & mask, g & mask)), return_inverse=True)
+    own = letters(codes)
+    a, b, c = np.roll(own, 2, 1), np.roll(own, 1, 1), own
+    at = at.reshape(3, -1)
     v = np.zeros(DIMENSIONS, np.float64)
-    for i in range(0, len(grams[0]), 4096):
-        v += grams[1][i : i + 4096].astype(np.float32) @ table[grams[0][i : i + 4096]].astype(np.float32)
+    for i in range(0, len(g), 4096):
+        x, y, z = at[:, i : i + 4096]
+        v += n[i : i + 4096].astype(np.float32) @ (a[x] * b[y] * c[z]).astype(np.float32)
     size = np.sqrt(v @ v)
     return v / size if size else None
 
@@ -100,16 +110,21 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for name, v in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
+            held.clear()
+
         for b in batches:
             for t, name in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
                 v = encode(t.as_py())
                 if v is not None:
+                    if name not in held and len(held) == HELD_LANGUAGES:
+                        yield from rows()
                     # whole numbers, so that the sum doesn't depend on its order
                     held[name] = held.get(name, 0) + np.round(v * 2**30).astype(np.int64)
-            if len(held) > LANGUAGES:
-                raise ValueError(f"more than {LANGUAGES} languages in one task's rows")
-        for name, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
+        yield from rows()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
     vectors = rows.mapInArrow(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"))
@@ -131,14 +146,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, (1 + cosine) / 2 of the best prototype."""
     C.small_batches(docs.sparkSession)
-    names = docs.columns
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs]).reshape(len(langs), DIMENSIONS)
+    body = C.set_aside(docs, F.col(text).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best, score = [], []
-            for t in b.column(text):
+            for t in b.column("text"):
                 v = encode(t.as_py()) if langs else None
                 if v is None:
                     best.append(UNKNOWN)
@@ -148,63 +163,74 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "t
                 k = int(np.argmax(np.round(cos, 12)))
                 best.append(langs[k])
                 score.append(float(min(1.0, max(0.0, (1 + cos[k]) / 2))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(best), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["_row", "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    out = T.StructType([body.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return C.put_back(body.mapInArrow(predict, out), ["lang_pred", "score"])
 
 
-def _share(bits: np.ndarray, text: str | None) -> np.ndarray | None:
-    """The share of a text's trigrams that are common, by language; None without a letter."""
-    grams = _grams(text) if text else None
-    if grams is None:
-        return None
-    g, n = grams
-    return ((bits[:, g >> 3] >> (g & 7).astype(np.uint8)) & 1) @ n / n.sum()
+class Common:
+    """The trigrams that are common in some language, ascending, and for each language which of them are in it."""
 
+    def __init__(self, by_language: dict[str, np.ndarray]) -> None:
+        self.langs = sorted(by_language)
+        self.grams = np.unique(np.concatenate([np.zeros(0, np.int64), *by_language.values()]))
+        self.inside = np.array([np.isin(self.grams, by_language[x]) for x in self.langs]).reshape(len(self.langs), len(self.grams))
 
-def common_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """A bit per trigram by language, set if it is common there, from every row with a language."""
+    def share(self, text: str | None) -> np.ndarray | None:
+        """The share of a text's trigrams that are common, by language; None without a letter."""
+        grams = _grams(text) if text else None
+        if grams is None:
+            return None
+        g, n = grams
+        if not len(self.grams):
+            return np.zeros(len(self.langs))
+        at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+        known = self.grams[at] == g
+        return self.inside[:, at[known]] @ n[known] / n.sum()
+
+
+def common_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Common:
+    """The trigrams that are common in each language, from every row with a language."""
     C.small_batches(docs.sparkSession)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for name, n in held.items():
-                g = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(n[g])], ["lang", "g", "n"])
+            for name, parts in held.items():
+                g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "g", "n"])
             held.clear()
 
         for b in batches:
             for t, name in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
                 grams = _grams(t.as_py()) if t.is_valid else None
                 if grams is not None:
-                    if name not in held and len(held) == HELD:
+                    held.setdefault(name, []).append(grams)
+                    size += len(grams[0])
+                    if size > HELD:
                         yield from rows()
-                    held.setdefault(name, np.zeros(SLOTS**3, np.int64))[grams[0]] += grams[1]
+                        size = 0
         yield from rows()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
-    sums = C.stored(rows.mapInArrow(counts, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
+    sums = C.stored(rows.mapInArrow(counts, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
     total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
     found = sums.join(total, "lang").filter(F.col("n") >= F.col("total") * F.lit(COMMON))
     # at most 1 / COMMON numbers for each of at most LANGUAGES languages reach the driver
     made = found.groupBy("lang").agg(F.collect_list("g").alias("g")).limit(LANGUAGES + 1).collect()
     if len(made) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} distinct languages")
-    out = {}
-    for r in sorted(made, key=lambda r: r["lang"]):
-        own = np.zeros(SLOTS**3, np.uint8)
-        own[r["g"]] = 1
-        out[r["lang"]] = np.packbits(own, bitorder="little")
-    return out
+    return Common({r["lang"]: np.array(r["g"], np.int64) for r in made})
 
 
-def bounds(docs: DataFrame, common: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> dict[str, float]:
+def bounds(docs: DataFrame, common: Common, text: str = "text", lang: str = "lang") -> dict[str, float]:
     """By language the least share of common trigrams with which a text counts as one of it."""
     C.small_batches(docs.sparkSession)
-    langs = sorted(common)
-    bits = np.array([common[x] for x in langs]).reshape(len(langs), SLOTS**3 // 8)
+    langs = common.langs
     at = {x: k for k, x in enumerate(langs)}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +238,7 @@ def bounds(docs: DataFrame, common: dict[str, np.ndarray], text: str = "text", l
         held = np.zeros((5, len(langs)), np.int64)
         for b in batches:
             for t, name in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                share = _share(bits, t.as_py())
+                share = common.share(t.as_py())
                 if share is not None:
                     x, k = np.round(share * 1e4).astype(np.int64), at[name]
                     own = np.arange(len(langs)) == k
@@ -233,19 +259,19 @@ def bounds(docs: DataFrame, common: dict[str, np.ndarray], text: str = "text", l
     return out
 
 
-def recognise(docs: DataFrame, common: dict[str, np.ndarray], least: dict[str, float], text: str = "text") -> DataFrame:
+def recognise(docs: DataFrame, common: Common, least: dict[str, float], text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is in no language of ``common``."""
     C.small_batches(docs.sparkSession)
-    langs = sorted(common)
-    bits = np.array([common[x] for x in langs]).reshape(len(langs), SLOTS**3 // 8)
-    line = np.array([least[x] for x in langs])
+    line = np.array([least[x] for x in common.langs])
+    body = C.set_aside(docs, F.col(text).alias("text"))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares = (_share(bits, t.as_py()) for t in b.column(text))
-            yield b.filter(pa.array([s is not None and bool((s >= line).any()) for s in shares], pa.bool_()))
+            shares = (common.share(t.as_py()) for t in b.column("text"))
+            own = b.filter(pa.array([s is not None and bool((s >= line).any()) for s in shares], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([own.column("_row")], ["_row"])
 
-    return docs.mapInArrow(known, docs.schema)
+    return C.put_back(body.mapInArrow(known, T.StructType([body.schema["_row"]])), [])
 
 
 def held_out(ident: str = "doc_id"):

@@ -9,7 +9,8 @@ pre-tokens are then summed by text.
 
 Cases: a null text counts as empty (0 tokens); white space other than the space is
 ordinary text, as in the library; the file's special strings inside a text are
-ordinary text; a text may be of any length; extra columns are kept.
+ordinary text; a text may be of any length; an empty table gives an empty one; extra
+columns are kept, but those that have the name of a result give way to it.
 """
 
 from __future__ import annotations
@@ -166,12 +167,13 @@ def _pre_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit; ``model_path`` must exist on every machine."""
     C.small_batches(docs.sparkSession)
-    names = docs.columns
+    own = ["n_bytes", "n_tokens", "over_limit"]
+    body = C.set_aside(docs, F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = load(model_path), {}
         for b in batches:
-            data, off = C.text_buffers(b.column(text))
+            data, off = C.text_buffers(b.column("text"))
             n = np.zeros(b.num_rows, np.int64)
             for i, j in C.chunks(off):
                 texts = [data[off[r] : off[r + 1]].tobytes().replace(b"\xe2\x96\x81", b" ") for r in range(i, j)]
@@ -192,10 +194,11 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
                 sums = np.concatenate(([0], np.cumsum(each)))
                 n[i:j] = sums[first[1:]] - sums[first[:-1]]
             size = np.diff(off)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(size), pa.array(n), pa.array(n > limit)], [*names, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(size), pa.array(n), pa.array(n > limit)], ["_row", *own])
 
-    out = T.StructType([*docs.schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return docs.mapInArrow(count, out)
+    kinds = (T.LongType(), T.LongType(), T.BooleanType())
+    out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
+    return C.put_back(body.mapInArrow(count, out), own)
 
 
 def query(spark, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -14,14 +14,12 @@ suffixes were, too.  The model is a table with a row for every gram that was cou
 it grows with the urls and is joined by shuffle, never sent to every task.  All counts
 are over all rows; all steps are DataFrame operations.
 
-The SQL twin still shares ``BUCKETS`` buckets among the grams, so it says the same only
-while few of them meet in one.
-
 Cases: for a null url, or one without ``://``, host and path are empty, no rule fits
 and the models judge the empty string; a path that is empty doesn't start with ``/``;
 without accepted (rejected) urls to learn from all others are blocked (allowed), and
 without either allowed; repeated rows count as often as they occur and are judged
-alike; extra columns are kept by ``judge``.
+alike; an empty table gives an empty one; ``judge`` keeps extra columns, but those that
+have the name of a result give way to it.
 """
 
 from __future__ import annotations
@@ -35,8 +33,6 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 ORDER = 5
 #: Weight of the shorter context against counts, and the number of characters told apart at order 0.
 M, EVEN = 4.0, 128.0
-#: Of the SQL twin only.
-BUCKETS = 1 << 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,12 +73,13 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
     below, levels = None, []
     for k in range(1, order + 1):
         own = counts.filter(size == k)
-        context = F.substring("g", 1, k - 1) if k > 1 else F.lit("")
-        total = own.groupBy(context.alias("x")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-        own = own.withColumn("x", context).join(total, "x")
-        if below is None:
-            own = own.withColumns({"pa0": F.lit(1 / EVEN), "pr0": F.lit(1 / EVEN)})
+        if below is None:  # all single characters have the empty context: two numbers
+            total = own.agg(F.sum("a"), F.sum("r")).first()
+            own = own.withColumns({"ca": F.lit(total[0]), "cr": F.lit(total[1]), "pa0": F.lit(1 / EVEN), "pr0": F.lit(1 / EVEN)})
         else:
+            context = F.substring("g", 1, k - 1)
+            total = own.groupBy(context.alias("x")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+            own = own.withColumn("x", context).join(total, "x")
             lower = below.select(F.col("g").alias("y"), F.col("pa").alias("pa0"), F.col("pr").alias("pr0"))
             own = own.withColumn("y", F.substring("g", 2, k - 1)).join(lower, "y").drop("y")
         p = lambda n, c, q: (F.col(n) + M * F.col(q)) / (F.col(c) + M)
@@ -95,9 +92,15 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return out.select("g", delta.alias("delta"))
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Stored in as many files as there are shuffle partitions: so few bytes would else be one task's, whatever is made of them."""
+    return C.stored(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def score(strings: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """(s, score) per distinct s: the log ratio per character, to nine places."""
-    own = C.stored(strings.select("s").filter("s <> ''").distinct().withColumn("id", F.monotonically_increasing_id()))
+    own = _spread(strings.select("s").filter("s <> ''").distinct(), "s")
+    own = C.stored(own.withColumn("id", F.monotonically_increasing_id()))
     # all grams that begin at a character are prefixes of the longest one there: each distinct one is summed up once
     at = own.select("id", F.explode(_starts(F.col("s"), order)).alias("w"))
     prefixes = at.select("w").distinct().select("w", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring("w", 1, k))).alias("g"))
@@ -126,19 +129,21 @@ def threshold(labelled: DataFrame) -> float | None:
 def judge(pages: DataFrame, url: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
     """``pages`` with host, path, rule, verdict and the models' score (null where a rule fits)."""
     host, path = host_and_path(F.col(url))
-    seen = pages.withColumns({"host": host, "path": path})
+    own = ["host", "path", "rule", "verdict", "score"]
+    seen = C.set_aside(pages, host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    seen = seen.withColumns({"rule": rule, "_said": verdict, "_s": F.concat(F.lit("\x02"), "host", "path", F.lit("\x03"))})
+    seen = seen.withColumns({"rule": rule, "said": verdict, "s": F.concat(F.lit("\x02"), "host", "path", F.lit("\x03"))})
     # the models see each string once, with the number of its rows
-    strings = C.stored(seen.groupBy(F.col("_s").alias("s"), (F.col("_said") == "allow").alias("good")).agg(F.count("*").alias("n")))
+    strings = _spread(seen.groupBy("s", (F.col("said") == "allow").alias("good")).agg(F.count("*").alias("n")), "s")
     labelled = strings.filter("good is not null")
     scores = C.stored(strings.join(score(strings, fit(labelled, order), order), "s", "left"))
     scores = scores.withColumn("score", F.coalesce("score", F.lit(0.0)))
     line = threshold(scores.filter("good is not null"))
     allow = F.lit(True) if line is None else F.col("score") >= F.lit(line)
-    other = scores.filter("good is null").select(F.col("s").alias("_s"), "score", allow.alias("_ok"))
-    out = seen.join(other, "_s", "left")
-    return out.withColumn("verdict", F.coalesce("_said", F.when(F.col("_ok"), "allow").otherwise("block"))).drop("_s", "_said", "_ok")
+    # a rule fits all urls of one host and path or none, so these strings are the other rows' alone
+    other = scores.filter("good is null").select("s", "score", allow.alias("ok"), "n")
+    out = C.spread_join(seen, C.stored(other), "s", "n")
+    return C.put_back(out.withColumn("verdict", F.coalesce("said", F.when(F.col("ok"), "allow").otherwise("block"))), own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -150,11 +155,10 @@ def _oracle() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     by_length = sorted(RULES, key=lambda r: (len(r[0]), r[0]), reverse=True)
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[0].partition('/')[0], '/' + r[0].partition('/')[2])} THEN '{r[k]}'" for r in by_length) + " END"
-    level = lambda k: f"""l{k} AS MATERIALIZED (SELECT g.g, a + r AS w, (a + {M} * pa0) / (ca + {M}) AS pa, (r + {M} * pr0) / (cr + {M}) AS pr, pa0, pr0
+    level = lambda k: f"""l{k} AS MATERIALIZED (SELECT g.g, (a + {M} * pa0) / (ca + {M}) AS pa, (r + {M} * pr0) / (cr + {M}) AS pr, pa0, pr0
       FROM (SELECT g.g, a, r, ca, cr, {'y.pa' if k > 1 else f'1.0::DOUBLE / {EVEN}'} AS pa0, {'y.pr' if k > 1 else f'1.0::DOUBLE / {EVEN}'} AS pr0
         FROM g JOIN c ON c.k = {k} AND c.x = substr(g.g, 1, {k - 1}) {f'JOIN l{k - 1} y ON y.g = substr(g.g, 2)' if k > 1 else ''} WHERE g.k = {k}) g)"""
     grams = "SELECT *, substr(s, i, k) AS g FROM (SELECT *, unnest(range(1, length(s) - k + 2)) AS i FROM {t}, range(1, %d) AS o(k) WHERE length(s) >= k)" % (ORDER + 1)
-    bucket = f"(('0x' || substr(md5(g), 1, 8))::BIGINT % {BUCKETS})"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -164,8 +168,8 @@ lab AS (SELECT * FROM z WHERE good IS NOT NULL),
 g AS MATERIALIZED (SELECT g, k, sum(CASE WHEN good THEN n ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN good THEN 0 ELSE n END)::DOUBLE AS r FROM ({grams.format(t='lab')}) GROUP BY g, k),
 c AS MATERIALIZED (SELECT k, substr(g, 1, k - 1) AS x, sum(a) AS ca, sum(r) AS cr FROM g GROUP BY ALL),
 {", ".join(level(k) for k in range(1, ORDER + 1))},
-m AS MATERIALIZED (SELECT {bucket} AS b, sum((ln(pa / pr) - ln(pa0 / pr0)) * w) / sum(w) AS delta FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, ORDER + 1))}) GROUP BY ALL),
-d AS (SELECT s, round(sum(delta) / length(s), 9) AS score FROM (SELECT s, {bucket} AS b FROM ({grams.format(t='(SELECT DISTINCT s FROM z)')})) JOIN m USING (b) GROUP BY s),
+m AS MATERIALIZED (SELECT g, ln(pa / pr) - ln(pa0 / pr0) AS delta FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, ORDER + 1))})),
+d AS (SELECT s, round(sum(delta) / length(s), 9) AS score FROM (SELECT s, g FROM ({grams.format(t='(SELECT DISTINCT s FROM z)')})) JOIN m USING (g) GROUP BY s),
 e AS MATERIALIZED (SELECT z.*, coalesce(score, 0) AS score FROM z LEFT JOIN d USING (s)),
 q AS (SELECT good, sum(n * score) / sum(n) AS mean, sqrt(greatest(1e-9::DOUBLE, sum(n * score * score) / sum(n) - pow(sum(n * score) / sum(n), 2))) AS dev FROM e WHERE good IS NOT NULL GROUP BY good),
 t AS (SELECT CASE WHEN x.mean IS NULL AND y.mean IS NULL THEN '-inf'::DOUBLE WHEN x.mean IS NULL THEN 'inf'::DOUBLE WHEN y.mean IS NULL THEN '-inf'::DOUBLE

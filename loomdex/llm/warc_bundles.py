@@ -37,6 +37,8 @@ LEAST = 1000
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 30
 LEVEL = 3
+#: Raw bytes of records that a task reads back.
+READ_BYTES = 64 << 20
 
 _SKIPPABLE = 0x184D2A5E
 _SEEKABLE = 0x8F92EAB1
@@ -117,14 +119,17 @@ class _Bundle:
 
 def roles(pages: DataFrame, ident: str = "page_id", html: str = "html", least: int = LEAST) -> DataFrame:
     """``pages`` with payload (binary), payload_digest, record_type and refers_to."""
-    pages = pages.withColumn("payload", F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")))
-    pages = pages.withColumn("payload_digest", F.sha1("payload"))
-    first = pages.select("payload_digest", F.octet_length("payload").alias("_n"), F.col(ident).alias("_id")).filter(F.col("_n") >= least)
+    own = ["payload", "payload_digest", "record_type", "refers_to"]
+    body = C.set_aside(pages, F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"), F.col(ident).alias("id"))
+    body = body.withColumn("payload_digest", F.sha1("payload"))
+    # digest and length in one key; null for payloads that are too small to be told apart by it
+    body = body.withColumn("key", F.when(F.octet_length("payload") >= least, F.concat_ws(":", "payload_digest", F.octet_length("payload"))))
     # groups are combined before the shuffle; the largest id of each goes back to its members
-    first = first.groupBy("payload_digest", "_n").agg(F.max("_id").alias("_first"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
-    out = pages.withColumn("_n", F.octet_length("payload")).join(first, ["payload_digest", "_n"], "left")
-    revisit = F.col("_first").isNotNull() & ~F.col(ident).eqNullSafe(F.col("_first"))
-    return out.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_n", "_first")
+    first = body.filter("key is not null").groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    out = C.spread_join(body, C.stored(first), "key", "m")
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    out = out.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))})
+    return C.put_back(out, own)
 
 
 def write_bundles(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -202,7 +207,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
             f.close()
 
     kind = index.schema["page_id"].dataType.simpleString()
-    rows = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
+    # tasks by the bytes that will be read, which the index knows; its own size would say too few
+    total = index.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ_BYTES))
+    rows = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
     return rows.mapInArrow(read, f"page_id {kind}, headers map<string,string>, block binary")
 
 

@@ -79,8 +79,7 @@ def url_model(labelled, order):
     return score
 
 
-def test_url_models(spark, monkeypatch):
-    monkeypatch.setattr(U, "BUCKETS", 1 << 30)  # so that no two grams share one
+def test_url_models(spark):
     rng = random.Random(1)
     good = ["news-" + "".join(rng.choices("aeiou", k=5)) for _ in range(40)]
     bad = ["casino-" + "".join(rng.choices("xyz", k=5)) for _ in range(40)]
