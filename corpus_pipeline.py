@@ -22,9 +22,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     score is never low enough to tell junk from text.
     """
     model = language_id.learn(docs)
-    common = language_id.common_grams(docs)
-    known = language_id.recognise(docs, common, language_id.bounds(docs, common))
-    return language_id.identify(known, model).filter(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    common_ = language_id.common_grams(docs)
+    own = common.set_aside(docs, F.col("text"))
+    known = language_id.recognise(own, common_, language_id.bounds(docs, common_))
+    return common.put_back(language_id.identify(known, model).filter(F.col("lang_pred") != language_id.UNKNOWN), [])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that occur elsewhere are cut; documents left without a word go."""
-    cut = substring_dedup.dedup_substrings(docs)
-    return cut.filter("n_words = 0 or n_removed < n_words").select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    own = common.set_aside(docs, F.col("text"), F.col("doc_id"))
+    cut = substring_dedup.dedup_substrings(own).filter("n_words = 0 or n_removed < n_words")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return common.put_back(cut, [], changed)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
