@@ -17,6 +17,11 @@ def relative_time(now: Column, then: Column) -> Column:
     return F.when(age < 60, text(1, "s")).when(age < 3600, text(60, "m")).when(age < 86400, text(3600, "h")).otherwise(text(86400, "d"))
 
 
+def local_time(then: Column) -> Column:
+    """Seconds since the epoch as date and time in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(then), "yyyy-MM-dd HH:mm:ss")
+
+
 def human_bytes(size: Column) -> Column:
     """A byte count in binary units with one decimal (whole bytes below 1 KiB)."""
     scaled = lambda power: F.format_string(f"%.1f {'KMG'[power - 1]}iB", size / F.lit(float(1 << 10 * power)))

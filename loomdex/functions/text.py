@@ -112,6 +112,18 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(vector, lambda v: F.when(norm > 0, v / norm).otherwise(v).cast("float"))
 
 
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of a text's token vectors (array of arrays) over the tokens whose mask isn't 0; zeros if there are none."""
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
+    n = F.greatest(F.size(kept), F.lit(1))
+    total = lambda i: F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.get(x["v"], i).cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(vectors, 0)) - 1), lambda i: (total(i) / n).cast("float"))
+
+
+#: Characters and tokens of a text beyond which an encoder isn't given more.
+EMBEDDING_CHARS, EMBEDDING_TOKENS = 512, 128
+
+
 def embedding_text(name: Column, signature: Column, docstring: Column) -> Column:
     """What an encoder is given for a symbol: name, signature and the start of its documentation."""
     return F.concat_ws(" ", name, signature, F.substring(docstring, 1, 200))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 from loomdex.functions.scalars import query_of
+from loomdex.sources.store import stored
+
+log = logging.getLogger(__name__)
 
 WINDOW_S = 300
 THRASHING = 4
@@ -21,11 +25,14 @@ DEAD_ENDS = 100
 def dead_end_pairs(changes: DataFrame, window: int = WINDOW_S, first: str = "added", then: str = "removed", key: str = "symbol_fqn", at: str = "detected_at", kind: str = "change_kind") -> DataFrame:
     """Pairs of a ``first`` and a later ``then`` of the same key, less than ``window`` apart.
 
-    Only the two kinds are kept before the join, which is an equi-join on the key.
+    Only the two kinds are kept before the join, which is an equi-join on the key and the
+    time in steps of ``window``: a row meets its own step's and the next one's rows of its
+    key, however many the key has.
     """
-    a = changes.filter(F.col(kind) == first).select(key, F.col(at).alias("t0"), *[c for c in ("session_id",) if c in changes.columns])
-    b = changes.filter(F.col(kind) == then).select(key, F.col(at).alias("t1"))
-    return a.join(b, key).filter((F.col("t1") > F.col("t0")) & (F.col("t1") - F.col("t0") < window))
+    step = F.floor(F.col(at) / window)
+    a = changes.filter(F.col(kind) == first).select(key, F.col(at).alias("t0"), F.explode(F.array(step, step + 1)).alias("_step"), *[c for c in ("session_id",) if c in changes.columns])
+    b = changes.filter(F.col(kind) == then).select(key, F.col(at).alias("t1"), step.alias("_step"))
+    return a.join(b, [key, "_step"]).drop("_step").filter((F.col("t1") > F.col("t0")) & (F.col("t1") - F.col("t0") < window))
 
 
 def dead_ends(changes: DataFrame, observations: DataFrame, now: int, window: int = WINDOW_S) -> DataFrame:
@@ -95,10 +102,13 @@ RULES = (
 
 
 def run_all(changes: DataFrame, observations: DataFrame, now: int, rules=RULES) -> DataFrame:
-    found = [r.detect(changes, observations, now) for r in rules]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    """What all rules find; a rule that fails is logged and left out.  Each rule's few rows are stored as it runs."""
+    out = changes.sparkSession.createDataFrame([], "session_id string, rule string, summary string, involved array<string>, severity string")
+    for r in rules:
+        try:
+            out = out.unionByName(stored(r.detect(changes, observations, now)))
+        except Exception:
+            log.exception("the detector %s failed", r.name)
     return out
 
 

@@ -17,9 +17,7 @@ from loomdex.functions.scalars import blast_radius
 from loomdex.sources.store import stored
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-9
-PATHS, MOST_PATHS, HOPS = 3, 5, 12
-#: Partial paths kept at a time by the path search; more mean that it stops with what it has.
-FRONTIER = 200_000
+PATHS, MOST_PATHS = 3, 5
 #: Edges and nodes up to which PageRank runs in one task (some 30 MB); above, every round is a join.
 SMALL = 200_000
 
@@ -126,36 +124,99 @@ def impact(edges: DataFrame, start: int, depth: int = 3, callers: bool = True, c
     return out.unionByName(parts[1]) if len(parts) > 1 else out
 
 
-def k_paths(edges: DataFrame, source: int, target: int, k: int = PATHS, hops: int = HOPS, frontier: int = FRONTIER) -> DataFrame:
-    """(path, hops) of the k shortest loopless paths, equal lengths in order of their ids.
+def _yen(after: dict[int, list[int]], source: int, target: int, k: int) -> list[list[int]]:
+    """The k shortest loopless paths, equal lengths in order of their ids; ``after`` has ascending neighbours."""
+    before = defaultdict(list)
+    for a, bs in after.items():
+        for b in bs:
+            before[b].append(a)
+
+    def shortest(start: int, shut: set[int], cut: set[int]) -> list[int] | None:
+        """The least of the shortest paths from ``start``, without nodes of ``shut`` and first steps to ``cut``."""
+        far, level = {target: 0}, [target]
+        while level:  # distances to the target that don't lead through the start
+            nxt = []
+            for b in level:
+                for a in before[b]:
+                    if a not in far and a not in shut and a != start:
+                        far[a] = far[b] + 1
+                        nxt.append(a)
+            level = nxt
+        steps = [b for b in after.get(start, ()) if b in far and b not in cut]
+        if not steps:
+            return None
+        path = [start, min(steps, key=lambda b: (far[b], b))]
+        while path[-1] != target:
+            path.append(min(b for b in after[path[-1]] if far.get(b, -1) == far[path[-1]] - 1))
+        return path
+
+    if source == target:
+        return []
+    first = shortest(source, set(), set())
+    found, waiting = ([first] if first else []), []
+    while found and len(found) < k:
+        last = found[-1]
+        for i in range(len(last) - 1):
+            root = last[: i + 1]
+            cut = {p[i + 1] for p in found if p[: i + 1] == root and len(p) > i + 1}
+            spur = shortest(last[i], set(root[:-1]), cut)
+            if spur and (path := root[:-1] + spur) not in waiting and path not in found:
+                waiting.append(path)
+        if not waiting:
+            break
+        waiting.sort(key=lambda p: (len(p), p))
+        found.append(waiting.pop(0))
+    return found
+
+
+def k_paths(edges: DataFrame, source: int, target: int, k: int = PATHS, small: int = SMALL) -> DataFrame:
+    """(path, hops) of the k shortest loopless paths of any length, equal lengths in order of their ids.
 
-    Level by level: a partial path goes on only to nodes that still reach the target
-    within the bound (distances by a search back from the target), never to one that it
-    holds already.  The search ends with the level at which k paths have arrived.
+    Only edges between nodes that the source reaches and that reach the target matter.  If
+    these are few (counted first) one task deviates from each path found in turn (Yen 1971).
+    Else partial paths are extended level by level under a bound on the length, which grows
+    until k paths have arrived or nothing was held back by it.
     """
     spark = edges.sparkSession
+    one = lambda x: spark.createDataFrame([(x,)], "id long")
     steps = stored(_directed(edges, "out"))
-    goal = spark.createDataFrame([(target,)], "id long")
-    dist = bfs(edges, goal, "in", hops).select(F.col("id").alias("b"), "depth").unionByName(spark.createDataFrame([(target, 0)], "b long, depth int"))
-    dist = stored(dist)
-    useful = stored(steps.join(dist, "b"))
-    paths = spark.createDataFrame([([source],)], "path array<long>")
-    found: list[DataFrame] = []
-    n = 0
-    for level in range(1, hops + 1):
-        last = F.element_at("path", -1)
-        longer = paths.join(useful, last == F.col("a")).filter(~F.array_contains("path", F.col("b")) & (F.lit(level) + F.col("depth") <= hops))
-        paths = stored(longer.select(F.concat("path", F.array("b")).alias("path")))
-        arrived = paths.filter(F.element_at("path", -1) == target)
-        n += arrived.count()
-        found.append(arrived)
-        paths = paths.filter(F.element_at("path", -1) != target)
-        if n >= k or paths.isEmpty() or paths.limit(frontier + 1).count() > frontier:
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("hops", F.size("path") - 1).orderBy("hops", "path").limit(k)
+    dist = bfs(edges, one(target), "in", None).select(F.col("id").alias("b"), "depth").unionByName(spark.createDataFrame([(target, 0)], "b long, depth int"))
+    dist = stored(dist.groupBy("b").agg(F.min("depth").alias("depth")))
+    ahead = bfs(edges, one(source), "out", None).select(F.col("id").alias("a")).unionByName(spark.createDataFrame([(source,)], "a long")).distinct()
+    useful = stored(steps.join(dist, "b").join(ahead, "a", "left_semi").filter("a <> b"))
+    shape = "path array<long>, hops int"
+    if useful.limit(small + 1).count() <= small:
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            after = defaultdict(list)
+            for a, b in group.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+                after[int(a)].append(int(b))
+            paths = _yen(after, source, target, k)
+            return pd.DataFrame({"path": paths, "hops": [len(p) - 1 for p in paths]})
+
+        out = useful.select("a", "b", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, shape)
+        return out.orderBy("hops", "path")
+    start = dist.filter(F.col("b") == source).agg(F.min("depth")).first()[0]
+    out = spark.createDataFrame([], shape)
+    bound = start
+    while bound is not None:
+        paths, arrived, held_back = spark.createDataFrame([([source],)], "path array<long>"), [], None
+        for level in range(1, bound + 1):
+            last = F.element_at("path", -1)
+            longer = paths.join(useful, last == F.col("a")).filter(~F.array_contains("path", F.col("b")))
+            longer = stored(longer.select(F.concat("path", F.array("b")).alias("path"), (F.lit(level) + F.col("depth")).alias("least")))
+            beyond = longer.filter(F.col("least") > bound).agg(F.min("least")).first()[0]
+            held_back = min(x for x in (held_back, beyond) if x is not None) if beyond is not None or held_back is not None else None
+            paths = longer.filter((F.col("least") <= bound) & (F.element_at("path", -1) != target)).select("path")
+            arrived.append(longer.filter((F.col("least") <= bound) & (F.element_at("path", -1) == target)).select("path"))
+            if paths.isEmpty():
+                break
+        out = arrived[0]
+        for more in arrived[1:]:
+            out = out.unionByName(more)
+        out = stored(out.withColumn("hops", F.size("path") - 1).orderBy("hops", "path").limit(k))
+        bound = held_back if out.count() < k else None
+    return out.orderBy("hops", "path")
 
 
 def ranked_paths(paths: DataFrame, centrality: DataFrame) -> DataFrame:
@@ -186,6 +247,14 @@ def shared_file_bridges(symbols: DataFrame, one: int, two: int, edges: DataFrame
     return symbols.join(shared, "file_id", "left_semi").filter(~F.col("id").isin(one, two)).select("id", F.lit("shared file").alias("how")).orderBy("id").limit(most)
 
 
+def resolve_names(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, found, id, outcome) of short names: ``ok`` with the one symbol's id, ``not_found`` or ``ambiguous``."""
+    have = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    found = F.coalesce("n", F.lit(0))
+    outcome = F.when(found == 0, "not_found").when(found > 1, "ambiguous").otherwise("ok")
+    return wanted.join(have, "name", "left").select("name", found.alias("found"), F.when(found == 1, F.col("id")).alias("id"), outcome.alias("outcome"))
+
+
 class SymbolError(ValueError):
     """A name that can't be resolved: ``same``, ``not_found`` or ``ambiguous``."""
 
@@ -205,19 +274,3 @@ def resolve_symbol(symbols: DataFrame, name: str) -> int:
     if len(short) > 1:
         raise SymbolError("ambiguous", f"several symbols are named {name}")
     return short[0]["id"]
-
-
-def k_paths_model(edges: list[tuple[int, int]], source: int, target: int, k: int, hops: int = HOPS) -> list[list[int]]:
-    """``k_paths`` on the driver, for graphs known to be small and for tests."""
-    after = defaultdict(set)
-    for a, b in edges:
-        after[a].add(b)
-    found, paths = [], [[source]]
-    for _ in range(hops):
-        paths = [[*p, b] for p in paths for b in sorted(after[p[-1]]) if b not in p]
-        found += sorted(p for p in paths if p[-1] == target)
-        if len(found) >= k:
-            break
-        paths = [p for p in paths if p[-1] != target]
-    return found[:k]
-

@@ -87,6 +87,12 @@ def session_observations(observations: DataFrame, session_id: str) -> DataFrame:
     return observations.filter(F.col("session_id") == session_id).orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
+def recent_activity(observations: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest observations, in the order in which they were made."""
+    newest = observations.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    return newest.orderBy("created_at", "id")
+
+
 def touch(sessions: DataFrame, session_id: str, now: int) -> DataFrame:
     return sessions.withColumn("last_active", F.when(F.col("id") == session_id, F.lit(now).cast("long")).otherwise(F.col("last_active")))
 

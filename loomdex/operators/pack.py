@@ -40,6 +40,14 @@ class Budget:
         return Budget(memory, pivots, left - pivots)
 
 
+def budget_shares(asked: Column, pivot_share: float, default: int = DEFAULT_BUDGET) -> Column:
+    """``resolve_budget`` and ``Budget.split`` for a column of calls: a struct of memory, pivots and rest."""
+    total = F.floor(F.when(asked.isNull(), F.lit(default)).otherwise(F.least(asked, F.lit(MOST_BUDGET))) * CONTENT_SHARE)
+    memory = F.least(F.floor(total / 10), F.lit(500))
+    pivots = F.floor((total - memory) * pivot_share)
+    return F.struct(memory.alias("memory"), pivots.alias("pivots"), (total - memory - pivots).alias("rest"))
+
+
 def prefix_pack(rows: DataFrame, budget: int, tokens: str, order: list, group: list[str] = ()) -> DataFrame:
     """Rows in order as long as all so far fit: it stops at the first that doesn't."""
     w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

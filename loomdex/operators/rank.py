@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import intent as I
 from loomdex.functions import stem as porter
 from loomdex.functions import text as X
+from loomdex.sources.store import stored
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SYMBOL_FIELDS = {"name": 10.0, "fqn": 5.0, "docstring": 1.0, "signature": 3.0}
@@ -40,8 +41,9 @@ def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | lis
     """(id, bm25) of rows with a query term, over weighted fields.
 
     A term's frequency is the weighted sum over fields; a row's length is that of all
-    fields unweighted.  One pass over the texts: only the query's terms are counted
-    (by comparing tokens, with no join), and statistics come from one aggregate.
+    fields unweighted.  The texts are split once: only the query's terms are counted
+    (by comparing tokens, with no join), and the few numbers of each row are stored, from
+    which statistics and scores come.  See ``postings`` for many queries over the same rows.
     """
     terms = X.query_terms(query) if isinstance(query, str) else list(query)
     if stem:
@@ -52,7 +54,7 @@ def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | lis
     length = sum((F.size(f) for f in fields), F.lit(0))
     count = lambda f, term: F.size(F.filter(F.col(f), lambda w: w == term))
     weighted = [sum((count(f, term) * F.lit(w) for f, w in fields.items()), F.lit(0.0)).alias(f"f{i}") for i, term in enumerate(terms)]
-    t = t.select(ident, length.cast("double").alias("dl"), *weighted)
+    t = stored(t.select(ident, length.cast("double").alias("dl"), *weighted))
     n = range(len(terms))
     stats = t.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in n]).first()
     t = t.filter(F.greatest(*[F.col(f"f{i}") for i in n], F.lit(0.0)) > 0)
@@ -64,6 +66,36 @@ def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | lis
     return t.select(ident, score.alias("bm25"))
 
 
+def postings(rows: DataFrame, ident: str, fields: dict[str, float], stem: bool = False) -> DataFrame:
+    """A full-text index: (term, ident, f, dl), a term's weighted frequency in a row and the row's length."""
+    split = (lambda c: porter.stems(X.fts_terms(c))) if stem else X.fts_terms
+    weigh = lambda v: lambda w: F.struct(w.alias("term"), F.lit(float(v)).alias("f"))
+    tokens = [F.transform(split(F.col(f)), weigh(v)) for f, v in fields.items()]
+    t = rows.select(ident, F.concat(*tokens).alias("t")).select(ident, F.size("t").cast("double").alias("dl"), F.explode("t").alias("x"))
+    return t.groupBy(F.col("x.term").alias("term"), ident, "dl").agg(F.sum("x.f").alias("f")).select("term", ident, "f", "dl")
+
+
+def text_lengths(rows: DataFrame, ident: str, fields: dict[str, float]) -> DataFrame:
+    """(ident, dl): the length of every row, those without a term included."""
+    return rows.select(ident, sum((F.size(X.fts_terms(F.col(f))) for f in fields), F.lit(0)).cast("double").alias("dl"))
+
+
+def bm25_indexed(index: DataFrame, lengths: DataFrame, ident: str, query: str | list[str], k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
+    """``bm25`` from a stored index: only the postings of the query's terms are read, and no text."""
+    terms = X.query_terms(query) if isinstance(query, str) else list(query)
+    terms = list(dict.fromkeys(porter.stem(t) for t in terms)) if stem else terms
+    if not terms:
+        return index.select(ident).limit(0).withColumn("bm25", F.lit(0.0))
+    hits = index.filter(F.col("term").isin(terms))
+    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per term asked for
+    if not df:
+        return index.select(ident).limit(0).withColumn("bm25", F.lit(0.0))
+    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+    weight = F.create_map(*[F.lit(x) for t in sorted(df) for x in (t, max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), IDF_FLOOR))])
+    part = weight[F.col("term")] * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
+    return hits.groupBy(ident).agg(F.sum(part).alias("bm25"))
+
+
 def top_k(scored: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
     return scored.orderBy(F.col(score).desc(), *ties).limit(k)
 
@@ -143,17 +175,21 @@ def matched_terms(terms: list[str], *fields: Column) -> Column:
     return F.array_sort(F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(low, t)))
 
 
-def search_symbols(symbols: DataFrame, files: DataFrame, edges: DataFrame, centrality: DataFrame, tf: DataFrame, query: str, limit: int = 10, intent: str | None = None, query_vector: list[float] | None = None, embeddings: DataFrame | None = None, encoder: bool = False) -> DataFrame:
-    """Hybrid search: the best candidates by BM25, rescored by five signals and an intent's boosts."""
+def search_symbols(symbols: DataFrame, files: DataFrame, edges: DataFrame, centrality: DataFrame, tf: DataFrame, query: str, limit: int = 10, intent: str | None = None, query_vector: list[float] | None = None, embeddings: DataFrame | None = None, encoder: bool = False, index: tuple[DataFrame, DataFrame] | None = None, stem: bool = True) -> DataFrame:
+    """Hybrid search: the best candidates by BM25, rescored by five signals and an intent's boosts.
+
+    ``index``: stored postings and lengths of the symbols, without which their texts are read.
+    """
     name = intent or I.detect_one(query)
     weights = I.INTENTS[name].weights(encoder or query_vector is not None)
     query_tf = text_tf(query)
-    found = top_k(bm25(symbols, "id", SYMBOL_FIELDS, query, stem=True), SYMBOL_CANDIDATES, "bm25", "id")
+    scored = bm25_indexed(*index, "id", query, stem=stem) if index else bm25(symbols, "id", SYMBOL_FIELDS, query, stem=stem)
+    found = stored(top_k(scored, SYMBOL_CANDIDATES, "bm25", "id"))
     own = found.join(symbols, "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
     own = own.join(centrality, "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     own = own.join(degree, "id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
-    n_docs = tf.select("symbol_id").distinct().count()
+    n_docs = index[1].filter("terms > 0").count() if index else tf.select("symbol_id").distinct().count()
     mine = tf.join(found.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
     cosine = query_cosine(mine, "symbol_id", query_tf, max(1, n_docs), document_frequencies(tf)).withColumnRenamed("symbol_id", "id")
     own = own.join(cosine, "id", "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
@@ -180,6 +216,25 @@ def search_symbols(symbols: DataFrame, files: DataFrame, edges: DataFrame, centr
     return own.orderBy(F.col("score").desc(), F.col("raw_bm25").desc(), "id").limit(limit)
 
 
+def embedding_coverage(symbols: DataFrame, vectors: DataFrame, *group: str) -> DataFrame:
+    """Symbols and those with a vector, per group."""
+    have = vectors.select(F.col("symbol_id").alias("id"), F.lit(1).alias("_have")).distinct()
+    return symbols.join(have, "id", "left").groupBy(*group).agg(F.count("*").alias("symbols"), F.count("_have").alias("embedded"))
+
+
+def search_lexical(symbols: DataFrame, files: DataFrame, query: str, limit: int = 10, stem: bool = True, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Symbols by BM25 alone, with the columns that a hybrid search's callers use; all signals but bm25 are 0."""
+    scored = bm25_indexed(*index, "id", query, stem=stem) if index else bm25(symbols, "id", SYMBOL_FIELDS, query, stem=stem)
+    found = top_k(scored, limit, "bm25", "id")
+    own = found.join(symbols, "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    zero = F.lit(0.0)
+    own = own.withColumns({
+        "raw_bm25": F.col("bm25"), "score": F.col("bm25"), "intent": F.lit("fallback"), "why": F.lit("Full-text match alone (no hybrid scoring)"),
+        "matched_terms": F.array().cast("array<string>"), "in_degree": F.lit(0).cast("long"), "boost": zero, **{s: zero for s in I.SIGNALS if s != "bm25"},
+    })
+    return own.orderBy(F.col("score").desc(), "id")
+
+
 def search_relaxed(search, lexical, limit: int = 10) -> tuple[DataFrame, bool]:
     """``search(limit)``; if that is empty ``search`` for four times as many, then ``lexical(limit)``; whether it was relaxed.
 

@@ -380,11 +380,10 @@ def prefix_pack(spark, sf):
 
 @_query("""WITH RECURSIVE d AS (SELECT source, doc_id, ceil(strlen(text) / 3.5::DOUBLE)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents),
   f AS (SELECT source, doc_id, pos, CASE WHEN tokens <= 3000 THEN tokens ELSE 0 END AS used, tokens <= 3000 AS kept FROM d WHERE pos = 1
-    UNION ALL SELECT d.source, d.doc_id, d.pos, CASE WHEN f.used + d.tokens <= 3000 THEN f.used + d.tokens ELSE f.used END, f.used + d.tokens <= 3000 FROM f JOIN d ON d.source = f.source AND d.pos = f.pos + 1 WHERE d.pos <= 50)
+    UNION ALL SELECT d.source, d.doc_id, d.pos, CASE WHEN f.used + d.tokens <= 3000 THEN f.used + d.tokens ELSE f.used END, f.used + d.tokens <= 3000 FROM f JOIN d ON d.source = f.source AND d.pos = f.pos + 1)
   SELECT source, doc_id FROM f WHERE kept""")
 def first_fit_pack(spark, sf):
     rows = _t(spark, sf, "documents").select("source", "doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
-    # the SQL twin looks at a source's first 50 documents only, as its recursion would be too slow otherwise
     return pack.stream_first_fit(rows, 3000, "tokens", ["doc_id", "tokens"], ["source"]).select("source", "doc_id")
 
 

@@ -39,17 +39,19 @@ class Engine:
 
     # ---- indexing
 
-    def index(self, sources: DataFrame, session_id: str | None = None, now: int | None = None, full: bool = True, track: bool = True) -> dict[str, int]:
+    def index(self, sources: DataFrame, session_id: str | None = None, now: int | None = None, track: bool = True, paths: DataFrame | None = None) -> dict[str, int]:
         """Bring the index to a state of (path, content); only new and changed files are parsed.
 
-        With ``full`` paths that are missing count as deleted.  Edges are resolved over
-        all symbols each time, so the result equals that of a fresh index.
+        What is missing from ``sources`` counts as deleted: all indexed files, or those among
+        ``paths`` (path) if given.  Deleted files' symbols are logged as removed and make
+        observations stale like any other change, in the one commit.  Edges are resolved
+        over all symbols each time, so the result equals that of a fresh index.
         """
         now = _now() if now is None else now
         t = self.store.tables()
         current = sources.select("path", F.sha2("content", 256).alias("content_hash"))
         known = t["files"].select("path", "content_hash")
-        status = store.stored(diff.manifest(known if full else known.join(current, "path", "left_semi"), current))
+        status = store.stored(diff.manifest(known if paths is None else known.join(paths, "path", "left_semi"), current))
         counts = diff.status_counts(status).first().asDict()
         parse = status.filter(F.col("status").isin("added", "changed"))
         gone = status.filter(F.col("status").isin("changed", "deleted"))
@@ -61,11 +63,17 @@ class Engine:
         # numbers needn't be dense: they are fixed by writing the rows, with no global order
         number = lambda base: (F.monotonically_increasing_id() + F.lit(base + 1)).cast("long").alias("id")
         new_files = store.stored(parsed.select(number(file_base), "path", "language", "content_hash", "line_count", "byte_size", F.lit(now).cast("long").alias("indexed_at")))
-        own = extract.symbols_of(parsed).dropDuplicates(["fqn", "start_line"]).join(new_files.select("path", F.col("id").alias("file_id")), "path")
+        own = store.latest(extract.symbols_of(parsed), ["fqn", "start_line"], F.col("end_line").desc(), F.col("body_hash")).join(new_files.select("path", F.col("id").alias("file_id")), "path")
         new_symbols = store.stored(own.select(number(sym_base), *[f.name for f in schema.SYMBOLS if f.name != "id"]))
         tokens = X.tokenize_symbol(F.col("name"), F.col("docstring"), F.col("fqn"))
         tf = rank.term_frequencies(new_symbols.withColumnRenamed("id", "symbol_id"), "symbol_id", tokens).select("term", "symbol_id", "tf")
+        # sorted by term, so that a query's terms are found by the files' statistics
+        words = rank.postings(new_symbols, "id", rank.SYMBOL_FIELDS, stem=True).sortWithinPartitions("term")
+        held = tf.groupBy(F.col("symbol_id").alias("id")).agg(F.count("*").alias("terms"))
+        lengths = rank.text_lengths(new_symbols, "id", rank.SYMBOL_FIELDS).join(held, "id", "left").select("id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"))
         out = {
+            "postings": left["postings"].unionByName(words),
+            "text_lengths": left["text_lengths"].unionByName(lengths),
             "files": left["files"].unionByName(new_files),
             "symbols": left["symbols"].unionByName(new_symbols),
             "raw_edges": left["raw_edges"].unionByName(extract.edges_of(parsed)),
@@ -78,8 +86,9 @@ class Engine:
             out["symbol_embeddings"] = out["symbol_embeddings"].unionByName(self._embed(new_symbols, now))
         n_changes = 0
         if track:
-            paths = status.filter("status <> 'unchanged'").select("path")
-            state = lambda s, f: s.join(f.select(F.col("id").alias("file_id"), "path"), "file_id").join(paths, "path", "left_semi").dropDuplicates(["fqn"])
+            touched = status.filter("status <> 'unchanged'").select("path")
+            # of overloads the first stands for all, before and after
+            state = lambda s, f: store.latest(s.join(f.select(F.col("id").alias("file_id"), "path"), "file_id").join(touched, "path", "left_semi"), ["fqn"], F.col("start_line"), F.col("body_hash"))
             found = store.stored(diff.resolve_renames(diff.symbol_changes(state(t["symbols"], t["files"]), state(out["symbols"], out["files"]))))
             n_changes = found.count()
             if n_changes:
@@ -97,18 +106,7 @@ class Engine:
     def index_paths(self, root: str, paths: list[str], **options) -> dict[str, int]:
         """Index given paths of a tree; those that are gone are deleted."""
         here = files.read_tree(self.spark, root, paths)
-        missing = self.spark.createDataFrame([(p,) for p in paths], "path string").join(here, "path", "left_anti")
-        stats = self.index(here, full=False, **options)
-        if not missing.join(self.store.read("files"), "path", "left_semi").isEmpty():
-            kept = self.store.read("files").join(missing, "path", "left_anti")
-            self._delete(missing, kept)
-        return stats
-
-    def _delete(self, paths: DataFrame, kept: DataFrame) -> None:
-        t = store.delete_files(self.store.tables(), paths)
-        t["edges"] = store.stored(resolve.resolve_edges(t["raw_edges"], t["symbols"], kept))
-        t["centrality"] = graph.pagerank(t["symbols"], t["edges"])
-        self.store.commit(**{n: t[n] for n in schema.CODE_TABLES})
+        return self.index(here, paths=self.spark.createDataFrame([(p,) for p in paths], "path string"), **options)
 
     def reindex(self, sources: DataFrame, now: int | None = None) -> dict[str, int]:
         """A fresh index; session memory stays and no changes are logged."""
@@ -126,7 +124,26 @@ class Engine:
                 yield pd.DataFrame({"symbol_id": f["id"], "embedding": vectors, "model_name": name, "created_at": now})
 
         text = X.embedding_text(F.col("name"), F.col("signature"), F.col("docstring"))
-        return symbols.select("id", text.alias("text")).mapInPandas(run, schema.SYMBOL_EMBEDDINGS)
+        return symbols.select("id", F.substring(text, 1, X.EMBEDDING_CHARS).alias("text")).mapInPandas(run, schema.SYMBOL_EMBEDDINGS)
+
+    def embed_missing(self, now: int | None = None) -> int:
+        """Vectors for symbols that have none of the present model; how many were made."""
+        if not self.encoder:
+            return 0
+        t = self.store.tables("symbols", "symbol_embeddings")
+        have = t["symbol_embeddings"].filter(F.col("model_name") == self.model_name)
+        made = store.stored(self._embed(t["symbols"].join(have.select(F.col("symbol_id").alias("id")), "id", "left_anti"), _now() if now is None else now))
+        n = made.count()
+        if n:
+            self.store.commit(symbol_embeddings=have.unionByName(made))
+        return n
+
+    def embedding_coverage(self) -> dict[str, float]:
+        """Symbols, those with a vector, and their share."""
+        t = self.store.tables("symbols", "symbol_embeddings")
+        n = t["symbols"].count()
+        own = t["symbols"].join(t["symbol_embeddings"].select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi").count()
+        return {"symbols": n, "embedded": own, "share": own / n if n else 0.0}
 
     # ---- queries
 
@@ -134,12 +151,13 @@ class Engine:
         """Ranked symbols and whether the search had to be relaxed."""
         t = self.store.tables()
         vector = self.encoder([query])[0] if self.encoder else None
+        index = t["postings"], t["text_lengths"]
 
         def hybrid(n: int) -> DataFrame:
-            return rank.search_symbols(t["symbols"], t["files"], t["edges"], t["centrality"], t["term_frequencies"], query, n, I.parse(intent), vector, t["symbol_embeddings"], self.encoder is not None)
+            return rank.search_symbols(t["symbols"], t["files"], t["edges"], t["centrality"], t["term_frequencies"], query, n, I.parse(intent), vector, t["symbol_embeddings"], self.encoder is not None, index)
 
         def lexical(n: int) -> DataFrame:
-            return hybrid(n).limit(0)  # the same match expression found nothing before
+            return rank.search_lexical(t["symbols"], t["files"], query, n, index=index)
 
         return rank.search_relaxed(hybrid, lexical, limit)
 
@@ -222,9 +240,15 @@ class Engine:
             link = graph.shared_file_bridges(t["symbols"], a, b, t["edges"])
         return {"paths": [], "bridges": [r.asDict() for r in link.join(t["symbols"], "id").select("fqn", "how").orderBy("fqn").collect()]}
 
-    def search_memory(self, query: str, limit: int = 5, kind: str | None = None, include_stale: bool = False, now: int | None = None) -> DataFrame:
+    def search_memory(self, query: str, limit: int = 5, kind: str | None = None, include_stale: bool = False, now: int | None = None, persist: bool = False) -> DataFrame:
+        """The best observations; with ``persist`` their scores are kept with them."""
         t = self.store.tables("observations", "observation_links")
-        return memory.search(t["observations"], t["observation_links"], query, _now() if now is None else now, max(1, min(limit, 50)), kind, include_stale)
+        found = memory.search(t["observations"], t["observation_links"], query, _now() if now is None else now, max(1, min(limit, 50)), kind, include_stale)
+        if persist:
+            found = store.stored(found)
+            self.store.commit(observations=memory.persist_scores(t["observations"], found))
+            found = found.orderBy(F.col("memory_score").desc(), "id")
+        return found
 
     def session_context(self, count: int = 3, include_compressed: bool = True) -> DataFrame:
         t = self.store.tables("sessions", "observations")
@@ -287,5 +311,4 @@ class Engine:
         return self.store.read("sessions").filter("is_compressed").count() - before
 
     def activity(self, limit: int = 20) -> DataFrame:
-        newest = self.store.read("observations").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
-        return newest.orderBy("created_at", "id")
+        return memory.recent_activity(self.store.read("observations"), limit)

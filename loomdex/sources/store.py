@@ -61,7 +61,7 @@ def delete_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, Da
         "raw_edges": tables["raw_edges"].join(paths.select("path"), "path", "left_anti"),
         "term_frequencies": tables["term_frequencies"].join(by("symbol_id"), "symbol_id", "left_anti").select(tables["term_frequencies"].columns),
         "symbol_embeddings": tables["symbol_embeddings"].join(by("symbol_id"), "symbol_id", "left_anti"),
-        "centrality": tables["centrality"].join(gone, "id", "left_anti"),
+        **{n: tables[n].join(gone, "id", "left_anti").select(tables[n].columns) for n in ("centrality", "postings", "text_lengths") if n in tables},
     }
 
 

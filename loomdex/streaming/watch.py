@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +14,8 @@ from loomdex.functions.scalars import query_of
 from loomdex.operators.detect import CIRCULAR, SIMILAR, THRASHING, WINDOW_S
 from loomdex.operators.rank import text_tf
 
+log = logging.getLogger(__name__)
+
 #: A row per file event; a file source only tells of new files, so changes and deletions are rows of a log.
 EVENTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("op", T.StringType()), T.StructField("ts", T.TimestampType())])
 DEBOUNCE = "500 milliseconds"
@@ -72,6 +75,35 @@ def watch(events: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
+def index_changes(engine, root: str, ignore: str = ".gitignore", now: Callable[[], int] | None = None, session_id: str | None = None) -> Callable[[DataFrame, int], None]:
+    """What the watcher does with a batch of changed paths: index them, note warnings, embed what is new.
+
+    Indexing brings files, symbols, edges and centrality up to date in one commit; a path
+    that is gone is deleted.  The tree's ignore file is read again for every batch.  A step
+    that fails after the indexing is logged, and the next batch makes up for it.
+    """
+    from pathlib import Path
+
+    from loomdex.sources.extract import BY_EXTENSION
+
+    def act(changed: DataFrame, number: int) -> None:
+        file = Path(root, ignore)
+        lines = [x.strip() for x in file.read_text().splitlines()] if file.exists() else []
+        patterns = [*IGNORED, *(x for x in lines if x and not x.startswith("#"))]
+        paths = [r["path"] for r in changed.filter(wanted_paths(F.col("path"), list(BY_EXTENSION), patterns)).select("path").collect()]  # one batch's
+        if not paths:
+            return
+        when = now() if now else None
+        engine.index_paths(root, paths, session_id=session_id, now=when)
+        for step in (engine.note_warnings, engine.embed_missing):
+            try:
+                step(now=when)
+            except Exception:
+                log.exception("after batch %s: %s failed", number, step.__name__)
+
+    return act
+
+
 def dead_end_stream(changes: DataFrame, window: int = WINDOW_S, delay: str = "10 minutes") -> DataFrame:
     """The dead-end rule on a stream of changes (ts a timestamp): an interval join bounded by watermarks."""
     gap = F.expr(f"interval {window} seconds")

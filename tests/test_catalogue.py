@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomdex.plans import catalogue
+from loomdex.plans import catalogue, catalogue_more  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")

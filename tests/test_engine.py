@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.operators import graph
+from loomdex.operators import graph, rank
 from loomdex.plans.engine import Engine
 from loomdex.sources import files
 
@@ -110,5 +110,34 @@ def test_walk_and_tree(spark, tmp_path):
     e = Engine(spark, str(tmp_path / ".idx"))
     e.index_tree(str(tmp_path), now=1)
     (tmp_path / "d.rs").unlink()
-    e.index_paths(str(tmp_path), ["d.rs"], now=2)
-    assert e.status(now=3)["files"] == 2
+    session = e.start_session(now=1)
+    note = e.save_observation(session, "main starts it", "insight", links=["d.rs::main"], now=1)
+    stats = e.index_paths(str(tmp_path), ["d.rs"], session_id=session, now=2)
+    assert e.status(now=3)["files"] == 2 and stats["deleted"] == 1
+    # what went with the file is logged, and notes on it are stale
+    assert [(r["symbol_fqn"], r["change_kind"], r["session_id"]) for r in e.store.read("symbol_changes").filter("detected_at = 2").collect()] == [("d.rs::main", "removed", session)]
+    assert e.store.read("observations").filter(F.col("id") == note).first()["is_stale"]
+
+
+def test_fallback_scores_and_vectors(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), encoder=lambda texts: [[float(len(t)), 1.0] for t in texts])
+    e.index(table(spark, TREE), now=1)
+    found = rank.search_lexical(e.store.read("symbols"), e.store.read("files"), "validate token", 5)
+    same = rank.search_lexical(e.store.read("symbols"), e.store.read("files"), "validate token", 5, index=(e.store.read("postings"), e.store.read("text_lengths")))
+    rows = found.select("fqn", "score", "intent", "path").collect()
+    assert rows and rows[0]["intent"] == "fallback"
+    assert [(r["fqn"], pytest.approx(r["score"])) for r in rows] == [(r["fqn"], r["score"]) for r in same.collect()]
+    assert e.embedding_coverage()["share"] == 1.0 and e.embed_missing(now=2) == 0
+    s = e.start_session(now=3)
+    note = e.save_observation(s, "tokens are validated in one place", "insight", now=3)
+    e.search_memory("tokens", now=4, persist=True)
+    assert e.store.read("observations").filter(F.col("id") == note).first()["score"] > 0
+
+
+def test_overloads_are_stable(spark, tmp_path):
+    """Of overloads the first stands for all, so that an unchanged one isn't logged with the others' changes."""
+    code = "pub struct S { a: i32 }\nimpl S {\n    fn f(&self) {}\n}\nimpl S {\n    fn f(&self, x: i32) {}\n}\n"
+    e = Engine(spark, str(tmp_path))
+    e.index(table(spark, {"a.rs": code}), now=1)
+    e.index(table(spark, {"a.rs": code + "\nfn g() {}\n"}), now=2)
+    assert [(r["symbol_fqn"], r["change_kind"]) for r in e.store.read("symbol_changes").filter("detected_at = 2").collect()] == [("a.rs::g", "added")]

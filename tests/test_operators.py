@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.operators import detect, diff, graph, memory, pack
+from loomdex.operators import detect, diff, graph, memory, pack, rank, resolve
 from loomdex.sources import extract, store
 
 
@@ -25,11 +25,77 @@ def test_paths_and_bridges(spark):
     assert [(r["id"], r["how"]) for r in graph.bridges(edges(spark, [(1, 3), (2, 3)]), 1, 2).collect()] == [(3, "called by both")]
 
 
-def test_paths_match_a_model(spark):
+def paths_model(pairs, source, target, k):
+    """All loopless paths by extension, shortest first."""
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    found, paths = [], [[source]]
+    while paths:
+        paths = [[*p, b] for p in paths for b in sorted(after.get(p[-1], ())) if b not in p]
+        found += sorted(p for p in paths if p[-1] == target)
+        paths = [p for p in paths if p[-1] != target]
+    return found[:k]
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_paths_match_a_model(spark, small):
     rng = random.Random(5)
-    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(22)})
-    got = [r["path"] for r in graph.k_paths(edges(spark, pairs), 0, 8, 4, hops=6).collect()]
-    assert got == graph.k_paths_model(pairs, 0, 8, 4, 6)
+    for _ in range(3 if small else 1):
+        pairs = sorted({(rng.randrange(8), rng.randrange(8)) for _ in range(20)})
+        got = [r["path"] for r in graph.k_paths(edges(spark, pairs), 0, 7, 6, small=small).collect()]
+        assert got == paths_model(pairs, 0, 7, 6)
+
+
+def test_paths_of_any_length(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(3, 30), (30, 4)]
+    assert [r["hops"] for r in graph.k_paths(edges(spark, chain), 0, 20, 3).collect()] == [20, 21]
+
+
+def test_resolution_against_a_model(spark):
+    """Same file, then exported, then any, for common and for rare names; and only in files that come no later."""
+    rng = random.Random(9)
+    files = [(i, f"f{i}") for i in range(6)]
+    symbols = [(i, rng.randrange(6), f"n{rng.randrange(5) if i % 2 else 0}", f"q{i}", i, rng.random() < 0.4) for i in range(60)]
+    raw = [(f"f{s[1]}", s[3], f"n{rng.randrange(6)}", "calls") for s in symbols for _ in range(2)]
+    frames = spark.createDataFrame(raw, "path string, from_fqn string, to_name string, kind string"), spark.createDataFrame(symbols, "id long, file_id long, name string, fqn string, start_line long, is_exported boolean"), spark.createDataFrame(files, "id long, path string")
+    for parity in (False, True):
+        want = set()
+        for path, fqn, name, kind in raw:
+            able = [s for s in symbols if s[2] == name and (not parity or f"f{s[1]}" <= path)]
+            if able:
+                want.add((int(fqn[1:]), min(able, key=lambda s: (0 if f"f{s[1]}" == path else 1 if s[5] else 2, s[0]))[0], kind))
+        got = resolve.resolve_edges(*frames, parity=parity).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_a_failing_rule_is_left_out(spark, caplog):
+    rows = spark.createDataFrame([("s", "f::a", "f", k, t) for k, t in (("added", 10), ("removed", 20), ("added", 30), ("added", 31))], "session_id string, symbol_fqn string, file_path string, change_kind string, detected_at long")
+    broken = detect.Rule("broken", "", lambda c, o, n: c.select("nothing"))
+    late = detect.Rule("late", "", lambda c, o, n: c.select("session_id", F.raise_error(F.lit("x")).alias("rule"), F.lit("").alias("summary"), F.array("file_path").alias("involved"), F.lit("").alias("severity")))
+    found = detect.run_all(rows, rows, 40, (broken, late, *detect.RULES[:2])).collect()
+    assert {r["rule"] for r in found} == {"dead_end", "file_thrashing"}
+
+
+def test_dead_ends_at_the_edges_of_the_window(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice(["added", "removed"]), rng.randrange(2000)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "symbol_fqn string, change_kind string, detected_at long")
+    want = sorted((a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] == "added" and b[1] == "removed" and 0 < b[2] - a[2] < 300)
+    assert sorted((r["symbol_fqn"], r["t0"], r["t1"]) for r in detect.dead_end_pairs(df).collect()) == want
+
+
+def test_indexed_bm25_equals_that_of_texts(spark):
+    rng = random.Random(4)
+    words = "alpha running runner run beta gamma tests testing".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(12))), None if i % 3 else "alpha tests") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    fields = {"a": 2.0, "b": 1.0}
+    for stem in (False, True):
+        index, lengths = rank.postings(df, "id", fields, stem), rank.text_lengths(df, "id", fields)
+        for query in ("alpha", "running tests zzz", "zzz", "..."):
+            one, two = ({r["id"]: r["bm25"] for r in f.collect()} for f in (rank.bm25(df, "id", fields, query, stem=stem), rank.bm25_indexed(index, lengths, "id", query, stem=stem)))
+            assert one == pytest.approx(two)
 
 
 def test_bfs_and_callers(spark):

@@ -22,6 +22,26 @@ def test_watch_and_latest(spark, tmp_path):
     assert sorted(seen) == [("a.py", "delete"), ("b.ts", "create")]
 
 
+def test_watcher_indexes_what_changed(spark, tmp_path):
+    """A batch's paths are indexed, ignored ones left out, and those that are gone deleted; the ignore file is read anew."""
+    from loomdex.plans.engine import Engine
+
+    root, log = tmp_path / "tree", str(tmp_path / "log")
+    root.mkdir()
+    for name in ("a.py", "b.py", "c.py"):
+        (root / name).write_text(f"def {name[0]}():\n    return 1\n")
+    e = Engine(spark, str(tmp_path / "idx"))
+    e.index_tree(str(root), now=1)
+    (root / "a.py").write_text("def a2():\n    return 2\n")
+    (root / "b.py").unlink()
+    (root / "c.py").write_text("def c2():\n    return 2\n")
+    (root / ".gitignore").write_text("c.py\n")
+    spark.createDataFrame([("a.py", "modify", at(0)), ("b.py", "delete", at(1)), ("c.py", "modify", at(1)), ("x.txt", "create", at(2))], watch.EVENTS).write.parquet(log)
+    stream = spark.readStream.schema(watch.EVENTS).parquet(log)
+    watch.watch(stream, watch.index_changes(e, str(root), now=lambda: 5), str(tmp_path / "cp")).awaitTermination(120)
+    assert {r["fqn"] for r in e.store.read("symbols").collect()} == {"a.py::a2", "c.py::c"}
+
+
 def test_debounce(spark):
     df = spark.createDataFrame([("a", "m", at(0)), ("b", "m", at(0.3)), ("a", "m", at(0.7)), ("a", "m", at(5))], watch.EVENTS)
     assert sorted(r["n"] for r in watch.debounce(df).collect()) == [1, 3]
