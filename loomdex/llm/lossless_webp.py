@@ -6,10 +6,11 @@ decodes any lossless WebP column (see ``vp8l``) to width, height and an RGBA arr
 
 A payload is cut into pieces of at most ``PIECE`` bytes, each an image, whose files follow
 one another in the column (a WebP file says how long it is), so payloads of any length
-are held and no worker needs more than a piece's arrays.  Every image has Huffman codes
-and back-references.  Which transforms it has besides turns with the payload's checksum
-(``FORMS``), so that any table puts the whole decoder to use and equal texts stay equal:
-a palette; a colour cache; predictors; or two bytes to a pixel with cross-colour and predictors.
+are held and no worker needs more than a piece's arrays.  Every image has Huffman codes.
+What it has besides turns with the payload's checksum (``FORMS``), so that any table puts
+the whole decoder to use and equal texts stay equal: one in eight each gets a palette and
+back-references; predictors; or two bytes to a pixel with cross-colour and predictors; the
+others a colour cache, which costs least to read.
 
 Cases: a null text is an empty payload of 64 zero bytes; equal texts give equal files; a
 null or broken image gives null pixels and an error text; empty tables pass, and so do
@@ -38,39 +39,49 @@ def padded(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b"\0" * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
-def to_image(payload: bytes, each: int = 4) -> np.ndarray:
-    """``each`` bytes to a pixel, 1 (green), 2 (green, blue) or 4 (red, green, blue, alpha), with zeros at the end.
-
-    Wider than high, at least 16 wide; alpha is 255 if it holds no payload.
-    """
-    n = -(-len(payload) // each)
+def shape_of(size: int, each: int) -> tuple[int, int]:
+    """Width and height of an image of ``size`` bytes: wider than high, at least 16 wide."""
+    n = -(-size // each)
     width = min(vp8l.MAX_SIDE, max(16, 1 << ((n.bit_length() + 3) // 2)))
     height = -(-n // width)
     if height > vp8l.MAX_SIDE:
         raise ValueError("the payload is larger than an image can be")
+    return width, height
+
+
+def to_argb(payload: bytes, each: int) -> tuple[np.ndarray, int, int]:
+    """Pixels of ``each`` bytes, 1 (green), 2 (green, blue) or 4 (red, green, blue, alpha), with zeros at the end; width and height.
+
+    Alpha is 255 if it holds no payload.
+    """
+    width, height = shape_of(len(payload), each)
     flat = np.zeros(width * height * each, np.uint8)
     flat[: len(payload)] = np.frombuffer(payload, np.uint8)
+    part = flat.reshape(-1, each).T.astype(np.uint32)
     if each == 4:
-        return flat.reshape(height, width, 4)
-    out = np.zeros((height, width, 4), np.uint8)
-    out[:, :, 3] = 255
-    out[:, :, 1 : 1 + each] = flat.reshape(height, width, each)
-    return out
+        return part[3] << 24 | part[0] << 16 | part[1] << 8 | part[2], width, height
+    return 0xFF000000 | part[0] << 8 | (part[1] if each == 2 else np.uint32(0)), width, height
+
+
+def to_image(payload: bytes, each: int = 4) -> np.ndarray:
+    """The same as an array (height, width, RGBA)."""
+    argb, width, height = to_argb(payload, each)
+    return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
 
 
 #: By the payload's checksum: bytes to a pixel and what ``vp8l.encode`` is asked for.
 FORMS = (
-    (1, {"palette": True}),
-    (1, {"cache_bits": 6}),
-    (1, {"predictor": True}),
-    (2, {"cross": True, "predictor": True}),
+    *[(1, {"cache_bits": 6, "references": False})] * 5,
+    (1, {"palette": True, "references": True}),
+    (1, {"predictor": True, "references": False}),
+    (2, {"cross": True, "predictor": True, "references": False}),
 )
 PIECE = 1 << 20
 
 
 def to_media(payload: bytes) -> bytes:
     each, wanted = FORMS[zlib.crc32(payload) % len(FORMS)]
-    return b"".join(vp8l.encode(to_image(payload[i : i + PIECE], each), **wanted) for i in range(0, len(payload), PIECE))
+    return b"".join(vp8l.encode_argb(*to_argb(payload[i : i + PIECE], each), **wanted) for i in range(0, len(payload), PIECE))
 
 
 def files_of(media: bytes) -> Iterator[bytes]:
@@ -86,11 +97,14 @@ def from_media(media: bytes, size: int) -> tuple[np.ndarray, list[tuple[int, int
     """The payload of ``size`` bytes, and its images' widths and heights."""
     parts, shapes = [], []
     for k, one in enumerate(files_of(media)):
-        img = vp8l.decode(one)
+        argb, width, height = vp8l.decode_argb(one)
         own = min(PIECE, size - k * PIECE)
-        each = 1 if img.shape[0] * img.shape[1] >= own else 2  # rows that aren't full are fewer than half
-        parts.append(img[:, :, 1 : 1 + each].reshape(-1)[:own])
-        shapes.append((img.shape[1], img.shape[0]))
+        green = (argb >> 8).astype(np.uint8)
+        if width * height >= own:
+            parts.append(green[:own])
+        else:  # two bytes to a pixel: what a last row lacks is never half of all
+            parts.append(np.stack([green, argb.astype(np.uint8)], 1).reshape(-1)[:own])
+        shapes.append((width, height))
     return np.concatenate(parts), shapes
 
 

@@ -48,6 +48,10 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
 
+def _places(x: np.ndarray) -> np.ndarray:
+    return x.nonzero()[0]
+
+
 @lru_cache(maxsize=16)
 def _reversed_bits(n: int) -> np.ndarray:
     """The numbers below 2**n with their n bits in reverse order."""
@@ -64,7 +68,7 @@ class Code:
         self.size, self.only, self.symbols, self.lengths = 0, only, None, None
         if lengths is None:
             return
-        used = np.flatnonzero(lengths)
+        used = _places(lengths)
         if len(used) <= 1:
             self.only = int(used[0]) if len(used) else 0
             return
@@ -90,8 +94,10 @@ class Code:
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
+    kind = bits.read(1)
+    if kind:
+        kind = bits.read(2)
+        two, wide = kind & 1, kind >> 1
         one = bits.read(8 if wide else 1)
         if not two:
             return Code(None, one)
@@ -99,8 +105,9 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         lengths[[one, bits.read(8)]] = 1
         return Code(lengths)
     first = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        first[_ORDER[k]] = bits.read(3)
+    given = 4 + bits.read(4)
+    sizes = bits.read(3 * given)
+    first[list(_ORDER[:given])] = [sizes >> 3 * k & 7 for k in range(given)]
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     found, before = [], 8
@@ -229,10 +236,24 @@ def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
     g, r, b, a, d = codes
     if not g.size and g.only < 256 and not (r.size or b.size or a.size):
         return np.full(total, a.only << 24 | r.only << 16 | g.only << 8 | b.only, np.uint32)
-    n = min(bits.size - bits.at, total * 96)
-    if n <= 0:
+    rest = bits.size - bits.at
+    if rest <= 0:
         raise ValueError("stream is cut short")
-    ahead = _ahead(bits.data, bits.at, bits.at + n + 256)  # so that a pixel's later parts can be looked up
+    for most in (total * 8 + 64 if rest > total * 40 else rest, total * 96):  # no pixel takes 96 bits, and few images so much as 8 a pixel
+        n = min(rest, most)
+        out = _pixels_of(bits, codes, width, total, cache_bits, n, n == rest or most == total * 96)
+        if out is not _MORE:
+            return out
+    return None
+
+
+_MORE = np.zeros(0, np.uint32)
+
+
+def _pixels_of(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int, n: int, last: bool) -> np.ndarray | None:
+    """The same from the next ``n`` bits; _MORE if these weren't enough and aren't the ``last``."""
+    g, r, b, a, d = codes
+    ahead = _ahead(bits.data, bits.at, bits.at + n + 512)  # so that a pixel's later parts can be looked up
 
     def look(code: Code, at: np.ndarray) -> np.ndarray:
         """Symbol * 16 + length of the code at some bits."""
@@ -244,36 +265,38 @@ def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
     step = (green & 15).astype(np.uint8)
     mixed = bool(r.size or b.size or a.size)
     if mixed:
-        own = np.flatnonzero(green[:n] < 256 << 4)
+        own = _places(green[:n] < 256 << 4)
         at = own + step[own]
         for code in (r, b, a):
             if code.size:
                 at = at + (look(code, at) & 15)
         step[own] = at - own
-    copies = np.flatnonzero((green[:n] >= 256 << 4) & (green[:n] < 280 << 4))
+    copies = _places((green[:n] >= 256 << 4) & (green[:n] < 280 << 4))
     if len(copies):
         at = copies + step[copies] + _PREFIX_BITS[(green[copies] >> 4) - 256]
         far = look(d, at)
         step[copies] = at + (far & 15) + _PREFIX_BITS[far >> 4] - copies
     if not step.all():
         return None
-    # walk from pixel to pixel, four at a time
-    every = np.arange(n, dtype=np.int32)
-    two = step.copy()
-    two[:n] += step[every + step[:n]]
-    four = two[:n] + two[every + two[:n]]
-    walk, at, places = four.tobytes(), 0, []
-    for _ in range(-(-total // 4)):
+    # walk from pixel to pixel, several at a time: jumps[k] leads 2**k pixels on
+    every, jumps = np.arange(n, dtype=np.int32), [step]
+    while len(jumps) < 5 and int(jumps[-1].max()) < 128:
+        longer = jumps[-1].copy()
+        longer[:n] += jumps[-1][every + jumps[-1][:n]]
+        jumps.append(longer)
+    walk, at, heads = jumps[-1].tobytes(), 0, []
+    for _ in range(-(-total >> len(jumps) - 1)):
         if at >= n:
             break
-        places.append(at)
+        heads.append(at)
         at += walk[at]
-    head = np.array(places)
-    third = head + two[head]
-    places = np.stack([head, head + step[head], third, third + step[third]], 1).reshape(-1)
+    places = np.array(heads)[:, None]
+    for jump in reversed(jumps[:-1]):  # and fill in what was jumped over
+        places = np.stack([places, places + jump[places]], 2).reshape(len(places), -1)
+    places = places.reshape(-1)
     places = places[places < n]
     kind = green[places] >> 4
-    copied = np.flatnonzero((kind >= 256) & (kind < 280))
+    copied = _places((kind >= 256) & (kind < 280))
     run = np.ones(len(places), np.int64)
     if len(copied):
         at = places[copied]
@@ -288,6 +311,8 @@ def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
         back = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
     end = np.cumsum(run)
     count = int(np.searchsorted(end, total)) + 1
+    if count > len(places) and not last:
+        return _MORE
     if count > len(places) or end[count - 1] != total:
         raise ValueError("stream is cut short" if count > len(places) else "reference outside the image")
     places, kind, run, begin = places[:count], kind[:count], run[:count], end[:count] - run[:count]
@@ -297,7 +322,7 @@ def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
         raise ValueError("stream is cut short")
     # literals
     value = np.zeros(total, np.uint32)
-    own = np.flatnonzero(kind < 256)
+    own = _places(kind < 256)
     px, at = kind[own].astype(np.uint32) << 8, places[own]
     if mixed:
         at = at + (green[at] & 15)
@@ -311,7 +336,7 @@ def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
     value[begin[own]] = px
     taken["prefix codes"] += 1
     copied = copied[copied < count]
-    cached = np.flatnonzero(kind >= 280)
+    cached = _places(kind >= 280)
     if not len(copied) and not len(cached):
         return value
     pointer = np.arange(total)
@@ -324,7 +349,7 @@ def _all_pixels(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
         taken["references"] += 1
     if len(cached):
         root = _follow(pointer)
-        slot = (value * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)
+        slot = ((value * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
         slot[begin[cached]] = kind[cached] - 280
         slot = slot[root]
         # a slot holds the last pixel before that has its hash
@@ -382,25 +407,38 @@ def _neighbours(px, i: int, x: int, y: int, width: int):
 _BY_ROWS = (0, 1, 2, 3, 4, 8, 9)
 
 
-def _by_rows(residual: np.ndarray, modes: np.ndarray, bits_: int) -> np.ndarray:
-    """Invert predictors of _BY_ROWS; residual (height, width, A R G B), modes by block."""
-    height, width, _ = residual.shape
-    out = np.zeros(residual.shape, np.int64)
-    out[:, :, 0] = 255
-    # a channel without a residual stays as the first pixel's prediction, opaque black, has it
-    used = np.flatnonzero(residual.any((0, 1)))
-    if len(used):
-        start = (255 if used[0] == 0 else 0, used.tolist().index(0) if 0 in used else 0)
-        out[:, :, used] = _rows(np.ascontiguousarray(residual[:, :, used]).astype(np.int32), modes, bits_, *start)
-    taken["predictor"] += 1
+def _varied(argb: np.ndarray, plain: int, height: int, width: int) -> tuple[list[int], np.ndarray] | None:
+    """Shifts and values (height, width, channels) of the channels that aren't all as in ``plain``; None if all are."""
+    shifts = [s for s in (24, 16, 8, 0) if ((argb ^ np.uint32(plain)) & np.uint32(255 << s)).any()]
+    if not shifts:
+        return None
+    return shifts, np.stack([argb >> np.uint32(s) & np.uint32(255) for s in shifts], 1).astype(np.int16).reshape(height, width, len(shifts))
+
+
+def _predicted(argb: np.ndarray, modes: np.ndarray, bits_: int, width: int, height: int, forward: bool) -> np.ndarray:
+    """Apply or invert predictors of _BY_ROWS, modes (rows, columns of blocks).
+
+    A channel that is opaque black's all over has no residual, and one without a residual is.
+    """
+    found = _varied(argb, 0xFF000000 if forward else 0, height, width)
+    out = np.full(height * width, 0 if forward else 0xFF000000, np.uint32)
+    if found:
+        shifts, part = found
+        start = np.array([255 if s == 24 else 0 for s in shifts])
+        part = _residual(part, modes, bits_, start) if forward else _rows(part.astype(np.int32), modes, bits_, start)
+        for k, s in enumerate(shifts):
+            out &= np.uint32(0xFFFFFFFF ^ 255 << s)
+            out |= part[:, :, k].reshape(-1).astype(np.uint32) << np.uint32(s)
     return out
 
 
-def _rows(residual: np.ndarray, modes: np.ndarray, bits_: int, opaque: int, alpha: int) -> np.ndarray:
+def _rows(residual: np.ndarray, modes: np.ndarray, bits_: int, start: np.ndarray) -> np.ndarray:
+    """Invert predictors of _BY_ROWS; residual (height, width, channels), ``start``: opaque black's channels."""
+    taken["predictor"] += 1
     height, width, n = residual.shape
     out = np.empty_like(residual)
     out[0] = residual[0]
-    out[0, 0, alpha] += opaque
+    out[0, 0] += start
     out[0] = np.cumsum(out[0], axis=0) & 255
     place = np.arange(width)
     for y in range(height)[1:]:
@@ -412,8 +450,7 @@ def _rows(residual: np.ndarray, modes: np.ndarray, bits_: int, opaque: int, alph
         guess = np.zeros_like(top)
         for kind in kinds - {1}:
             if kind == 0:
-                part = np.zeros_like(top)
-                part[:, alpha] = opaque
+                part = np.broadcast_to(start, top.shape)
             else:
                 right = np.concatenate((top[1:], first[None])) if kind in (3, 9) else None
                 corner = np.concatenate((top[:1], top[:-1])) if kind in (4, 8) else None
@@ -432,30 +469,33 @@ def _rows(residual: np.ndarray, modes: np.ndarray, bits_: int, opaque: int, alph
 
 
 #: Predictors among which ``encode`` chooses.
-_TRIED = (1, 2, 3, 9)
+_TRIED = (1, 2, 9)
 
 
-def _guess(kind: int, px: np.ndarray) -> np.ndarray:
+def _guess(kind: int, px: np.ndarray, start: np.ndarray | int = 0) -> np.ndarray:
     """What a predictor of _BY_ROWS says of every pixel (height, width, channels), but for the first row and column."""
     height, width, n = px.shape
     flat = px.reshape(-1, n)
     moved = lambda k: np.concatenate((np.zeros((k, n), px.dtype), flat))[: len(flat)].reshape(px.shape)
     if kind == 0:
-        return np.broadcast_to(np.array([255, 0, 0, 0]), px.shape)
+        return np.broadcast_to(start, px.shape)
     if kind <= 4:
         return moved((1, width, width - 1, width + 1)[kind - 1])
     return (moved(width) + moved(width + 1 if kind == 8 else width - 1)) >> 1
 
 
-def _residual(px: np.ndarray, modes: np.ndarray, bits_: int) -> np.ndarray:
-    """The opposite of ``_by_rows``."""
+def _residual(px: np.ndarray, modes: np.ndarray, bits_: int, start: np.ndarray) -> np.ndarray:
+    """The opposite of ``_rows``."""
     height, width, _ = px.shape
-    each = np.repeat(np.repeat(modes, 1 << bits_, 0)[:height], 1 << bits_, 1)[:, :width]
-    guess = np.zeros_like(px)
-    for kind in np.unique(modes).tolist():
-        guess = np.where((each == kind)[:, :, None], _guess(kind, px), guess)
-    guess[:, 0] = np.concatenate(([[255, 0, 0, 0]], px[:-1, 0]))
+    kinds = np.unique(modes).tolist()
+    guess = _guess(kinds[0], px, start).copy()
+    if len(kinds) > 1:
+        each = np.repeat(np.repeat(modes, 1 << bits_, 0)[:height], 1 << bits_, 1)[:, :width]
+        for kind in kinds[1:]:
+            guess = np.where((each == kind)[:, :, None], _guess(kind, px, start), guess)
+    guess[1:, 0] = px[:-1, 0]
     guess[0, 1:] = px[0, :-1]
+    guess[0, 0] = start
     return (px - guess) & 255
 
 
@@ -463,8 +503,7 @@ def _apply_predictor(argb: np.ndarray, modes: np.ndarray, bits_: int, width: int
     mode = (modes >> 8) & 15
     across = -(-width >> bits_)
     if np.isin(mode, _BY_ROWS).all():
-        change = _residual if forward else _by_rows
-        return _number(change(_channels(argb).reshape(height, width, 4), mode.astype(np.int64).reshape(-1, across), bits_).reshape(-1, 4))
+        return _predicted(argb, mode.astype(np.int64).reshape(-1, across), bits_, width, height, forward)
     px = _channels(argb).tolist()
     out = [list(p) for p in px]
     known = px if forward else out  # predictions come from true pixels
@@ -485,16 +524,21 @@ def _apply_predictor(argb: np.ndarray, modes: np.ndarray, bits_: int, width: int
 
 
 def _apply_cross(argb: np.ndarray, elements: np.ndarray, bits_: int, width: int, height: int, forward: bool) -> np.ndarray:
-    ch = _channels(argb)
-    y, x = np.divmod(np.arange(width * height), width)
-    e = _channels(elements)[(y >> bits_) * -(-width >> bits_) + (x >> bits_)]
-    s8 = lambda v: (v & 255) - ((v & 128) << 1)
-    delta = lambda t, c: (s8(t) * s8(c)) >> 5
+    if (elements == elements[0]).all():
+        e = elements[:1]
+    else:
+        y, x = np.divmod(np.arange(width * height), width)
+        e = elements[(y >> bits_) * -(-width >> bits_) + (x >> bits_)]
+    channel = lambda px, shift: (px >> np.uint32(shift) & np.uint32(255)).astype(np.uint8).view(np.int8).astype(np.int32)
+    delta = lambda shift, colour: (channel(e, shift) * colour) >> 5
     sign = -1 if forward else 1
-    red = ch[:, 1] + sign * delta(e[:, 3], ch[:, 2])
-    true_red = ch[:, 1] if forward else red
-    blue = ch[:, 3] + sign * (delta(e[:, 2], ch[:, 2]) + delta(e[:, 1], true_red))
-    return _number(np.stack([ch[:, 0], red, ch[:, 2], blue], 1))
+    green, red, blue = channel(argb, 8), channel(argb, 16), channel(argb, 0)
+    changed = red + sign * delta(0, green) if (e & 255).any() else red
+    blue = blue + sign * delta(8, green)
+    if (e >> 16 & 255).any():
+        true = red if forward else changed.astype(np.uint8).view(np.int8).astype(np.int32)
+        blue = blue + sign * delta(16, true)
+    return argb & np.uint32(0xFF00FF00) | (changed & 255).astype(np.uint32) << np.uint32(16) | (blue & 255).astype(np.uint32)
 
 
 def _apply_green(argb: np.ndarray, sign: int) -> np.ndarray:
@@ -533,6 +577,13 @@ def _payload(webp: bytes) -> bytes:
 
 def decode(webp: bytes) -> np.ndarray:
     """Pixels (height, width, RGBA) of a lossless WebP file."""
+    argb, width, height = decode_argb(webp)
+    # argb in memory is B, G, R, A
+    return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
+
+
+def decode_argb(webp: bytes) -> tuple[np.ndarray, int, int]:
+    """Pixels as argb numbers, row by row, and the image's width and height."""
     data = _payload(webp)
     if data[0] != 0x2F:
         raise ValueError("bad signature")
@@ -569,8 +620,7 @@ def decode(webp: bytes) -> np.ndarray:
         else:
             argb = _unpack_palette(argb, extra, w, height)
             taken["palette"] += 1
-    # argb in memory is B, G, R, A
-    return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
+    return argb, width, height
 
 
 # ---- writing
@@ -614,37 +664,46 @@ def _head(width: int, height: int) -> list[Part]:
     return [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
 
 
-def _huffman(counts: list[int], limit: int = 15) -> np.ndarray:
+def _huffman(counts: np.ndarray, limit: int = 15) -> np.ndarray:
     """Code lengths of at most ``limit`` bits (counts are flattened until they fit)."""
-    counts = list(counts)
+    used = _places(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) <= 1:
+        lengths[used] = 1
+        return lengths
+    weights = counts[used]
+    n = len(used)
     while True:
-        used = [s for s, c in enumerate(counts) if c]
-        lengths = np.zeros(len(counts), np.int64)
-        if len(used) <= 1:
-            lengths[used] = 1
-            return lengths
-        heap = [(counts[s], k) for k, s in enumerate(used)]
-        heapq.heapify(heap)
-        parent, new = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            x, i = heapq.heappop(heap)
-            y, j = heap[0]
-            heapq.heapreplace(heap, (x + y, new))
-            parent[i] = parent[j] = new
-            new += 1
-        depth = [0] * new
-        for k in range(new - 2, -1, -1):
+        order = np.argsort(weights, kind="stable")
+        # leaves in order and the nodes made of them, which come in order by themselves: always the two lightest are joined
+        weight = weights[order].tolist() + [0] * (n - 1)
+        parent = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node == new or weight[leaf] <= weight[node]):
+                    k = leaf
+                    leaf += 1
+                else:
+                    k = node
+                    node += 1
+                parent[k] = new
+                total += weight[k]
+            weight[new] = total
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        lengths[used] = depth[: len(used)]
-        if lengths.max() <= limit:
+        if max(depth) <= limit:
+            lengths[used[order]] = depth[:n]
             return lengths
-        counts = [c and c // 2 + 1 for c in counts]
+        weights = weights // 2 + 1
 
 
 def _code_values(lengths: np.ndarray) -> np.ndarray:
     """Every symbol's code, its first bit lowest."""
     out = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
+    used = _places(lengths)
     if len(used) <= 1:
         return out
     size = lengths[used]
@@ -657,7 +716,7 @@ def _code_values(lengths: np.ndarray) -> np.ndarray:
 
 
 def _codes(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    used = np.flatnonzero(lengths)
+    used = _places(lengths)
     if len(used) <= 1:
         return {int(s): (0, 0) for s in used}
     value = _code_values(lengths)
@@ -668,49 +727,39 @@ _ONE_SYMBOL = [_joined([(1, 1), (0, 1), (1, 1), (s, 8)]) for s in range(256)]
 
 
 def _write_code(lengths: np.ndarray) -> list[Part]:
-    used = np.flatnonzero(lengths)
+    used = _places(lengths)
     if len(used) <= 1 and (not len(used) or used[0] < 256):
         return [_ONE_SYMBOL[int(used[0]) if len(used) else 0]]
     if len(used) == 2 and used[1] < 256:
         return [(1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8)]
-    steps = []  # (symbol, extra value, extra bits): runs of zeros and of equal lengths
-    head = np.flatnonzero(np.concatenate(([True], lengths[1:] != lengths[:-1])))
-    for v, n in zip(lengths[head].tolist(), np.diff(np.append(head, len(lengths))).tolist(), strict=True):
-        if v:
-            steps.append((v, 0, 0))
-            n -= 1
-        while n:
-            if v == 0 and n >= 11:
-                m = min(n, 138)
-                steps.append((18, m - 11, 7))
-            elif v == 0 and n >= 3:
-                m = min(n, 10)
-                steps.append((17, m - 3, 3))
-            elif v and n >= 3:
-                m = min(n, 6)
-                steps.append((16, m - 3, 2))
-            else:
-                m = 1
-                steps.append((v, 0, 0))
-            n -= m
-    counts = [0] * 19
-    for s, _, _ in steps:
-        counts[s] += 1
-    first = _huffman(counts, 7)
-    table = _codes(first)
+    # steps: lengths as they are, runs of zeros by 17 and 18; what follows the last length is left out
+    lengths = lengths[: used[-1] + 1]
+    head = _places(np.concatenate(([True], lengths[1:] != lengths[:-1])))
+    v, n = lengths[head], np.diff(np.append(head, len(lengths)))
+    zero = v == 0
+    full, rest = n // 138, n % 138
+    one = np.stack([np.where(zero, 18, v), np.where(rest >= 11, 18, np.where(rest >= 3, 17, 0))], 1).reshape(-1)
+    extra = np.stack([np.where(zero, 127, 0), np.where(rest >= 11, rest - 11, np.where(rest >= 3, rest - 3, 0))], 1).reshape(-1)
+    times = np.stack([np.where(zero, full, n), np.where(zero, np.where(rest >= 3, 1, rest), 0)], 1).reshape(-1)
+    step, extra = np.repeat(one, times), np.repeat(extra, times)
+    first = _huffman(np.bincount(step, minlength=19), 7)
     sizes = first.tolist()
     out = [(0, 1), (15, 4), *((sizes[k], 3) for k in _ORDER)]
-    size = len(steps)  # the count of steps is written, as a decoder must also bear that
-    if size >= 2:
-        n = max(1, -(-max(1, (size - 2).bit_length()) // 2))
-        out += [(1, 1), (n - 1, 3), (size - 2, 2 * n)]
-    else:
-        out.append((0, 1))
-    for s, extra, n in steps:
-        out.append(table[s])
-        if n:
-            out.append((extra, n))
-    return [_joined(out)]
+    size = len(step)
+    k = max(1, -(-max(1, (size - 2).bit_length()) // 2))
+    out += [(1, 1), (k - 1, 3), (size - 2, 2 * k)]  # there are two steps at least: a symbol alone is below 256 or comes after zeros
+    own = np.where((first > 0).sum() > 1, first, 0)[step]
+    word = _code_values(first)[step] | extra << own
+    return [_joined(out), _packed(word, own + np.where(step == 18, 7, np.where(step == 17, 3, 0)))]
+
+
+def _packed(word: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The bits of numbers, each with as many as it uses."""
+    total = np.cumsum(used)
+    if not len(total) or not total[-1]:
+        return np.zeros(0, np.uint8)
+    bit = np.arange(total[-1]) - np.repeat(total - used, used)
+    return (np.repeat(word, used) >> bit & 1).astype(np.uint8)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -745,21 +794,24 @@ def _references(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = wide[:n] + np.uint64(1)
     for k in range(1, GRAM):
         key = key * np.uint64(0x9E3779B97F4A7C15) + wide[k : n + k]
-    order = np.argsort(key[: n - GRAM + 1], kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    at, source = order[1:][same], order[:-1][same]
+    # the hash's upper bits and the place in one number: sorting that is cheaper than sorting places by hash
+    low = np.uint64((1 << n.bit_length()) - 1)
+    order = np.sort(key[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) & ~low | np.arange(n - GRAM + 1, dtype=np.uint64))
+    same = ((order[1:] ^ order[:-1]) <= low).nonzero()[0]
+    order = (order & low).astype(np.int64)
+    at, source = order[same + 1], order[same]
     alike = (wide[at] == wide[source]) & (at - source <= _FAR)
     for k in range(1, GRAM):  # hashes only find candidates
         alike &= wide[at + k] == wide[source + k]
     far = np.zeros(n, np.int64)
     far[at[alike]] = at[alike] - source[alike]
-    found = np.flatnonzero(far)
+    found = _places(far)
     if not len(found):
         return none, none, none
     # a stretch goes on while its distance stays
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1] + 1) | (far[found[1:]] != far[found[:-1]])
-    head = np.flatnonzero(new)
+    head = _places(new)
     end = found[np.append(head[1:], len(found)) - 1] + GRAM
     begin = np.maximum(found[head], np.concatenate(([0], end[:-1])))
     size, back = end - begin, far[found[head]]
@@ -770,13 +822,15 @@ def _references(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(begin, parts) + 4096 * k, np.minimum(4096, np.repeat(size, parts) - 4096 * k), np.repeat(back, parts)
 
 
-def _bulk(argb: np.ndarray, cache_bits: int = 0, main: bool = False) -> list[Part]:
+def _bulk(argb: np.ndarray, cache_bits: int = 0, main: bool = False, references: bool = True) -> list[Part]:
     """An entropy-coded image with one group of codes and references, by arrays."""
     n = len(argb)
     out = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
     if main:
         out.append((0, 1))
-    begin, size, back = _references(argb)
+    if (argb == argb[0]).all():
+        return out + [_ONE_SYMBOL[int(argb[0]) >> shift & 255] for shift in (8, 16, 0, 24)] + [_ONE_SYMBOL[0]]
+    begin, size, back = _references(argb if references else argb[:0])
     at = np.arange(n)  # pixels and references, by their first pixel
     if len(begin):
         inside = np.zeros(n + 1, np.int8)  # stretches lie apart, but may touch
@@ -784,15 +838,15 @@ def _bulk(argb: np.ndarray, cache_bits: int = 0, main: bool = False) -> list[Par
         inside[begin + size] -= 1
         covered = np.cumsum(inside[:n], dtype=np.int8).view(bool)
         covered[begin] = False
-        at = np.flatnonzero(~covered)
+        at = _places(~covered)
     px = argb[at].astype(np.int64)
     green = px >> 8 & 255
     if cache_bits:
-        slot = ((argb.astype(np.uint32) * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        slot = ((argb.astype(np.uint32) * np.uint32(_HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
         order = np.argsort(slot, kind="stable")
         hit = np.zeros(n, bool)
         hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
-        green = np.where(hit[at], 280 + slot[at], green)
+        green = np.where(hit[at], 280 + slot[at].astype(np.int64), green)
     if len(begin):
         copy, length, far = np.searchsorted(at, begin), _prefixes(size), _prefixes(back + 120)
         green[copy] = 256 + length[0]
@@ -809,7 +863,7 @@ def _bulk(argb: np.ndarray, cache_bits: int = 0, main: bool = False) -> list[Par
             codes.append(None)
             out.append(_ONE_SYMBOL[int(v[0]) if len(v) else 0])
             continue
-        lengths = _huffman(np.bincount(v, minlength=m).tolist())
+        lengths = _huffman(np.bincount(v, minlength=m))
         out += _write_code(lengths)
         if np.count_nonzero(lengths) == 1:
             codes.append(None)
@@ -818,31 +872,38 @@ def _bulk(argb: np.ndarray, cache_bits: int = 0, main: bool = False) -> list[Par
     word, used = codes[0] or (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
     for own in codes[1:4]:
         if own:
-            more = np.flatnonzero(literal)
+            more = _places(literal)
             word[more] |= own[0] << used[more]
             used[more] += own[1]
     if len(begin):
         for v, w in (length[1:], codes[4] or (0, 0), far[1:]):
             word[copy] |= v << used[copy]
             used[copy] += w
-    total = np.cumsum(used)
-    if total[-1]:
-        bit = np.arange(total[-1]) - np.repeat(total - used, used)
-        out.append((np.repeat(word, used) >> bit & 1).astype(np.uint8))
+    out.append(_packed(word, used))
     return out
 
 
-def encode(rgba: np.ndarray, *, palette: bool = False, predictor: bool = False, cross: bool = False, cache_bits: int = 0) -> bytes:
-    """A lossless WebP file with Huffman codes and references, and the transforms asked for.
+def encode(rgba: np.ndarray, **wanted) -> bytes:
+    """A lossless WebP file of pixels (height, width, RGBA); see ``encode_argb``."""
+    height, width, _ = rgba.shape
+    argb = np.ascontiguousarray(rgba[:, :, [3, 0, 1, 2]]).view(">u4").reshape(-1).astype(np.uint32)
+    return encode_argb(argb, width, height, **wanted)
+
+
+def encode_argb(argb: np.ndarray, width: int, height: int, *, palette: bool = False, predictor: bool = False, cross: bool = False, cache_bits: int = 0, references: bool = True) -> bytes:
+    """A lossless WebP file with Huffman codes, and what else is asked for.
 
     Predictors are chosen by block among _TRIED, cross-colour's multiplier of blue by
     green for the whole image; a palette needs at most 256 colours.
     """
-    height, width, _ = rgba.shape
-    argb = np.ascontiguousarray(rgba[:, :, [3, 0, 1, 2]]).view(">u4").reshape(-1).astype(np.uint32)
     out, w = _head(width, height), width
     if palette:
-        table, index = np.unique(argb, return_inverse=True)
+        if ((argb ^ argb[0]) & 0xFFFF00FF).any():
+            table, index = np.unique(argb, return_inverse=True)
+        else:  # only green differs
+            green = argb >> 8 & 255
+            seen = np.bincount(green, minlength=256) > 0
+            table, index = argb[0] & np.uint32(0xFFFF00FF) | _places(seen).astype(np.uint32) << 8, (np.cumsum(seen) - 1)[green]
         pack = _pack_bits(len(table))
         delta = _channels(table)
         delta[1:] -= delta[:-1].copy()
@@ -854,9 +915,7 @@ def encode(rgba: np.ndarray, *, palette: bool = False, predictor: bool = False,
             index = (wide.reshape(height, w, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))).sum(2).reshape(-1)
         argb = (0xFF000000 | index << 8).astype(np.uint32)
     if cross:
-        ch = _channels(argb)
-        signed = lambda v: (v & 255) - ((v & 128) << 1)
-        x, y = signed(ch[:, 2]), signed(ch[:, 3])
+        x, y = ((argb >> shift & 255).astype(np.uint8).view(np.int8).astype(np.int64) for shift in (8, 0))
         slope = int(np.clip(np.round(32 * (x * y).sum() / max(1, (x * x).sum())), -128, 127)) & 255
         k = 9
         elements = np.full(-(-w >> k) * -(-height >> k), 0xFF000000 | slope << 8, np.uint32)
@@ -864,20 +923,17 @@ def encode(rgba: np.ndarray, *, palette: bool = False, predictor: bool = False,
         out += [(1, 1), (1, 2), (k - 2, 3), *_bulk(elements)]
     if predictor:
         k = 7
-        px = _channels(argb).reshape(height, w, 4)
-        varied = px.any((0, 1)) & (px < 255).any((0, 1))
-        varied[2] |= not varied.any()
-        some = np.ascontiguousarray(px[:, :, varied]).astype(np.int16)  # channels that aren't all 0 or all 255
+        some = _varied(argb, 0xFF000000, height, w)
         rows, cols = -(-height >> k), -(-w >> k)
         edge = lambda m, axis: np.add.reduceat(m, np.arange(0, m.shape[axis], 1 << k), axis)
         cost = []
         for kind in _TRIED:
-            rest = ((some - _guess(kind, some)) & 255).sum(2)
-            cost.append(edge(edge(np.minimum(rest, 256 - rest), 0), 1))
+            rest = some[1] - _guess(kind, some[1]) if some else np.zeros((height, w, 1), np.int16)
+            cost.append(edge(edge(np.abs(rest.astype(np.int8)).sum(2, dtype=np.int64), 0), 1))
         modes = np.array(_TRIED)[np.argmin(cost, 0)].reshape(rows, cols)
-        argb = _number(_residual(px, modes, k).reshape(-1, 4))
+        argb = _predicted(argb, modes, k, w, height, True)
         out += [(1, 1), (0, 2), (k - 2, 3), *_bulk((0xFF000000 | modes.reshape(-1) << 8).astype(np.uint32))]
-    out += [(0, 1), *_bulk(argb, cache_bits, True)]
+    out += [(0, 1), *_bulk(argb, cache_bits, True, references)]
     return _file(out)
 
 
@@ -927,7 +983,7 @@ def _write_pixels(argb: np.ndarray, width: int, height: int, main: bool, cache_b
         else:
             c[0][256 + v[0]] += 1
             c[4][d[0]] += 1
-    lengths = [[_huffman(c) if any(c) else np.zeros(len(c), np.int64) for c in group_] for group_ in counts]
+    lengths = [[_huffman(np.array(c)) for c in group_] for group_ in counts]
     for group_ in lengths:
         for one in group_:
             out += _write_code(one)
