@@ -1,13 +1,15 @@
-"""Command line: python -m loomdex index|reindex|status|search|skeleton|impact|flow|memory|activity ..."""
+"""Command line: python -m loomdex index|reindex|status|serve|search|skeleton|impact|flow|memory|activity ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import SparkSession
 
 from loomdex.plans.engine import Engine
+from loomdex.service import Service, serve
 from loomdex.sources import files
 
 
@@ -15,7 +17,7 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomdex")
     parser.add_argument("--root", default=".", help="a folder in the workspace")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("index", "reindex", "status"):
+    for name in ("index", "reindex", "status", "serve"):
         sub.add_parser(name)
     for name in ("search", "capsule", "memory"):
         p = sub.add_parser(name)
@@ -45,6 +47,8 @@ def main(args: list[str] | None = None) -> int:
             print(json.dumps(engine.index_tree(str(root))))
         case "reindex":
             print(json.dumps(engine.reindex(files.read_tree(spark, str(root)))))
+        case "serve":
+            serve(Service(engine, str(root)), sys.stdin, sys.stdout)
         case "status":
             print(json.dumps(engine.status()))
         case "search":

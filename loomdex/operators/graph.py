@@ -83,14 +83,41 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
 
-def bfs(edges: DataFrame, starts: DataFrame, direction: str = "both", depth: int | None = None) -> DataFrame:
+#: Starts that a search of a small graph takes in one task; each may reach all of its nodes.
+STARTS = 64
+
+
+def _bfs_task(steps: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        after = defaultdict(list)
+        real = group[group["b"].notna()]
+        for a, b in zip(real["a"].tolist(), real["b"].tolist(), strict=True):
+            after[int(a)].append(int(b))
+        out = []
+        for start in group.loc[group["b"].isna(), "a"].tolist():
+            seen, level, far = {int(start)}, [int(start)], 0
+            while level and (depth is None or far < depth):
+                far += 1
+                level = [b for b in dict.fromkeys(b for a in level for b in after[a]) if b not in seen]
+                seen.update(level)
+                out += [(int(start), b, far) for b in level]
+        return pd.DataFrame(out, columns=["start", "id", "depth"])
+
+    rows = steps.unionByName(starts.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")))
+    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "start long, id long, depth int")
+
+
+def bfs(edges: DataFrame, starts: DataFrame, direction: str = "both", depth: int | None = None, small: int = SMALL) -> DataFrame:
     """(start, id, depth) of what each start (column id) reaches, at its least depth; starts left out.
 
-    All starts travel at once; ``depth`` None goes on until nothing new is found.
+    All starts travel at once; ``depth`` None goes on until nothing new is found.  A few
+    starts in a graph of a checked small size are followed within one task.
     """
     steps = stored(_directed(edges, direction))
     frontier = starts.select(F.col("id").alias("start"), "id").distinct()
     seen = stored(frontier.withColumn("depth", F.lit(0)))
+    if steps.limit(small + 1).count() <= small and seen.limit(STARTS + 1).count() <= STARTS:
+        return _bfs_task(steps.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), seen.select(F.col("id").cast("long").alias("id")), depth)
     level, frontier = 0, seen
     while depth is None or level < depth:
         level += 1
@@ -172,30 +199,32 @@ def _yen(after: dict[int, list[int]], source: int, target: int, k: int) -> list[
 def k_paths(edges: DataFrame, source: int, target: int, k: int = PATHS, small: int = SMALL) -> DataFrame:
     """(path, hops) of the k shortest loopless paths of any length, equal lengths in order of their ids.
 
-    Only edges between nodes that the source reaches and that reach the target matter.  If
-    these are few (counted first) one task deviates from each path found in turn (Yen 1971).
+    If the edges, or those between nodes that the source reaches and that reach the target,
+    are few (counted first), one task deviates from each path found in turn (Yen 1971).
     Else partial paths are extended level by level under a bound on the length, which grows
     until k paths have arrived or nothing was held back by it.
     """
     spark = edges.sparkSession
     one = lambda x: spark.createDataFrame([(x,)], "id long")
-    steps = stored(_directed(edges, "out"))
-    dist = bfs(edges, one(target), "in", None).select(F.col("id").alias("b"), "depth").unionByName(spark.createDataFrame([(target, 0)], "b long, depth int"))
-    dist = stored(dist.groupBy("b").agg(F.min("depth").alias("depth")))
-    ahead = bfs(edges, one(source), "out", None).select(F.col("id").alias("a")).unionByName(spark.createDataFrame([(source,)], "a long")).distinct()
-    useful = stored(steps.join(dist, "b").join(ahead, "a", "left_semi").filter("a <> b"))
+    steps = stored(_directed(edges, "out").filter("a <> b"))
     shape = "path array<long>, hops int"
-    if useful.limit(small + 1).count() <= small:
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            after = defaultdict(list)
-            for a, b in group.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-                after[int(a)].append(int(b))
-            paths = _yen(after, source, target, k)
-            return pd.DataFrame({"path": paths, "hops": [len(p) - 1 for p in paths]})
-
-        out = useful.select("a", "b", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, shape)
-        return out.orderBy("hops", "path")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        after = defaultdict(list)
+        for a, b in group.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+            after[int(a)].append(int(b))
+        paths = _yen(after, source, target, k)
+        return pd.DataFrame({"path": paths, "hops": [len(p) - 1 for p in paths]})
+
+    in_one = lambda df: df.select("a", "b", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, shape).orderBy("hops", "path")
+    if steps.limit(small + 1).count() <= small:
+        return in_one(steps)
+    dist = bfs(edges, one(target), "in", None, small).select(F.col("id").alias("b"), "depth").unionByName(spark.createDataFrame([(target, 0)], "b long, depth int"))
+    dist = stored(dist.groupBy("b").agg(F.min("depth").alias("depth")))
+    ahead = bfs(edges, one(source), "out", None, small).select(F.col("id").alias("a")).unionByName(spark.createDataFrame([(source,)], "a long")).distinct()
+    useful = stored(steps.join(dist, "b").join(ahead, "a", "left_semi"))
+    if useful.limit(small + 1).count() <= small:
+        return in_one(useful)
     start = dist.filter(F.col("b") == source).agg(F.min("depth")).first()[0]
     out = spark.createDataFrame([], shape)
     bound = start

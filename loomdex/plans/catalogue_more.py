@@ -522,3 +522,54 @@ def embedding_coverage(spark, sf):
 def recent_activity(spark, sf):
     e = _events(spark, sf)
     return memory.recent_activity(e.select(F.col("event_id").alias("id"), F.col("t").alias("created_at")), 20).select(F.col("id").alias("event_id"))
+
+
+# ---- the search index and hybrid search
+
+
+@_query(f"WITH {_bm25_sql('documents', 'doc_id', {'text': 1.0, 'source': 3.0}, ['then', 'there', 'src3'])} SELECT doc_id, {_m('bm25')} AS score FROM scored ORDER BY 2 DESC, 1 LIMIT 10")
+def bm25_from_index(spark, sf):
+    """Full-text search over stored postings: the texts are split when the index is made, not by a query."""
+    docs, fields = _t(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 1.0, "source": 3.0}
+    index, lengths = store.stored(rank.postings(docs, "doc_id", fields)), store.stored(rank.text_lengths(docs, "doc_id", fields))
+    scored = rank.bm25_indexed(index, lengths, "doc_id", ["then", "there", "src3"])
+    return rank.top_k(scored.select("doc_id", _micro(F.col("bm25")).alias("score")), 10, "score", "doc_id")
+
+
+_ASKED = "fix the red ring bug"
+_SYMBOL_SQL = "SELECT p_partkey AS id, p_partkey % 17 AS file_id, p_name AS name, 'src/f' || p_partkey % 17 || '.rs::' || p_name AS fqn, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS docstring, p_brand AS signature, CASE WHEN p_partkey % 5 = 0 THEN 'error_type' ELSE 'function' END AS kind FROM part"
+
+
+def _grams_of(text: str) -> str:
+    return "[" + ", ".join(f"'{g}'" for g in sorted({text.lower()[i : i + 3] for i in range(len(text) - 2)} | {w[i : i + 3] for w in rank.text_tf(text) for i in range(len(w) - 2)})) + "]"
+
+
+_NAME_GRAMS = f"list_distinct(list_concat([substr(lower(name), i, 3) FOR i IN range(1, length(name) - 1)], flatten([[substr(w, i, 3) FOR i IN range(1, length(w) - 1)] FOR w IN {_tokens('name')}])))"
+
+
+@_query(f"""WITH s AS ({_SYMBOL_SQL}), {_bm25_sql('s', 'id', rank.SYMBOL_FIELDS, X.query_terms(_ASKED))},
+  c AS (SELECT id, bm25 FROM scored ORDER BY bm25 DESC, id LIMIT 100), e AS (SELECT DISTINCT l_partkey AS dst, l_suppkey AS src FROM lineitem), d AS (SELECT dst AS id, count(*) AS deg FROM e GROUP BY dst),
+  k AS (SELECT id, unnest(x) AS term, len(x) AS total FROM (SELECT id, list_concat({_tokens('name')}, list_concat({_tokens('docstring')}, list_concat(['src'], {_tokens("'f' || file_id")}))) AS x FROM s)),
+  tf AS (SELECT id, term, count(*) / max(total)::DOUBLE AS tf FROM k GROUP BY id, term),
+  q AS (SELECT term, 1 / {float(len(rank.text_tf(_ASKED)))}::DOUBLE AS q, ln((SELECT count(DISTINCT id) FROM tf)::DOUBLE / (1 + count(*))) AS idf FROM tf WHERE term IN ({', '.join(f"'{t}'" for t in rank.text_tf(_ASKED))}) GROUP BY term),
+  t AS (SELECT id, sum(tf * idf * q * idf) / (sqrt(sum(tf * idf * tf * idf)) * (SELECT sqrt(sum(q * idf * q * idf)) FROM q)) AS cosine FROM tf JOIN q USING (term) GROUP BY id),
+  j AS (SELECT s.*, bm25, coalesce(deg, 0) AS deg, (s.id % 101) / 100.0::DOUBLE AS cen, coalesce(cosine, 0) AS cosine, len(list_intersect(g, {_grams_of(_ASKED)})) / (len(g) + {_grams_of(_ASKED).count(',') + 1} - len(list_intersect(g, {_grams_of(_ASKED)})))::DOUBLE AS ngram
+    FROM (SELECT *, {_NAME_GRAMS} AS g FROM s) s JOIN c USING (id) LEFT JOIN d USING (id) LEFT JOIN t USING (id)),
+  n AS (SELECT *, CASE WHEN max(bm25) OVER () - min(bm25) OVER () < 2.3e-16 THEN 0 ELSE (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS b, CASE WHEN max(cen) OVER () - min(cen) OVER () < 2.3e-16 THEN 0 ELSE (cen - min(cen) OVER ()) / (max(cen) OVER () - min(cen) OVER ()) END AS ce,
+    CASE WHEN max(ngram) OVER () - min(ngram) OVER () < 2.3e-16 THEN 0 ELSE (ngram - min(ngram) OVER ()) / (max(ngram) OVER () - min(ngram) OVER ()) END AS ng FROM j)
+  SELECT id, {_m("0.35::DOUBLE * b + 0.30::DOUBLE * cosine + 0.25::DOUBLE * ce + 0.10::DOUBLE * ng + CASE WHEN kind = 'error_type' THEN 0.2 ELSE 0 END + CASE WHEN deg >= 3 THEN 0.1 ELSE 0 END")} AS score, 'debug' AS intent FROM n""")
+def hybrid_search(spark, sf):
+    """The whole search of symbols: candidates by BM25 with weights 10/5/1/3, five signals, an intent's weights and boosts."""
+    k = F.col("p_partkey")
+    where = F.concat(F.lit("src/f"), (k % 17).cast("string"), F.lit(".rs"))
+    symbols = _t(spark, sf, "part").select(k.alias("id"), (k % 17).alias("file_id"), F.col("p_name").alias("name"), F.concat(where, F.lit("::"), "p_name").alias("fqn"), F.when(k % 3 == 0, F.col("p_type")).alias("docstring"), F.col("p_brand").alias("signature"), F.when(k % 5 == 0, "error_type").otherwise("function").alias("kind"), (F.col("p_size") > 25).alias("is_exported"))
+    files = symbols.select(F.col("file_id").alias("id")).distinct().withColumn("path", F.concat(F.lit("src/f"), F.col("id").cast("string"), F.lit(".rs")))
+    edges = _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("dst"), F.col("l_suppkey").alias("src")).distinct()
+    centrality = symbols.select("id", ((F.col("id") % 101) / 100.0).alias("centrality"))
+    tf = rank.term_frequencies(symbols.withColumnRenamed("id", "symbol_id"), "symbol_id", F.concat(X.tokenize_text(F.col("name")), X.tokenize_text(F.col("docstring")), F.array(F.lit("src")), X.tokenize_text(F.concat(F.lit("f"), F.col("file_id").cast("string"))))).select("term", "symbol_id", "tf")
+    tf = store.stored(tf)
+    held = tf.groupBy(F.col("symbol_id").alias("id")).agg(F.count("*").alias("terms"))
+    lengths = rank.text_lengths(symbols, "id", rank.SYMBOL_FIELDS).join(held, "id", "left").select("id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"))
+    index = store.stored(rank.postings(symbols, "id", rank.SYMBOL_FIELDS)), store.stored(lengths)
+    found = rank.search_symbols(symbols, files, edges, centrality, tf, _ASKED, 100, index=index, stem=False)
+    return found.select("id", _micro(F.col("score")).alias("score"), "intent")

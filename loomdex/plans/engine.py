@@ -269,7 +269,7 @@ class Engine:
     def start_session(self, now: int | None = None) -> str:
         now, ident = _now() if now is None else now, str(uuid.uuid4())
         new = self.spark.createDataFrame([(ident, now, now, False, None, None, None)], schema.SESSIONS)
-        self.store.commit(sessions=self.store.read("sessions").unionByName(new))
+        self.store.append(sessions=new)
         return ident
 
     def save_observation(self, session_id: str, content: str, kind: str = "manual", headline: str | None = None, links: list[str] = (), now: int | None = None) -> int:
@@ -279,7 +279,8 @@ class Engine:
         ident = t["observations"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
         row = self.spark.createDataFrame([(ident, session_id, kind, content, headline, 2, False, now, None)], schema.OBSERVATIONS)
         linked = self.spark.createDataFrame([(ident, f) for f in dict.fromkeys(links)], schema.OBSERVATION_LINKS)
-        self.store.commit(observations=t["observations"].unionByName(row), observation_links=store.insert_missing(t["observation_links"], linked, ["observation_id", "symbol_fqn"]), sessions=memory.touch(t["sessions"], session_id, now))
+        self.store.append(observations=row, **({"observation_links": linked} if links else {}))
+        self.store.commit(sessions=memory.touch(t["sessions"], session_id, now))
         return ident
 
     def capture(self, session_id: str, tool: str, result: str, intent: str | None = None, query: str | None = None, pivots: list[str] = (), now: int | None = None) -> int | None:
@@ -300,7 +301,7 @@ class Engine:
         if n:
             base = t["observations"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
             rows = rows.withColumns({"id": (F.monotonically_increasing_id() + F.lit(base + 1)).cast("long"), "score": F.lit(None).cast("double")})
-            self.store.commit(observations=t["observations"].unionByName(rows.select(t["observations"].columns)))
+            self.store.append(observations=rows.select(t["observations"].columns))
         return n
 
     def compress_sessions(self, now: int | None = None, idle: int = memory.IDLE_S) -> int:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,7 +68,16 @@ def delete_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, Da
 
 
 class Store:
-    """Tables of an index in a folder: each write makes a new snapshot and then moves the pointer to it."""
+    """Tables of an index in a folder.
+
+    A table is a list of snapshots, all of which make it up.  Writing makes a new one, which
+    replaces the others (``commit``) or joins them (``append``), and then moves the pointer.
+    A writer changes the entries of its own tables only, in the pointer as it then stands,
+    so writers of different tables don't undo each other; there should be one for each table.
+    """
+
+    #: Snapshots of a table above which an append rewrites it.
+    PARTS = 32
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -76,35 +87,63 @@ class Store:
     def _pointer(self) -> dict:
         try:
             with self.fs.open_input_stream(f"{self.path}/_current.json") as f:
-                return json.loads(f.read())
+                now = json.loads(f.read())
         except FileNotFoundError:
             return {"schema_version": schema.SCHEMA_VERSION, "tables": {}}
+        now["tables"] = {n: [x] if isinstance(x, str) else x for n, x in now["tables"].items()}  # of earlier versions
+        return now
 
     def read(self, name: str) -> DataFrame:
-        where = self._pointer()["tables"].get(name)
-        if where is None:
+        parts = self._pointer()["tables"].get(name)
+        if not parts:
             return self.spark.createDataFrame([], schema.TABLES[name])
-        return self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.root}/{where}")
+        return self.spark.read.schema(schema.TABLES[name]).parquet(*[f"{self.root}/{p}" for p in parts])
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {n: self.read(n) for n in names or schema.TABLES}
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write tables beside the present ones, then point to them all at once."""
-        now = self._pointer()
-        if now["schema_version"] > schema.SCHEMA_VERSION:
+    def _written(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+        if self._pointer()["schema_version"] > schema.SCHEMA_VERSION:
             raise ValueError("the index was written by a later version")
         tag, made = uuid.uuid4().hex, {}
         for name, df in tables.items():
             shape = schema.TABLES[name]
-            df.select([F.col(f.name).cast(f.dataType) for f in shape]).write.parquet(f"{self.root}/{name}-{tag}")
             made[name] = f"{name}-{tag}"
-        now["tables"] |= made
+            df.select([F.col(f.name).cast(f.dataType) for f in shape]).write.parquet(f"{self.root}/{made[name]}")
+        return made
+
+    def _point(self, change: Callable[[dict[str, list[str]]], None]) -> None:
+        now = self._pointer()
+        change(now["tables"])
         now["schema_version"] = schema.SCHEMA_VERSION
-        body = json.dumps(now).encode()
-        with self.fs.open_output_stream(f"{self.path}/_current.{tag}") as f:
-            f.write(body)
-        self.fs.move(f"{self.path}/_current.{tag}", f"{self.path}/_current.json")
+        draft = f"{self.path}/_current.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(draft) as f:
+            f.write(json.dumps(now).encode())
+        self.fs.move(draft, f"{self.path}/_current.json")
+
+    def commit(self, **tables: DataFrame) -> None:
+        """Write tables in place of the present ones, then point to them all at once."""
+        made = self._written(tables)
+        self._point(lambda t: t.update({n: [p] for n, p in made.items()}))
+
+    def append(self, **rows: DataFrame) -> None:
+        """Write rows beside those that the tables have, all at once."""
+        made = self._written(rows)
+        self._point(lambda t: t.update({n: [*t.get(n, []), p] for n, p in made.items()}))
+        full = {n: self.read(n) for n, parts in self._pointer()["tables"].items() if n in rows and len(parts) > self.PARTS}
+        if full:
+            self.commit(**full)
+
+    def vacuum(self, older_than: float = 86_400.0) -> list[str]:
+        """Delete snapshots that no table is made of and that were written so many seconds ago; which they were."""
+        used = {p for parts in self._pointer()["tables"].values() for p in parts}
+        gone = []
+        for f in self.fs.get_file_info(pafs.FileSelector(self.path)):
+            known = f.base_name.rpartition("-")[0] in schema.TABLES and f.type == pafs.FileType.Directory
+            if known and f.base_name not in used and time.time() - (f.mtime_ns or 0) / 1e9 >= older_than:
+                self.fs.delete_dir(f.path)
+                gone.append(f.base_name)
+        return gone
 
     def reset_code(self) -> None:
         """Empty the code tables; sessions, observations and changes stay."""

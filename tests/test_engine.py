@@ -141,3 +141,36 @@ def test_overloads_are_stable(spark, tmp_path):
     e.index(table(spark, {"a.rs": code}), now=1)
     e.index(table(spark, {"a.rs": code + "\nfn g() {}\n"}), now=2)
     assert [(r["symbol_fqn"], r["change_kind"]) for r in e.store.read("symbol_changes").filter("detected_at = 2").collect()] == [("a.rs::g", "added")]
+
+
+def test_service(spark, tmp_path):
+    """Messages in, answers out; errors as the protocol has them; calls are noted."""
+    import io
+    import json
+
+    from loomdex import service
+
+    for name, body in TREE.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    e = Engine(spark, str(tmp_path / ".idx"))
+    e.index_tree(str(tmp_path), now=1)
+    call = lambda i, name, **a: {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": a}}
+    messages = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}}, {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, {"jsonrpc": "2.0", "id": 3, "method": "nothing"}, call(4, "nothing"), call(5, "get_skeleton"), call(6, "get_skeleton", files=[1]),
+        call(7, "get_context_capsule", query="validate token"), call(8, "get_impact_graph", symbol_fqn="no::such"), call(9, "save_observation", content="a note", symbols=["x"]), call(10, "search_memory", query="note"),
+        call(11, "get_skeleton", files=["src/auth.ts"]), call(12, "index_status"), call(13, "get_session_context"), [1],
+    ]
+    out = io.StringIO()
+    service.serve(service.Service(e, str(tmp_path)), io.StringIO("\n".join(map(json.dumps, messages)) + "\n\nnot json\n"), out)
+    answers = {a["id"]: a for a in map(json.loads, out.getvalue().splitlines()) if a["id"] is not None}
+    nameless = [a["error"]["code"] for a in map(json.loads, out.getvalue().splitlines()) if a["id"] is None]
+    assert nameless == [service.INVALID_REQUEST, service.PARSE_ERROR] and set(answers) == set(range(1, 14))
+    assert len(answers[2]["result"]["tools"]) == 10 and all(t["inputSchema"]["type"] == "object" for t in answers[2]["result"]["tools"])
+    assert [answers[i]["error"]["code"] for i in (3, 4, 5, 6)] == [service.NO_METHOD] + [service.BAD_PARAMS] * 3
+    text = lambda i: json.loads(answers[i]["result"]["content"][0]["text"])
+    assert any(p["path"] == "src/auth.ts" for p in text(7)["pivots"]) and answers[8]["result"]["isError"]
+    assert text(10)[0]["content"] == "a note" and "login(u: string): boolean" in text(11)[0]["skeleton"] and text(12)["files"] == 4
+    kinds = [r["kind"] for r in e.store.read("observations").collect()]
+    assert kinds.count("auto") == 3 and kinds.count("manual") == 1  # capsule, skeleton and context; some tools aren't noted

@@ -228,3 +228,20 @@ def test_first_fit_query_takes_whole_groups(spark, tmp_path):
     from loomdex.plans.catalogue import QUERIES
 
     assert sorted(map(tuple, QUERIES["first_fit_pack"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_store_appends_and_vacuum(spark, tmp_path, monkeypatch):
+    st = store.Store(spark, str(tmp_path))
+    row = lambda *k: spark.createDataFrame([(i, f"s{i}") for i in k], "observation_id long, symbol_fqn string")
+    ids = lambda: sorted(r["observation_id"] for r in st.read("observation_links").collect())
+    st.append(observation_links=row(1))
+    st.append(observation_links=row(2))
+    before = st.read("observation_links")
+    st.append(observation_links=row(3))
+    assert ids() == [1, 2, 3] and before.count() == 2  # a reader keeps what it began with
+    monkeypatch.setattr(store.Store, "PARTS", 3)
+    st.append(observation_links=row(4))  # too many parts: they become one
+    assert ids() == [1, 2, 3, 4] and len(st._pointer()["tables"]["observation_links"]) == 1
+    assert st.vacuum() == [] and len(st.vacuum(older_than=0)) == 4 and ids() == [1, 2, 3, 4]
+    st.commit(observation_links=row(9))
+    assert ids() == [9]
