@@ -18,20 +18,23 @@ from loomdex.streaming import watch
 
 # ---- sources made from parts: one file each, in four languages by turns
 
-_K, _NAME = F.col("p_partkey"), F.translate(F.col("p_brand"), "# ", "__")
 _LANGS = ("ts", "rs", "go", "py")
 
 
+def _k():
+    return F.col("p_partkey")
+
+
 def _sources(spark, sf):
     part = _t(spark, sf, "part")
-    k, n, z = _K.cast("string"), _NAME, F.col("p_size").cast("string")
+    k, n, z = _k().cast("string"), F.translate(F.col("p_brand"), "# ", "__"), F.col("p_size").cast("string")
     text = {
         "ts": F.concat(F.lit("import { base } from './lib/base"), z, F.lit("';\n// makes "), k, F.lit("\nexport class Box"), k, F.lit(" {\n  async open(a: {b: number}) { return lift"), z, F.lit("(a) }\n}\nexport const go"), k, F.lit(" = (x) => { run(x) };\n")),
         "rs": F.concat(F.lit("use std::"), n, F.lit(";\n/// holds "), k, F.lit("\npub struct Bag"), k, F.lit(" { a: i32 }\nimpl Bag"), k, F.lit(" {\n    fn take(&self) { let q = '\"'; drop"), z, F.lit("(q) }\n}\nfn main"), k, F.lit("() { Bag::make() }\n")),
         "go": F.concat(F.lit("package p\nimport \""), n, F.lit("\"\n\n// Run runs "), k, F.lit("\nfunc Run"), k, F.lit("(n int) error { return Do"), z, F.lit("(n) }\n\ntype box"), k, F.lit(" struct { a int }\n")),
         "py": F.concat(F.lit("import lib."), n, F.lit("\n\nclass Pot"), k, F.lit(":\n    \"\"\"Keeps "), k, F.lit("\"\"\"\n\n    def fill(self, a):\n        return pour"), z, F.lit("(a)\n\ndef _main(x): return Pot(x)\n")),
     }
-    turn = _K % 4
+    turn = _k() % 4
     path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, lang in enumerate(_LANGS):
         path, content = F.when(turn == i, F.concat(F.lit("src/f"), k, F.lit("." + lang))).otherwise(path), F.when(turn == i, text[lang]).otherwise(content)
@@ -253,8 +256,8 @@ def normalize_text(spark, sf):
 def ignored_paths(spark, sf):
     where = F.lit("src/")
     for i, d in enumerate(("node_modules/", "src/build/", "docs/keep/", "docs/")):
-        where = F.when(_K % 6 == i, d).otherwise(where)
-    path = F.concat(where, "p_brand", F.when(_K % 5 == 0, ".md").when(_K % 5 == 1, ".min.js").otherwise(".RS"))
+        where = F.when(_k() % 6 == i, d).otherwise(where)
+    path = F.concat(where, "p_brand", F.when(_k() % 5 == 0, ".md").when(_k() % 5 == 1, ".min.js").otherwise(".RS"))
     wanted = watch.wanted_paths(path, ["rs", "js"], [*watch.IGNORED, "/docs/", "!/docs/keep/", "*.min.js"])
     return _t(spark, sf, "part").select("p_partkey", wanted.alias("wanted"))
 
@@ -270,9 +273,9 @@ _KIND_SQL = "CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'error_type' WHE
     {_m("CASE WHEN doc IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN kind = 'class' THEN 0.15 ELSE 0 END + CASE WHEN deg = 0 THEN 0.1 ELSE 0 END")} AS understand,
     {_m("CASE WHEN contains(kind, 'test') THEN 0.2 ELSE 0 END + CASE WHEN deg >= 2 THEN 0.15 ELSE 0 END")} AS test FROM s""")
 def intent_boosts(spark, sf):
-    kind = F.when(_K % 4 == 0, "class").when(_K % 4 == 1, "error_type").when(_K % 4 == 2, "test_function").otherwise("function")
-    path = F.concat("p_brand", F.when(_K % 7 == 0, "/mod.rs").otherwise("/a.rs"))
-    args = kind, path, F.col("p_size") > 25, F.when(_K % 3 == 0, F.col("p_type")), F.col("p_size") % 9
+    kind = F.when(_k() % 4 == 0, "class").when(_k() % 4 == 1, "error_type").when(_k() % 4 == 2, "test_function").otherwise("function")
+    path = F.concat("p_brand", F.when(_k() % 7 == 0, "/mod.rs").otherwise("/a.rs"))
+    args = kind, path, F.col("p_size") > 25, F.when(_k() % 3 == 0, F.col("p_type")), F.col("p_size") % 9
     return _t(spark, sf, "part").select("p_partkey", *[_micro(I.boost(n, *args)).alias(n) for n in ("debug", "modify", "refactor", "explore", "understand", "test")])
 
 
@@ -394,11 +397,11 @@ def correlate_changes(spark, sf):
   UNION ALL SELECT f || '::entirely_another_' || n, 'added', NULL FROM s WHERE o""")
 def resolve_renames(spark, sf):
     """A removed and an added symbol of nearly the same name are one that was renamed; another stays added."""
-    block = F.floor(_K / 8).cast("string")
+    block = F.floor(_k() / 8).cast("string")
     f, n = F.concat(F.lit("f"), block), F.concat(F.lit("name"), block)
-    rows = _t(spark, sf, "part").filter(_K % 8 < 3)
-    name = F.when(_K % 8 == 0, F.concat(n, F.lit("a"))).when(_K % 8 == 1, F.concat(n, F.lit("b"))).otherwise(F.concat(F.lit("entirely_another_"), n))
-    kind = F.when(_K % 8 == 0, "removed").otherwise("added")
+    rows = _t(spark, sf, "part").filter(_k() % 8 < 3)
+    name = F.when(_k() % 8 == 0, F.concat(n, F.lit("a"))).when(_k() % 8 == 1, F.concat(n, F.lit("b"))).otherwise(F.concat(F.lit("entirely_another_"), n))
+    kind = F.when(_k() % 8 == 0, "removed").otherwise("added")
     none = F.lit(None).cast("string")
     changes = rows.select(F.concat(f, F.lit("::"), name).alias("symbol_fqn"), f.alias("file_path"), kind.alias("change_kind"), none.alias("old_value"), none.alias("new_value"))
     return diff.resolve_renames(changes).select("symbol_fqn", "change_kind", "old_value")
