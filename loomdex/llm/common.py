@@ -170,7 +170,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, size: str) -> DataF
     """``left`` with the columns of ``right`` (null where it has none), ``right`` having a key once and in ``size`` its rows in ``left``.
 
     Keys with more than a ``HOT_SHARE``-th of all these rows (so there are at most as many of
-    them) are sent to every task, and their rows, like those of a null key, are spread over all.
+    them) are sent to every task, and their rows, like those of a null key, are spread over all,
+    by their place: ``left`` must come from a table as it is read, so that a repeated task sees
+    its rows in the same order.
     """
     values = [c for c in right.columns if c not in (key, size)]
     total = right.agg(F.sum(size)).first()[0] or 0

@@ -69,6 +69,18 @@ def test_unsettled_buckets_are_compared_within(spark, monkeypatch):
     assert got == {d: c for d, _, c in brute(rows, 3, 70)}
 
 
+def test_large_unsettled_buckets_are_split(spark, monkeypatch):
+    """Split by other bands, over and over, they give what comparing all their members gives."""
+    monkeypatch.setattr(M, "LARGE", 3)
+    monkeypatch.setattr(M, "BLOCK", 3)
+    split = []
+    joined = M.components
+    monkeypatch.setattr(M, "components", lambda edges: split.append(1) or joined(edges))
+    rows = [(i, t) for i, t in enumerate(texts(7))]
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=70).collect()}
+    assert got == {d: c for d, _, c in brute(rows, 3, 70)} and len(split) > 2
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (3, "A b c d e f", 2), (9, None, 3), (9, "", 3), (None, "a b c d e f", 4), (None, "x y z u v w", 5), (None, "x y z u v w", 5), (7, "quite other words in this one", 6)]
     got = M.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n long"))
