@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -76,17 +77,45 @@ def parse(name: str | None) -> str | None:
     return name.lower() if name and name.lower() in INTENTS else None
 
 
+@dataclass(frozen=True)
+class Traits:
+    """What a boost may look at: columns of a symbol."""
+
+    kind: Column
+    path: Column
+    exported: Column
+    docstring: Column
+    in_degree: Column
+
+    def named(self, *words: str) -> Column:
+        """Whether the kind has one of the words in it."""
+        return sum((F.contains(F.lower(self.kind), F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
+
+    def called(self, least: int) -> Column:
+        return self.in_degree >= least
+
+    @property
+    def documented(self) -> Column:
+        return self.docstring.isNotNull() & (self.docstring != "")
+
+    @property
+    def entry(self) -> Column:
+        return sum((self.path.endswith(n).cast("int") for n in ENTRY_FILES), F.lit(0)) > 0
+
+
+ENTRY_FILES = ("mod.rs", "index.ts", "index.js", "__init__.py")
+#: By intent: what is added to a score, and when.  More can be put in.
+BOOSTS: dict[str, list[tuple[float, Callable[[Traits], Column]]]] = {
+    "debug": [(0.20, lambda s: s.named("error", "exception", "panic")), (0.10, lambda s: s.called(3))],
+    "modify": [(0.15, lambda s: s.entry), (0.10, lambda s: s.exported & s.called(5))],
+    "refactor": [(0.25, lambda s: s.exported), (0.15, lambda s: s.called(5))],
+    EXPLORE: [(0.10, lambda s: s.documented), (0.05, lambda s: s.called(3))],
+    "understand": [(0.20, lambda s: s.documented), (0.15, lambda s: s.kind.isin("module", "class", "trait", "interface", "namespace")), (0.10, lambda s: s.in_degree == 0)],
+    "test": [(0.20, lambda s: s.named("test", "spec")), (0.15, lambda s: s.called(2))],
+}
+
+
 def boost(intent: str, kind: Column, path: Column, exported: Column, docstring: Column, in_degree: Column) -> Column:
     """What an intent adds to a symbol's score."""
-    has = lambda *words: sum((F.contains(F.lower(kind), F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
-    documented = docstring.isNotNull() & (docstring != "")
-    entry = F.coalesce(path.endswith("mod.rs") | path.endswith("index.ts") | path.endswith("index.js") | path.endswith("__init__.py"), F.lit(False))
-    rules: dict[str, list[tuple[float, Column]]] = {
-        "debug": [(0.20, has("error", "exception", "panic")), (0.10, in_degree >= 3)],
-        "modify": [(0.15, entry), (0.10, exported & (in_degree >= 5))],
-        "refactor": [(0.25, exported), (0.15, in_degree >= 5)],
-        EXPLORE: [(0.10, documented), (0.05, in_degree >= 3)],
-        "understand": [(0.20, documented), (0.15, kind.isin("module", "class", "trait", "interface", "namespace")), (0.10, in_degree == 0)],
-        "test": [(0.20, has("test", "spec")), (0.15, in_degree >= 2)],
-    }
-    return sum((F.when(F.coalesce(cond, F.lit(False)), value).otherwise(0.0) for value, cond in rules[intent]), F.lit(0.0))
+    traits = Traits(kind, path, exported, docstring, in_degree)
+    return sum((F.when(F.coalesce(when(traits), F.lit(False)), value).otherwise(0.0) for value, when in BOOSTS[intent]), F.lit(0.0))

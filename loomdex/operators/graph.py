@@ -101,7 +101,7 @@ def _bfs_task(steps: DataFrame, starts: DataFrame, depth: int | None) -> DataFra
                 level = [b for b in dict.fromkeys(b for a in level for b in after[a]) if b not in seen]
                 seen.update(level)
                 out += [(int(start), b, far) for b in level]
-        return pd.DataFrame(out, columns=["start", "id", "depth"])
+        return pd.DataFrame(out, columns=["start", "id", "depth"], dtype="int64")
 
     rows = steps.unionByName(starts.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")))
     return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "start long, id long, depth int")
@@ -214,7 +214,7 @@ def k_paths(edges: DataFrame, source: int, target: int, k: int = PATHS, small: i
         for a, b in group.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
             after[int(a)].append(int(b))
         paths = _yen(after, source, target, k)
-        return pd.DataFrame({"path": paths, "hops": [len(p) - 1 for p in paths]})
+        return pd.DataFrame({"path": pd.Series(paths, dtype=object), "hops": pd.Series([len(p) - 1 for p in paths], dtype="int32")})
 
     in_one = lambda df: df.select("a", "b", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, shape).orderBy("hops", "path")
     if steps.limit(small + 1).count() <= small:

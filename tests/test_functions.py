@@ -84,3 +84,33 @@ def test_stems():
 
     words = "caresses ponies feed agreed plastered motoring hopping filing happy sky relational predication operator hopefulness electrical adoption cease controll authentication"
     assert [stem(w) for w in words.split()] == "caress poni feed agre plaster motor hop file happi sky relat predic oper hope electr adopt ceas control authent".split()
+
+
+def test_local_encoder(tmp_path):
+    """Cut, padded, averaged over real tokens and scaled; a missing model says so, and a copy for workers has only its path."""
+    import pickle
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from loomdex.functions import encoder
+
+    class Words:
+        def encode_batch(self, texts):
+            return [SimpleNamespace(ids=[len(w) for w in t.split()]) for t in texts]
+
+    class Session:
+        def get_inputs(self):
+            return [SimpleNamespace(name=n) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, given):
+            assert set(given) == {"input_ids", "attention_mask"} and given["input_ids"].shape[1] <= encoder.EMBEDDING_TOKENS
+            x = given["input_ids"].astype(np.float32)
+            return [np.stack([x, np.ones_like(x)], 2)]  # padding must not count, though its vector isn't zero
+
+    e = encoder.LocalEncoder(str(tmp_path), Words(), Session())
+    got = e(["aaa a", "aa", "", "b " * 400] + ["c"] * 40)
+    assert len(got) == 44 and np.allclose(got[0], np.array([2, 1]) / 5**0.5) and np.allclose(got[1], got[0]) and got[2] == [0, 0]
+    assert np.allclose(got[3], np.array([1, 1]) / 2**0.5)
+    with pytest.raises(encoder.MissingModel):
+        pickle.loads(pickle.dumps(e))(["x"])
