@@ -6,11 +6,11 @@ decodes any lossless WebP column (see ``vp8l``) to width, height and an RGBA arr
 
 A payload is cut into pieces of at most ``PIECE`` bytes, each an image, whose files follow
 one another in the column (a WebP file says how long it is), so payloads of any length
-are held and no worker needs more than a piece's arrays.  Every image has Huffman codes.
-What it has besides turns with the payload's checksum (``FORMS``), so that any table puts
-the whole decoder to use and equal texts stay equal: one in eight each gets a palette and
-back-references; predictors; or two bytes to a pixel with cross-colour and predictors; the
-others a colour cache, which costs least to read.
+are held and no worker needs more than a piece's arrays.  Every image has Huffman codes
+and back-references.  Which transforms it has besides turns in equal shares with the
+payload's checksum (``FORMS``), so that any table puts the whole decoder to use and equal
+texts stay equal: a palette; a colour cache; predictors; or two bytes to a pixel with
+cross-colour and predictors.
 
 Cases: a null text is an empty payload of 64 zero bytes; equal texts give equal files; a
 null or broken image gives null pixels and an error text; empty tables pass, and so do
@@ -71,10 +71,10 @@ def to_image(payload: bytes, each: int = 4) -> np.ndarray:
 
 #: By the payload's checksum: bytes to a pixel and what ``vp8l.encode`` is asked for.
 FORMS = (
-    *[(1, {"cache_bits": 6, "references": False})] * 5,
-    (1, {"palette": True, "references": True}),
-    (1, {"predictor": True, "references": False}),
-    (2, {"cross": True, "predictor": True, "references": False}),
+    (1, {"palette": True}),
+    (1, {"cache_bits": 6}),
+    (1, {"predictor": True}),
+    (2, {"cross": True, "predictor": True}),
 )
 PIECE = 1 << 20
 
