@@ -7,7 +7,8 @@ string is made per row.  A word is a maximal run of bytes other than 0x20 and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,27 @@ def put_back(out: DataFrame, own: list[str], changed: dict[str, Column] | None =
     return out.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in names], *own)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow that hands freed memory back to the system at its end.
+
+    Workers wait for further tasks, and what their allocators keep counts against the
+    executor while stages without Python run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _powers[:] = [np.ones(1, _U), np.ones(1, _U)]
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # a system with another allocator
+                pass
+
+    return run
+
+
 def with_key(docs: DataFrame, text: str, ident: str) -> DataFrame:
     """Add _k1 and _k2, two hashes of id and text, by which later stages find the row again.
 

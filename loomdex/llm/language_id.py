@@ -127,7 +127,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
         yield from rows()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
-    vectors = rows.mapInArrow(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"))
+    vectors = rows.mapInArrow(C.tidy(sums), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"))
     # DIMENSIONS numbers for each of at most LANGUAGES languages reach the driver
     made = vectors.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).limit(LANGUAGES + 1).collect()
     if len(made) > LANGUAGES:
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "t
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["_row", "lang_pred", "score"])
 
     out = T.StructType([body.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return C.put_back(body.mapInArrow(predict, out), ["lang_pred", "score"])
+    return C.put_back(body.mapInArrow(C.tidy(predict), out), ["lang_pred", "score"])
 
 
 class Common:
@@ -217,7 +217,7 @@ def common_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Com
         yield from rows()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
-    sums = C.stored(rows.mapInArrow(counts, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
+    sums = C.stored(rows.mapInArrow(C.tidy(counts), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
     total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
     found = sums.join(total, "lang").filter(F.col("n") >= F.col("total") * F.lit(COMMON))
     # at most 1 / COMMON numbers for each of at most LANGUAGES languages reach the driver
@@ -248,7 +248,7 @@ def bounds(docs: DataFrame, common: Common, text: str = "text", lang: str = "lan
     if not langs:
         return {}
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
-    got = rows.mapInArrow(sums, "lang string, n long, s long, m long, o long, q long").groupBy("lang").agg(*[F.sum(c).alias(c) for c in "nsmoq"])
+    got = rows.mapInArrow(C.tidy(sums), "lang string, n long, s long, m long, o long, q long").groupBy("lang").agg(*[F.sum(c).alias(c) for c in "nsmoq"])
     out = {}
     for r in got.collect():
         own = r["s"] / max(1, r["n"]) / 1e4
@@ -271,7 +271,7 @@ def recognise(docs: DataFrame, common: Common, least: dict[str, float], text: st
             own = b.filter(pa.array([s is not None and bool((s >= line).any()) for s in shares], pa.bool_()))
             yield pa.RecordBatch.from_arrays([own.column("_row")], ["_row"])
 
-    return C.put_back(body.mapInArrow(known, T.StructType([body.schema["_row"]])), [])
+    return C.put_back(body.mapInArrow(C.tidy(known), T.StructType([body.schema["_row"]])), [])
 
 
 def held_out(ident: str = "doc_id"):

@@ -131,7 +131,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
 
     kinds = (T.LongType(), T.LongType(), T.BinaryType())
     out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
-    return C.put_back(body.mapInArrow(write, out), own)
+    return C.put_back(body.mapInArrow(C.tidy(write), out), own)
 
 
 def pixels(media: DataFrame, column: str = "media") -> DataFrame:
@@ -154,7 +154,7 @@ def pixels(media: DataFrame, column: str = "media") -> DataFrame:
 
     kinds = (T.IntegerType(), T.IntegerType(), T.BinaryType(), T.StringType())
     out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
-    return C.put_back(body.mapInArrow(read, out), own)
+    return C.put_back(body.mapInArrow(C.tidy(read), out), own)
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def features(media: DataFrame) -> DataFrame:
 
     kinds = (T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
     out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
-    return C.put_back(body.mapInArrow(read, out), own)
+    return C.put_back(body.mapInArrow(C.tidy(read), out), own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: in
         for b in batches:
             yield from _scan(b, unit, window, gram)
 
-    runs = slim.mapInArrow(scan, "kfp long, c long, _k1 long, at long")
+    runs = slim.mapInArrow(C.tidy(scan), "kfp long, c long, _k1 long, at long")
     seen = runs.groupBy("kfp").agg(F.count("*").alias("m")).filter("m > 1").select("kfp")
     kept = C.stored(runs.join(seen, "kfp"))
     contexts = C.stored(kept.groupBy("kfp", "c").agg(F.count("*").alias("n"), F.first("_k1").alias("_k1"), F.first("at").alias("at")))
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: in
             yield from _cut(b.filter(pa.array(new)) if not all(new) else b, unit, window)
 
     texts = docs.join(chosen, "_k1").select("_k1", "_k2", F.col(text).alias("text"), "runs")
-    texts = C.stored(texts.mapInArrow(cut, _CONTEXT))
+    texts = C.stored(texts.mapInArrow(C.tidy(cut), _CONTEXT))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK_BYTES):
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, text: str, ident: str, unit: str, window: in
                 yield _spans(block, first, hit, window)
 
     cold = texts.filter(F.col("sub") <= hot).repartition(F.col("kfp")).sortWithinPartitions("kfp")
-    found = cold.mapInArrow(light, _FOUND)
+    found = cold.mapInArrow(C.tidy(light), _FOUND)
     if not sub.filter(F.col("sub") > hot).isEmpty():
         found = found.unionByName(_hot_spans(texts.filter(F.col("sub") > hot), unit, window))
     found = C.stored(found)
@@ -266,7 +266,7 @@ def _hot_spans(contexts: DataFrame, unit: str, window: int) -> DataFrame:
                 at = np.asarray(part.column("i0"))[row] + start - first[row]
                 yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(C.signed(two)), *own, pa.array(at)], ["h1", "h2", *names, "s"])
 
-    w = contexts.mapInArrow(windows, "h1 long, h2 long, kfp long, c long, n long, _k1 long, tag long, s long")
+    w = contexts.mapInArrow(C.tidy(windows), "h1 long, h2 long, kfp long, c long, n long, _k1 long, tag long, s long")
     leaves = w.groupBy("h1", "h2").agg(F.sum("n").alias("leaves")).filter("leaves > 1").drop("leaves")
     return w.join(leaves, ["h1", "h2"], "left_semi").select(*names, "s", (F.col("s") + window).alias("e"))
 

@@ -177,7 +177,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", ident: str = "doc_id",
             cols = [b.column("_row"), pa.array(texts, b.schema.field("text").type), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sha, pa.string()), pa.array(where, pairs)], ["_row", "text", *_OWN])
 
-    return C.put_back(joined.mapInArrow(cut, out).withColumnRenamed("text", "_text"), _OWN, {text: F.col("_text")})
+    return C.put_back(joined.mapInArrow(C.tidy(cut), out).withColumnRenamed("text", "_text"), _OWN, {text: F.col("_text")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

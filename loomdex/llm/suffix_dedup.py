@@ -274,7 +274,7 @@ def dedup_bytes(docs: DataFrame, text: str = "text", ident: str = "doc_id", wind
             yield pa.RecordBatch.from_arrays(cols, ["_row", "text", *own])
 
     joined = body.join(spans, "_k1", "left").select("_row", "text", "_k2", "_spans")
-    return C.put_back(joined.mapInArrow(cut, out).withColumnRenamed("text", "_text"), own, {text: F.col("_text")})
+    return C.put_back(joined.mapInArrow(C.tidy(cut), out).withColumnRenamed("text", "_text"), own, {text: F.col("_text")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

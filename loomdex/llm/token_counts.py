@@ -198,7 +198,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
 
     kinds = (T.LongType(), T.LongType(), T.BooleanType())
     out = T.StructType([body.schema["_row"], *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
-    return C.put_back(body.mapInArrow(count, out), own)
+    return C.put_back(body.mapInArrow(C.tidy(count), out), own)
 
 
 def query(spark, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -168,7 +168,7 @@ def write_bundles(pages: DataFrame, folder: str, ident: str = "page_id", url: st
 
     source = pages.select(F.col(ident).alias("id"), F.col(url).alias("url"), "payload", "payload_digest", "record_type", "refers_to")
     kind = to_arrow_type(source.schema["id"].dataType)
-    return C.stored(source.mapInArrow(write, f"page_id {source.schema['id'].dataType.simpleString()}, bundle string, frame int, at long, size long"))
+    return C.stored(source.mapInArrow(C.tidy(write), f"page_id {source.schema['id'].dataType.simpleString()}, bundle string, frame int, at long, size long"))
 
 
 def read_record(bundle: str, frame: int, at: int) -> tuple[dict[str, str], bytes]:
@@ -211,7 +211,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
     total = index.agg(F.sum("size")).first()[0] or 0
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ_BYTES))
     rows = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
-    return rows.mapInArrow(read, f"page_id {kind}, headers map<string,string>, block binary")
+    return rows.mapInArrow(C.tidy(read), f"page_id {kind}, headers map<string,string>, block binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
