@@ -81,6 +81,29 @@ def test_large_unsettled_buckets_are_split(spark, monkeypatch):
     assert got == {d: c for d, _, c in brute(rows, 3, 70)} and len(split) > 2
 
 
+def test_large_buckets_without_a_second_one(spark, monkeypatch):
+    """Links in a large bucket are found though the two share no other bucket, by which it could be split."""
+    monkeypatch.setattr(M, "LARGE", 4)
+    monkeypatch.setattr(M, "bands_for", lambda percent: 1)
+    rng = random.Random(11)
+    mult = M._multipliers(M.ROWS)
+    common = [f"c{i}" for i in range(140)]
+
+    def least(words):
+        raw = " ".join(words).encode()
+        x = (M.shingle_set(raw, 3) >> np.uint64(32)).astype(np.uint32)
+        return [int((x * m).min()) for m in mult]
+
+    rows, want = [], least(common)
+    while len(rows) < 16:  # all in the bucket of what they have in common, two by two alike
+        one = common + [f"w{rng.randrange(10**6)}" for _ in range(60 + 25 * (len(rows) % 3))]
+        two = [*one[:-1], "end"]
+        if least(one) == want == least(two):
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    assert got == {d: c for d, _, c in brute(rows, 3, 85)} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (3, "A b c d e f", 2), (9, None, 3), (9, "", 3), (None, "a b c d e f", 4), (None, "x y z u v w", 5), (None, "x y z u v w", 5), (7, "quite other words in this one", 6)]
     got = M.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n long"))
