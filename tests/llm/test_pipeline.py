@@ -60,6 +60,22 @@ def test_unrecognised_languages_go(spark):
     assert ids("lang is not null") <= kept and len(french & kept) < len(french) / 5
 
 
+def test_identified_language_is_passed_on(spark):
+    """What language ID says of a text is its lang in what follows, up to the pipeline's result, labelled or not."""
+    import corpus_pipeline as P
+    from loomdex.llm import common
+    from loomdex.llm import language_id as L
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = rows.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, F.lit("en")).when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    want = {r["doc_id"]: r["lang_pred"] for r in L.identify(rows.select("doc_id", "text"), L.learn(rows)).collect()}
+    kept = common.stored(P.keep_languages(spark, rows, DATA))
+    got = {r["doc_id"]: r["lang"] for r in kept.select("doc_id", "lang").collect()}
+    assert any(i % 3 == 0 for i in got) and len(set(got.values())) > 1 and got == {i: want[i] for i in got}
+    mixed = {r["doc_id"]: r["lang"] for r in P.mix_sources(spark, kept, DATA).select("doc_id", "lang").collect()}
+    assert mixed and mixed == {i: want[i] for i in mixed}
+
+
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_minhash_near_dedup", "op6_warc_bundles", "op7_source_mixing", "op8_suffix_array_dedup"])
 def test_sql_twins(spark, name):
     import __spark_entry__ as entry
