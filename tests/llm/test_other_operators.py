@@ -6,6 +6,7 @@ import io
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -332,6 +333,40 @@ def test_media_forms_and_pieces(monkeypatch):
         assert back.tobytes() == payload and len(shapes) == -(-len(payload) // 1000)
 
 
+def test_webp_cost():
+    """The files are what they were, and a text's way there and back costs no more than so many times some plain work."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+    payload = P.padded(" ".join(rng.choice(words) for _ in range(450)).encode())
+    files = [V.encode_argb(*P.to_argb(payload, each), **form) for each, form in P.FORMS]
+    assert hashlib.sha256(b"".join(files)).hexdigest() == "54feb8d9c22fddcdf3d5bed78e651b09e7e10d8d8c58a9260259e5d2da4e93a9"
+
+    def codec():
+        for each, form in P.FORMS:
+            V.decode_argb(V.encode_argb(*P.to_argb(payload, each), **form))
+
+    def plain():  # half steps of Python, half small and middling arrays
+        a, small, x = np.arange(12_000) * 7 % 12_000, np.arange(60), 1
+        for k in range(20_000):
+            x = x * 5 + k & 0xFFFF
+        for _ in range(30):
+            a = (a[a] ^ 1) % 12_000
+        for _ in range(600):
+            small = small[small.argsort(kind="stable")]
+        return x, a, small
+
+    best = {codec: math.inf, plain: math.inf}
+    for k in range(150):
+        for f in best:
+            begun = time.process_time()
+            f()
+            best[f] = min(best[f], time.process_time() - begun)
+        if k > 20 and best[codec] < 1.9 * best[plain]:  # 2.0 to 2.3 before, 1.3 to 1.8 now: other work on the machine tells
+            break
+    else:
+        raise AssertionError(best[codec] / best[plain])
+
+
 def test_webp_predictors_by_hand():
     left, top, right, corner = [10, 20, 30, 255], [50, 60, 70, 255], [90, 100, 110, 255], [5, 15, 200, 255]
     got = [V._predict(m, left, top, right, corner) for m in range(14)]
