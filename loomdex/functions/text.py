@@ -96,7 +96,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def estimate_tokens(text: Column, chars_per_token: float = CHARS_PER_TOKEN) -> Column:
     """Tokens that a text takes: its bytes by a fixed ratio, rounded up."""
-    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / F.lit(chars_per_token))
+    return tokens_of_bytes(F.octet_length(F.coalesce(text, F.lit(""))), chars_per_token)
+
+
+def tokens_of_bytes(size: Column, chars_per_token: float = CHARS_PER_TOKEN) -> Column:
+    return F.ceil(size / F.lit(chars_per_token))
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

@@ -71,13 +71,14 @@ def pack_first_fit(rows: DataFrame, budget: int, tokens: str, order: list[Column
 
 
 def stream_first_fit(rows: DataFrame, budget: int, tokens: str, order: list[str], group: list[str]) -> DataFrame:
-    """``rows`` that first fit takes from groups of any size: each is read once in order, and only the used sum is held."""
+    """``rows`` that first fit takes from groups of any size (without ``group`` of all): each is read once in order, and only the used sum is held."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used = None, 0
         for b in batches:
             keep = []
-            for key, n in zip(zip(*(b.column(g).to_pylist() for g in group), strict=True), b.column(tokens).to_pylist(), strict=True):
+            keys = zip(*(b.column(g).to_pylist() for g in group), strict=True) if group else [()] * b.num_rows
+            for key, n in zip(keys, b.column(tokens).to_pylist(), strict=True):
                 if key != at:
                     at, used = key, 0
                 keep.append(used + n <= budget)
@@ -85,15 +86,26 @@ def stream_first_fit(rows: DataFrame, budget: int, tokens: str, order: list[str]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     fits = rows.filter(F.col(tokens) <= budget)  # what is larger is passed over and changes nothing
-    return fits.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(take, rows.schema)
+    return (fits.repartition(*group) if group else fits.repartition(1)).sortWithinPartitions(*group, *order).mapInArrow(take, rows.schema)
+
+
+def pivot_paths(results: DataFrame, sizes: DataFrame, budget: int, chars_per_token: float = X.CHARS_PER_TOKEN) -> DataFrame:
+    """(path, best, tokens, pos) of the files that first fit takes, best first, from (path, byte_size): no content is read."""
+    best = results.groupBy("path").agg(F.max("score").alias("best"))
+    files = best.join(sizes.select("path", X.tokens_of_bytes(F.col("byte_size"), chars_per_token).alias("tokens")), "path")
+    return stream_first_fit(files.withColumn("pos", F.row_number().over(W.orderBy(F.col("best").desc(), "path"))), budget, "tokens", ["pos"], [])
 
 
 def pivot_files(results: DataFrame, sources: DataFrame, budget: int, chars_per_token: float = X.CHARS_PER_TOKEN) -> DataFrame:
-    """(path, content, tokens, symbols, best): whole files of the results, best first, first fit."""
-    by = results.groupBy("path").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "fqn", "kind", "score", "why"))).alias("symbols"))
-    files = by.join(sources.select("path", "content"), "path").withColumn("tokens", X.estimate_tokens(F.col("content"), chars_per_token))
-    files = files.withColumn("symbols", F.transform("symbols", lambda s: F.struct(s["fqn"].alias("fqn"), s["kind"].alias("kind"), s["score"].alias("score"), s["why"].alias("why"))))
-    return pack_first_fit(files, budget, "tokens", [F.col("best").desc(), F.col("path")], "path", "content", "symbols", "best")
+    """(path, content, tokens, symbols, best): whole files of the results, best first, first fit.
+
+    The files are chosen by their sizes; contents and symbols are fetched for those only.
+    """
+    chosen = pivot_paths(results, sources.select("path", F.octet_length(F.coalesce("content", F.lit(""))).alias("byte_size")), budget, chars_per_token)
+    by = results.join(chosen.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "fqn", "kind", "score", "why"))).alias("symbols"))
+    by = by.withColumn("symbols", F.transform("symbols", lambda s: F.struct(s["fqn"].alias("fqn"), s["kind"].alias("kind"), s["score"].alias("score"), s["why"].alias("why"))))
+    # by the hint, contents never pass through the driver, however small they are taken to be
+    return sources.select("path", "content").join(chosen.join(by, "path").hint("merge"), "path").select("pos", "tokens", "path", "content", "symbols", "best")
 
 
 def contained(symbols: DataFrame) -> DataFrame:

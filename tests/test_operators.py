@@ -245,3 +245,19 @@ def test_store_appends_and_vacuum(spark, tmp_path, monkeypatch):
     assert st.vacuum() == [] and len(st.vacuum(older_than=0)) == 4 and ids() == [1, 2, 3, 4]
     st.commit(observation_links=row(9))
     assert ids() == [9]
+
+
+def test_pivots_are_packed_by_size(spark, tmp_path):
+    """Files of more bytes than a text can have: only their sizes count.  Contents come for those that are taken, and not through a broadcast."""
+    from loomdex.plans import catalogue_more
+
+    big = 1_500_000_000
+    docs = [(1, "a", big), (2, "a", big), (3, "b", 96), (4, None, big), (5, "c", big // 2)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalogue_more.pivot_packing(spark, str(tmp_path)).collect())) == [("b", 1), ("c", 2 if big // 2 % 97 > big % 97 else 3)]
+    found = spark.createDataFrame([("a", 0.5, "a::x", "function", "w"), ("a", 0.9, "a::y", "function", "w"), ("b", 0.8, "b::z", "class", "w"), ("c", 0.1, "c::q", "class", "w")], "path string, score double, fqn string, kind string, why string")
+    sources = spark.createDataFrame([("a", "x" * 35), ("b", "y" * 350), ("c", "z" * 7), ("d", "z")], "path string, content string")
+    taken = pack.pivot_files(found, sources, 20)
+    assert [(r["path"], r["pos"], r["tokens"], r["content"], [s["fqn"] for s in r["symbols"]], r["best"]) for r in taken.orderBy("pos").collect()] == [("a", 1, 10, "x" * 35, ["a::y", "a::x"], 0.9), ("c", 3, 2, "z" * 7, ["c::q"], 0.1)]
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Join")].endswith("SortMerge")  # the outermost, which fetches the contents
