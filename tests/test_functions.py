@@ -114,3 +114,10 @@ def test_local_encoder(tmp_path):
     assert np.allclose(got[3], np.array([1, 1]) / 2**0.5)
     with pytest.raises(encoder.MissingModel):
         pickle.loads(pickle.dumps(e))(["x"])
+
+
+def test_human_bytes_rounds_ties_to_even(spark):
+    """Java's %.1f rounds ties up, C's and SQL's printf to the even digit."""
+    sizes = {1280: "1.2 KiB", 1792: "1.8 KiB", 5 << 18: "1.2 MiB", 7 << 18: "1.8 MiB", 5 << 28: "1.2 GiB", 1279: "1.2 KiB", 1281: "1.3 KiB", (1 << 20) - 1: "1024.0 KiB", 1023: "1023 B"}
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", S.human_bytes(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in rows} == sizes
