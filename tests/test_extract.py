@@ -1,6 +1,9 @@
 """Declarations, scopes and calls of the scanned languages, on what simple patterns get wrong."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.sources import extract
 
@@ -109,3 +112,32 @@ def test_broken_sources_give_nothing_or_go_on():
     assert extract.parse("x.py", "def (") == ([], [])
     assert set(symbols("x.ts", "function f() { if (a { } \nfunction g() { h( }")) >= {"f"}
     assert extract.parse("x.unknown", "fn a() {}") == ([], [])
+
+
+def test_files_are_parsed_by_many_tasks(spark, tmp_path):
+    """One small table of files, read by one task, is parsed by all cores; so is one where several begin with the same path."""
+    rows = [(f"src/f{i}.py", f"def f{i}(x):\n    return g{i}(x)\n") for i in range(400)]
+    spark.createDataFrame(rows, "path string, content string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    parsed = extract.parse_files(spark.read.parquet(f"{tmp_path}/t"))
+    held = [r["n"] for r in parsed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 400 and len(held) >= 4 and max(held) <= 150
+    assert {(r["path"], r["to_name"]) for r in extract.edges_of(parsed).collect()} == {(f"src/f{i}.py", f"g{i}") for i in range(400)}
+
+
+def test_skipping_to_what_can_begin_changes_nothing():
+    """Every text of a few characters that matter is blanked as it is character by character."""
+    import itertools
+
+    class Every:
+        def search(self, source, at):
+            return re.compile(r"(?s).").search(source, at)
+
+    for lang in extract.LANGUAGES:
+        for chars in itertools.product("a/'\"`#@R(*\n", repeat=4):
+            source = "".join(chars) + "r\"x\" b"
+            got = extract.blank(source, lang)
+            kept, extract._BEGINS[lang.name] = extract._BEGINS[lang.name], Every()
+            try:
+                assert got == extract.blank(source, lang), (lang.name, source)
+            finally:
+                extract._BEGINS[lang.name] = kept
