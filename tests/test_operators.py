@@ -261,3 +261,22 @@ def test_pivots_are_packed_by_size(spark, tmp_path):
     assert [(r["path"], r["pos"], r["tokens"], r["content"], [s["fqn"] for s in r["symbols"]], r["best"]) for r in taken.orderBy("pos").collect()] == [("a", 1, 10, "x" * 35, ["a::y", "a::x"], 0.9), ("c", 3, 2, "z" * 7, ["c::q"], 0.1)]
     plan = taken._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.index("Join")].endswith("SortMerge")  # the outermost, which fetches the contents
+
+
+def test_renames_of_many_files_match_a_model(spark):
+    """Names that resemble several others are paired in order, file by file, without a call for each file."""
+    rng = random.Random(4)
+    rows = [(f"f{f}::{name}{i}", f"f{f}", kind, None, None) for f in range(300) for kind, name in (("removed", "alphabet"), ("added", "alphabex")) for i in rng.sample(range(60), rng.randrange(4))]
+    found = diff.resolve_renames(spark.createDataFrame(rows, "symbol_fqn string, file_path string, change_kind string, old_value string, new_value string"))
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    near = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) <= 3 if len(a) == len(b) else abs(len(a) - len(b)) == 1
+    want = set()
+    for f in range(300):
+        gone, come = (sorted(r[0] for r in rows if r[1] == f"f{f}" and r[2] == k) for k in ("removed", "added"))
+        pairs = {}
+        for old in gone:
+            new = next((c for c in come if c not in pairs.values() and near(old.split("::")[1], c.split("::")[1])), None)
+            if new:
+                pairs[old] = new
+        want |= {(new, "renamed", old) for old, new in pairs.items()} | {(x, "removed", None) for x in gone if x not in pairs} | {(x, "added", None) for x in come if x not in pairs.values()}
+    assert {(r["symbol_fqn"], r["change_kind"], r["old_value"]) for r in found.collect()} == want
