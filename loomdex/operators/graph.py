@@ -111,17 +111,22 @@ def bfs(edges: DataFrame, starts: DataFrame, direction: str = "both", depth: int
     """(start, id, depth) of what each start (column id) reaches, at its least depth; starts left out.
 
     All starts travel at once; ``depth`` None goes on until nothing new is found.  A few
-    starts in a graph of a checked small size are followed within one task.
+    starts in a graph of a checked small size are followed within one task.  In a larger one
+    only what a level reaches is made distinct, never the edges themselves, which may repeat.
     """
-    steps = stored(_directed(edges, direction))
+    edges = stored(edges.select("src", "dst").dropna())
+    ways = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
     frontier = starts.select(F.col("id").alias("start"), "id").distinct()
     seen = stored(frontier.withColumn("depth", F.lit(0)))
-    if steps.limit(small + 1).count() <= small and seen.limit(STARTS + 1).count() <= STARTS:
+    room = small // len(ways)
+    if edges.limit(room + 1).count() <= room and seen.limit(STARTS + 1).count() <= STARTS:
+        steps = _directed(edges, direction)
         return _bfs_task(steps.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), seen.select(F.col("id").cast("long").alias("id")), depth)
     level, frontier = 0, seen
     while depth is None or level < depth:
         level += 1
-        reached = frontier.join(steps, frontier["id"] == steps["a"]).select("start", F.col("b").alias("id")).distinct()
+        steps = [frontier.join(edges, frontier["id"] == edges[a]).select("start", F.col(b).alias("id")) for a, b in ways]
+        reached = (steps[0].unionByName(steps[1]) if len(steps) > 1 else steps[0]).distinct()
         frontier = stored(reached.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break

@@ -280,3 +280,19 @@ def test_renames_of_many_files_match_a_model(spark):
                 pairs[old] = new
         want |= {(new, "renamed", old) for old, new in pairs.items()} | {(x, "removed", None) for x in gone if x not in pairs} | {(x, "added", None) for x in come if x not in pairs.values()}
     assert {(r["symbol_fqn"], r["change_kind"], r["old_value"]) for r in found.collect()} == want
+
+
+def test_a_search_of_a_large_graph_leaves_its_edges_as_they_are(spark, monkeypatch):
+    """Repeated edges, and such without an end, cost nothing and change nothing; only what is reached is made distinct."""
+    def fail(*_):
+        raise AssertionError("all edges in both directions")
+
+    rng = random.Random(8)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(25)] * 4 + [(1, None), (None, 2)]
+    e = edges(spark, pairs)
+    want = {way: {tuple(r) for r in graph.bfs(e, ids(spark, 1, 2), way, 3).collect()} for way in ("out", "in", "both")}
+    monkeypatch.setattr(graph, "_directed", fail)
+    for way in want:
+        got = graph.bfs(e, ids(spark, 1, 2), way, 3, small=0).collect()
+        assert {tuple(r) for r in got} == want[way] and len(got) == len(want[way]), way
+    assert len(want["both"]) > len(want["out"])
