@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,11 +24,42 @@ SYMBOL_CANDIDATES, MEMORY_CANDIDATES = 100, 50
 _EPS = 2.220446049250313e-16
 
 
+#: Rows whose tokens are counted at once.
+_AT_ONCE = 256
+
+
+def _terms_of_rows(rows: DataFrame, ident: str, *tokens: tuple[Column, float]) -> DataFrame:
+    """(id, term, f, dl) of every row by itself: each distinct term with the sum of its weights, and how many tokens there are.
+
+    A row's terms are counted where the row is, so nothing is shuffled and a task holds a few
+    rows' tokens, however large the table is.
+    """
+    t = rows.select(ident, *[c.alias(f"_t{i}") for i, (c, _) in enumerate(tokens)])
+    weights = [w for _, w in tokens]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(k, _AT_ONCE) for batch in batches for k in range(0, batch.num_rows, _AT_ONCE)):
+            held = [pc.fill_null(pc.list_value_length(b.column(1 + i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(weights))]
+            words = pa.concat_arrays([b.column(1 + i).flatten() for i in range(len(weights))]).dictionary_encode()
+            if not len(words):
+                continue
+            row = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in held])
+            key = row * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            f = np.add.reduceat(np.repeat(np.array(weights, float), [n.sum() for n in held])[order], starts)
+            row, word = np.divmod(key[order][starts], len(words.dictionary))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(f), pa.array(sum(held)[row])], names=[ident, "term", "f", "dl"])
+
+    return t.mapInArrow(run, f"`{ident}` {t.schema[ident].dataType.simpleString()}, term string, f double, dl long")
+
+
 def term_frequencies(rows: DataFrame, ident: str, tokens: Column) -> DataFrame:
-    """(id, term, n, tf): how often each term occurs in a row's tokens, absolutely and as a share."""
-    t = rows.select(F.col(ident), tokens.alias("tokens"))
-    t = t.select(ident, F.size("tokens").alias("total"), F.explode("tokens").alias("term"))
-    return t.groupBy(ident, "term", "total").agg(F.count("*").alias("n")).select(ident, "term", "n", (F.col("n") / F.col("total")).alias("tf"))
+    """(id, term, n, tf): how often each term occurs in a row's tokens, absolutely and as a share; rows of one id count as one."""
+    t = rows.select(ident, tokens.alias("tokens"))
+    if not rows.groupBy(ident).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        t = t.groupBy(ident).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return _terms_of_rows(t, ident, (F.col("tokens"), 1.0)).select(ident, "term", F.col("f").cast("long").alias("n"), (F.col("f") / F.col("dl")).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -67,17 +102,15 @@ def bm25(rows: DataFrame, ident: str, fields: dict[str, float], query: str | lis
 
 
 def postings(rows: DataFrame, ident: str, fields: dict[str, float], stem: bool = False) -> DataFrame:
-    """A full-text index: (term, ident, f, dl), a term's weighted frequency in a row and the row's length."""
+    """A full-text index of rows unique by ident: (term, ident, f, dl), a term's weighted frequency in a row and the row's length."""
     split = (lambda c: porter.stems(X.fts_terms(c))) if stem else X.fts_terms
-    weigh = lambda v: lambda w: F.struct(w.alias("term"), F.lit(float(v)).alias("f"))
-    tokens = [F.transform(split(F.col(f)), weigh(v)) for f, v in fields.items()]
-    t = rows.select(ident, F.concat(*tokens).alias("t")).select(ident, F.size("t").cast("double").alias("dl"), F.explode("t").alias("x"))
-    return t.groupBy(F.col("x.term").alias("term"), ident, "dl").agg(F.sum("x.f").alias("f")).select("term", ident, "f", "dl")
+    t = _terms_of_rows(rows, ident, *[(split(F.col(f)), float(v)) for f, v in fields.items()])
+    return t.select("term", ident, "f", F.col("dl").cast("double").alias("dl"))
 
 
-def text_lengths(rows: DataFrame, ident: str, fields: dict[str, float]) -> DataFrame:
-    """(ident, dl): the length of every row, those without a term included."""
-    return rows.select(ident, sum((F.size(X.fts_terms(F.col(f))) for f in fields), F.lit(0)).cast("double").alias("dl"))
+def text_lengths(rows: DataFrame, ident: str, fields: dict[str, float], *more: Column) -> DataFrame:
+    """(ident, dl): the length of every row, those without a term included; with it ``more`` columns."""
+    return rows.select(ident, sum((F.size(X.fts_terms(F.col(f))) for f in fields), F.lit(0)).cast("double").alias("dl"), *more)
 
 
 def bm25_indexed(index: DataFrame, lengths: DataFrame, ident: str, query: str | list[str], k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
@@ -186,11 +219,12 @@ def search_symbols(symbols: DataFrame, files: DataFrame, edges: DataFrame, centr
     scored = bm25_indexed(*index, "id", query, stem=stem) if index else bm25(symbols, "id", SYMBOL_FIELDS, query, stem=stem)
     found = stored(top_k(scored, SYMBOL_CANDIDATES, "bm25", "id"))
     own = found.join(symbols, "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
-    own = own.join(centrality, "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
-    degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
+    ids = F.broadcast(found.select("id"))  # at most SYMBOL_CANDIDATES: what is joined to them is cut down to them first
+    own = own.join(centrality.join(ids, "id", "left_semi"), "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+    degree = edges.withColumnRenamed("dst", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("in_degree"))
     own = own.join(degree, "id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
     n_docs = index[1].filter("terms > 0").count() if index else tf.select("symbol_id").distinct().count()
-    mine = tf.join(found.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
+    mine = tf.join(F.broadcast(found.select(F.col("id").alias("symbol_id"))), "symbol_id", "left_semi")
     cosine = query_cosine(mine, "symbol_id", query_tf, max(1, n_docs), document_frequencies(tf)).withColumnRenamed("symbol_id", "id")
     own = own.join(cosine, "id", "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
     grams = X.identifier_trigrams(F.lit(query))

@@ -69,8 +69,7 @@ class Engine:
         tf = rank.term_frequencies(new_symbols.withColumnRenamed("id", "symbol_id"), "symbol_id", tokens).select("term", "symbol_id", "tf")
         # sorted by term, so that a query's terms are found by the files' statistics
         words = rank.postings(new_symbols, "id", rank.SYMBOL_FIELDS, stem=True).sortWithinPartitions("term")
-        held = tf.groupBy(F.col("symbol_id").alias("id")).agg(F.count("*").alias("terms"))
-        lengths = rank.text_lengths(new_symbols, "id", rank.SYMBOL_FIELDS).join(held, "id", "left").select("id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"))
+        lengths = rank.text_lengths(new_symbols, "id", rank.SYMBOL_FIELDS, F.size(F.array_distinct(tokens)).cast("long").alias("terms"))
         out = {
             "postings": left["postings"].unionByName(words),
             "text_lengths": left["text_lengths"].unionByName(lengths),

@@ -296,3 +296,22 @@ def test_a_search_of_a_large_graph_leaves_its_edges_as_they_are(spark, monkeypat
         got = graph.bfs(e, ids(spark, 1, 2), way, 3, small=0).collect()
         assert {tuple(r) for r in got} == want[way] and len(got) == len(want[way]), way
     assert len(want["both"]) > len(want["out"])
+
+
+def test_terms_are_counted_where_their_rows_are(spark):
+    """Counts and weights of rows, also in odd forms, match a model and take no shuffle; rows of one id count as one."""
+    from collections import Counter
+
+    from loomdex.functions import text as X
+
+    rng = random.Random(6)
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(12)))
+    rows = [(f"i{k}", text(), text()) for k in range(700)]
+    df = spark.createDataFrame(rows, "id string, x string, y string")
+    index = rank.postings(df, "id", {"x": 1.0, "y": 3.0})
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    want = {(i, t): (sum(n * w for n, w in ((Counter((x or "").split())[t], 1), (Counter((y or "").split())[t], 3))), len((x or "").split() + (y or "").split())) for i, x, y in rows for t in {*(x or "").split(), *(y or "").split()}}
+    got = index.collect()
+    assert {(r["id"], r["term"]): (r["f"], r["dl"]) for r in got} == want and len(got) == len(want)
+    tf = {(r["id"], r["term"]): (r["n"], r["tf"]) for r in rank.term_frequencies(spark.createDataFrame([(1, "a b"), (1, "a c c"), (2, "a"), (None, "a"), (3, None)], "id long, x string"), "id", X.fts_terms(F.col("x"))).collect()}
+    assert tf == {(1, "a"): (2, 0.4), (1, "b"): (1, 0.2), (1, "c"): (2, 0.4), (2, "a"): (1, 1.0), (None, "a"): (1, 1.0)}
